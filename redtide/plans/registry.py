@@ -29,7 +29,7 @@ def r(c: Column | str, dp: int = 6) -> Column:
 
 
 # ratios are of order one; everything else spectral is of order 1e-3
-RATIOS = {"DINI", "GBI", "KBBI", "NDNI", "NDCI", "NDWI", "RedEdge_Ratio", "CI", "BlueGreen_Ratio"} | {
+RATIOS = {"DINI", "KBBI", "NDNI", "NDCI", "NDWI", "RedEdge_Ratio", "CI", "BlueGreen_Ratio"} | {
     "Green_Red_Ratio",
     "Blue_Red_Ratio",
     "Red_NIR_Ratio",
@@ -37,7 +37,7 @@ RATIOS = {"DINI", "GBI", "KBBI", "NDNI", "NDCI", "NDWI", "RedEdge_Ratio", "CI",
 
 
 def digits(column: str, dp: int | None) -> int:
-    return dp if dp is not None else 7 if column in RATIOS else 12
+    return dp if dp is not None else 11 if column == "GBI" else 7 if column in RATIOS else 12
 
 
 def rounded(df: DataFrame, columns: list[str], dp: int | None = 6) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,15 +25,21 @@ def build_session(app: str = "redtide", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cut lineage into the shared folder the cluster names in spark.checkpoint.dir.
-
-    The folder of the session is used as it is; a folder of our own is set only where the
-    session has none, which is the case in tests.
-    """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: spark.checkpoint.dir of the session. A folder of
+    our own is made only where the session names none, which is the case in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="redtide-ckpt-", dir=os.environ.get("TMPDIR")))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="redtide-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df):
+    """Cut lineage with a written copy in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
