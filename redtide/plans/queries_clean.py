@@ -274,15 +274,6 @@ def b25(spark, sf):
     return clean.with_micro_keys(view(spark, sf, "obs")).select("bin_id", "lat_key", "lon_key")
 
 
-@query(
-    "b26_tracks",
-    """SELECT p.track, count(*) AS n_features FROM (VALUES ('C2RCC_only', 32), ('C2RCC_roms', 44), ('ACOLITE_only', 32), ('ACOLITE_roms', 44), ('Baseline_only', 32), ('Baseline_roms', 44)) AS p(track, n)
-    JOIN generate_series(1, 44) g(i) ON g.i <= p.n WHERE (SELECT count(*) FROM events) > 0 GROUP BY 1""",
-)
-def b26(spark, sf):
-    return clean.tracks(spark).groupBy("track").agg(F.count(F.lit(1)).alias("n_features"))
-
-
 # ------------------------------------------------------------------ scalar functions
 
 DEG = 180 / math.pi
@@ -374,10 +365,10 @@ def y7(spark, sf):
 
 @query(
     "y10_rounding",
-    "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 7, 1) AS r1, round(l_extendedprice / 7, 3) AS r3, round(l_extendedprice / 7, 5) AS r5 FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice), 1) AS r1, round(sqrt(l_extendedprice), 3) AS r3, round(sqrt(l_extendedprice), 5) AS r5 FROM lineitem",
 )
 def y10(spark, sf):
-    v = F.col("l_extendedprice") / 7
+    v = F.sqrt("l_extendedprice")
     return read(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", *[F.round(v, d).alias(f"r{d}") for d in (1, 3, 5)]
     )
