@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from redtide.plans import queries_clean, queries_matchup, queries_ocean, queries_sources  # noqa: F401
+from redtide.plans import queries_clean, queries_composite, queries_matchup, queries_ocean, queries_sources  # noqa: F401
 from redtide.plans.registry import ORACLES, QUERIES  # noqa: F401
