@@ -65,26 +65,43 @@ def usable_folds(split: DataFrame, labels: list[str]) -> DataFrame:
     return counted.select("fold", "n_train", "n_test", usable.alias("usable"))
 
 
-def kfold(df: DataFrame, id_col: str, k: int = 10, seed: int = 0, buckets: int = 4096) -> DataFrame:
-    """Shuffled k folds of equal size: the position in hash order modulo k.
+def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 4096) -> DataFrame:
+    """`ordinal`: position (from 1) in (`_h`, id) order within the keys.
 
-    Positions come from bucket counts plus a row number inside each of many equal buckets.
+    Hashes are uniform, so equal-width buckets are equally full. Buckets are counted first and
+    rows are numbered inside their bucket, so no task orders a whole group.
     """
     width = (2**31) // buckets
-    hashed = df.withColumn("_h", portable_hash(id_col, seed)).withColumn("_b", F.floor(F.col("_h") / width).cast("int"))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `buckets` rows
+    hashed = df.withColumn("_b", F.floor(F.col("_h") / width).cast("int"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # at most `buckets` rows per group
     offsets = (
-        hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).select("_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_ahead"))
+        hashed.groupBy(*keys, "_b")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_ahead"))
     )
-    inside = Window.partitionBy("_b").orderBy("_h", id_col)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
     return (
-        hashed.join(F.broadcast(offsets), "_b")
-        .withColumn("fold", ((F.col("_ahead") + F.row_number().over(inside) - 1) % k).cast("int"))
-        .drop("_h", "_b", "_ahead")
+        hashed.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, [*keys, "_b"])
+        .withColumn("ordinal", F.col("_ahead") + F.col("_rn"))
+        .drop("_h", "_b", "_ahead", "_rn")
     )
 
 
+def split_ordinal(df: DataFrame, id_col: str, n_splits: int) -> DataFrame:
+    """Random position of every row in every fold."""
+    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+    exploded = df.withColumn("fold", folds).withColumn("_h", portable_hash(id_col, F.col("fold")))
+    return hash_ordinal(exploded, ["fold"], id_col)
+
+
+def kfold(df: DataFrame, id_col: str, k: int = 10, seed: int = 0) -> DataFrame:
+    """Shuffled k folds of equal size: the position in hash order modulo k."""
+    ordered = hash_ordinal(df.withColumn("_h", portable_hash(id_col, seed)).withColumn("_all", F.lit(1)), ["_all"], id_col)
+    return ordered.withColumn("fold", ((F.col("ordinal") - 1) % k).cast("int")).drop("ordinal", "_all")
+
+
 def strat_label(df: DataFrame, labels: list[str], min_count: int) -> DataFrame:
     """Label combination packed into bits; combinations rarer than `min_count` become -1.
 

@@ -1,4 +1,12 @@
 """All registered queries; importing the modules fills the registry."""
 
-from redtide.plans import queries_clean, queries_composite, queries_matchup, queries_metrics, queries_ocean, queries_sources  # noqa: F401
+from redtide.plans import (  # noqa: F401
+    queries_blocking,
+    queries_clean,
+    queries_composite,
+    queries_matchup,
+    queries_metrics,
+    queries_ocean,
+    queries_sources,
+)
 from redtide.plans.registry import ORACLES, QUERIES  # noqa: F401
