@@ -6,6 +6,7 @@ from redtide.plans import (  # noqa: F401
     queries_composite,
     queries_matchup,
     queries_metrics,
+    queries_models,
     queries_ocean,
     queries_sources,
 )

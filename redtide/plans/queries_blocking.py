@@ -210,7 +210,15 @@ def grouped(spark, sf):
     return blocking.grid_blocks(points(spark, sf), 10_000).withColumn("stratum", (F.col("view") > 5000).cast("int"))
 
 
-@query("v3_group_kfold")
+WALK = f"""{RECURSIVE}, {XY}, g AS (SELECT block_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block_id) AS i FROM (SELECT {GRID_ID} AS block_id FROM points) t GROUP BY 1),
+    walk AS (SELECT cast(0 AS bigint) AS i, cast([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS bigint[]) AS loads, -1 AS fold
+      UNION ALL SELECT g.i, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END), list_position(loads, list_min(loads)) - 1 FROM walk JOIN g ON g.i = walk.i + 1)"""
+
+
+@query(
+    "v3_group_kfold",
+    f"{WALK} SELECT cast(fold AS int) AS fold, cast(sum(n) AS bigint) AS n_rows, count(*) AS n_blocks FROM walk JOIN g USING (i) GROUP BY fold",
+)
 def v3(spark, sf):
     folds = splits.group_kfold(grouped(spark, sf).select("bin_id", "block_id"), "block_id", 10)
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("block_id").alias("n_blocks"))
