@@ -41,11 +41,12 @@ def inside_polygon(lon: Column, lat: Column, ring: list[tuple[float, float]]) ->
     crossings = F.lit(0)
     on_edge = F.lit(False)
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        # which side of the edge the point is on; one expression decides crossing and touching
+        side = (lon - x1) * (y2 - y1) - (lat - y1) * (x2 - x1)
         if y1 != y2:
-            x_at_lat = (lat - y1) * (x2 - x1) / (y2 - y1) + x1
             straddles = (F.lit(y1) > lat) != (F.lit(y2) > lat)
-            crossings = crossings + F.when(straddles & (lon < x_at_lat), 1).otherwise(0)
-        side = (lon - x1) * (y2 - y1) - (lat - y1) * (x2 - x1)
+            left = side < 0 if y2 > y1 else side > 0
+            crossings = crossings + F.when(straddles & left, 1).otherwise(0)
         on_edge = on_edge | (
             (side == 0)
             & lon.between(min(x1, x2), max(x1, x2))

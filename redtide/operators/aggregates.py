@@ -32,9 +32,8 @@ def daily_p95(
     first known value of the other columns."""
     keys = list(keys)
     dated = obs.where(F.col("obs_date").isNotNull())
-    levels = quantiles_wide(dated.select(*keys, *[f"`{s}`" for s in species]), keys, species, q, hot_rows)
-    attributes = dated.groupBy(*keys).agg(*[first_known(c, list(order)).alias(c) for c in first])
-    return attributes.join(levels, keys)
+    attributes = [first_known(c, list(order)).alias(c) for c in first]
+    return quantiles_wide(dated, keys, species, q, hot_rows, attributes)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -206,13 +205,10 @@ def bloom_targets(df: DataFrame, species: list[str], warning: dict[str, float],
 
 def fold_stats(df: DataFrame, keys: list[str], metrics: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mean, median and population standard deviation over folds, nulls skipped."""
-    simple = df.groupBy(*keys).agg(
-        *[x for m in metrics for x in (F.avg(m).alias(f"cv_{m}_mean"), F.stddev_pop(m).alias(f"cv_{m}_std"))],
-    )
-    medians = quantiles_wide(df.select(*keys, *metrics), keys, metrics, 0.5, hot_rows).withColumnsRenamed(
+    moments = [x for m in metrics for x in (F.avg(m).alias(f"cv_{m}_mean"), F.stddev_pop(m).alias(f"cv_{m}_std"))]
+    return quantiles_wide(df.select(*keys, *metrics), keys, metrics, 0.5, hot_rows, moments).withColumnsRenamed(
         {m: f"cv_{m}_median" for m in metrics}
     )
-    return simple.join(medians, keys)
 
 
 def macro_stats(df: DataFrame, keys: list[str], metrics: list[str], species: str = "species") -> DataFrame:

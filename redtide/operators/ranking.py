@@ -124,11 +124,19 @@ def quantiles(
 
 
 def quantiles_wide(
-    df: DataFrame, keys: list[str], columns: list[str], p: float, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    p: float,
+    hot_rows: int = HOT_ROWS,
+    beside: list[Column] = (),
 ) -> DataFrame:
     """The exact `p` quantile of several columns, one output column each, one row per group
-    that has any row. Hot groups are unpivoted, ranked per column and pivoted back."""
-    plain = lambda part: part.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`"), p).alias(c) for c in columns])
+    that has any row. Hot groups are unpivoted, ranked per column and pivoted back.
+
+    `beside` are further aggregates of bounded state (first, avg, ...) to compute in the pass.
+    """
+    plain = lambda part: part.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`"), p).alias(c) for c in columns], *beside)
     hot = hot_groups(df.select(*keys), keys, hot_rows)
     if hot is None:
         return plain(df)
@@ -141,6 +149,8 @@ def quantiles_wide(
     )
     ranked = quantiles(long, [*keys, "_name"], "_value", {"_q": p}, hot_rows)
     warm = hot.join(ranked, keys, "left").groupBy(*keys).pivot("_name", columns).agg(F.first("_q"))
+    if beside:
+        warm = warm.join(df.join(hot, keys, "left_semi").groupBy(*keys).agg(*beside), keys)
     return plain(df.join(hot, keys, "left_anti")).unionByName(warm)
 
 

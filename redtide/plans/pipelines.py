@@ -9,6 +9,7 @@ from redtide import constants as K
 from redtide.functions.spectral import GRID_ROLES, SWATH_ROLES, spectral_indices
 from redtide.operators import clean, joins, matchup
 from redtide.operators.aggregates import daily_p95
+from redtide.session import written
 
 
 def prepare_observations(
@@ -61,8 +62,9 @@ def grid_matchup(
     location, indices per composite pixel, medians over the pixels."""
     spots = site_days(daily, days)
     scene_loc = ["location_id", *scene_keys]
-    candidates = joins.box_join(spots, pixels, half_deg)
-    # second, narrow read of the pixels: positions and flags only
+    # the few pixels near a location are written once; flags and bands then read that copy
+    # instead of scanning all pixels twice
+    candidates = written(joins.box_join(spots, pixels, half_deg))
     flags = matchup.scene_site_flags(candidates, scene_loc, F.first("obs_dates").alias("obs_dates"))
     masked = matchup.mask_grid_pixels(candidates, scene_loc, list(bands), flags)
     if iops:
@@ -147,7 +149,8 @@ def patch_matchup(
     products): best acquisition per pixel, joint validity, medians, acceptance."""
     obs_keys = ["location_id", "obs_date"]
     pixel_keys = [*obs_keys, *pixel]
-    seen = joins.window_days(daily.select(*obs_keys), days).join(acquisitions, ["location_id", "scene_date"])
+    # both reductions of a patch read the same acquisitions
+    seen = written(joins.window_days(daily.select(*obs_keys), days).join(acquisitions, ["location_id", "scene_date"]))
     best = matchup.best_acquisition(seen, pixel_keys, bands, lead)
     masked = spectral_indices(matchup.mask_joint(best, bands), roles)
     optical = masked.groupBy(*obs_keys).agg(

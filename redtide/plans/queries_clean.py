@@ -133,7 +133,7 @@ def b10(spark, sf):
 
 @query(
     "b12_swath_pixel_mask",
-    f"{with_views('pixels')} SELECT scene_date, count(*) AS n, count(b06) AS n_ok, round(sum(b06), 6) AS sum_b06 FROM (SELECT scene_date, CASE WHEN flags = 0 AND NOT isnan(b06) THEN b06 END AS b06 FROM (SELECT scene_date, CASE WHEN loc % 11 = 0 THEN NULL ELSE quality_flags END AS flags, CASE WHEN loc % 7 = 0 THEN cast('nan' AS double) ELSE b06 END AS b06 FROM fx_pixels) s) t GROUP BY 1",
+    f"{with_views('pixels')} SELECT scene_date, count(*) AS n, count(b06) AS n_ok, round(sum(b06), 12) AS sum_b06 FROM (SELECT scene_date, CASE WHEN flags = 0 AND NOT isnan(b06) THEN b06 END AS b06 FROM (SELECT scene_date, CASE WHEN loc % 11 = 0 THEN NULL ELSE quality_flags END AS flags, CASE WHEN loc % 7 = 0 THEN cast('nan' AS double) ELSE b06 END AS b06 FROM fx_pixels) s) t GROUP BY 1",
 )
 def b12(spark, sf):
     from redtide.operators.matchup import mask_swath_pixels
@@ -145,20 +145,20 @@ def b12(spark, sf):
         }
     )
     return mask_swath_pixels(raw, ["b06"]).groupBy("scene_date").agg(
-        F.count(F.lit(1)).alias("n"), F.count("b06").alias("n_ok"), r(F.sum("b06")).alias("sum_b06")
+        F.count(F.lit(1)).alias("n"), F.count("b06").alias("n_ok"), r(F.sum("b06"), 12).alias("sum_b06")
     )
 
 
 @query(
     "b13_joint_mask",
-    f"{with_views('pixels')} SELECT loc, count(*) FILTER (WHERE ok) AS n_ok, round(sum(CASE WHEN ok THEN b04 END), 6) AS sum_b04 FROM (SELECT *, data_mask = 1 AND b02 > 0 AND b04 > 0 AND b06 > 0 AS ok FROM fx_pixels) t GROUP BY 1",
+    f"{with_views('pixels')} SELECT loc, count(*) FILTER (WHERE ok) AS n_ok, round(sum(CASE WHEN ok THEN b04 END), 12) AS sum_b04 FROM (SELECT *, data_mask = 1 AND b02 > 0 AND b04 > 0 AND b06 > 0 AS ok FROM fx_pixels) t GROUP BY 1",
 )
 def b13(spark, sf):
     from redtide.operators.matchup import mask_joint
 
     raw = view(spark, sf, "pixels").withColumn("optical_valid", F.col("data_mask") == 1)
     masked = mask_joint(raw, ["b02", "b04", "b06"])
-    return masked.groupBy("loc").agg(F.count_if("joint_ok").alias("n_ok"), r(F.sum("b04")).alias("sum_b04"))
+    return masked.groupBy("loc").agg(F.count_if("joint_ok").alias("n_ok"), r(F.sum("b04"), 12).alias("sum_b04"))
 
 
 LIMITS_SQL = "(VALUES " + ", ".join(f"('{s}', '{t}', {v}e0)" for s, ts in THRESHOLDS.items() for t, v in ts.items()) + ") AS l(species, tier, threshold)"
@@ -217,26 +217,24 @@ def b19(spark, sf):
     return clean.slim(raw, "C", ["scene_no"], ["kd489"], ["lat", "lon"])
 
 
-# transverse Mercator by the Krueger series in n to third order, a formula of its own
-_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
-_A = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
-_E = 2 * math.sqrt(_N) / (1 + _N)
-UTM_SQL = f"""geo AS (SELECT *, radians(latitude) AS phi, radians(longitude + 69) AS lam FROM sites),
-    conf AS (SELECT *, sin(phi) AS s FROM geo),
-    tau AS (SELECT *, sinh(atanh(s) - {_E} * atanh({_E} * s)) AS t FROM conf),
-    ab AS (SELECT *, atan2(t, cos(lam)) AS xi0, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta0 FROM tau),
-    xy AS (SELECT *, 500000e0 + 0.9996e0 * {_A} * (eta0 + {" + ".join(f"{a} * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, a in enumerate(_ALPHA, 1))}) AS x_m,
-      0.9996e0 * {_A} * (xi0 + {" + ".join(f"{a} * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, a in enumerate(_ALPHA, 1))}) AS y_m FROM ab)"""
+# Snyder 1987, equations 3-21 and 8-9 to 8-15, zone 19; tests compare with another series
+_E2 = (1 / 298.257223563) * (2 - 1 / 298.257223563)
+_EP2 = _E2 / (1 - _E2)
+UTM_SQL = f"""geo AS (SELECT *, radians(latitude) AS phi FROM sites),
+    trig AS (SELECT *, 6378137e0 / sqrt(1 - {_E2} * sin(phi) * sin(phi)) AS nn, tan(phi) * tan(phi) AS tt, {_EP2} * cos(phi) * cos(phi) AS cc, radians(longitude + 69) * cos(phi) AS aa,
+      6378137e0 * ({1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256} * phi - {3 * _E2 / 8 + 3 * _E2**2 / 32 + 45 * _E2**3 / 1024} * sin(2 * phi)
+        + {15 * _E2**2 / 256 + 45 * _E2**3 / 1024} * sin(4 * phi) - {35 * _E2**3 / 3072} * sin(6 * phi)) AS mm FROM geo),
+    xy AS (SELECT *, 500000e0 + 0.9996e0 * nn * (aa + (1 - tt + cc) * power(aa, 3) / 6 + (5 - 18 * tt + tt * tt + 72 * cc - 58 * {_EP2}) * power(aa, 5) / 120) AS x_m,
+      0.9996e0 * (mm + nn * tan(phi) * (power(aa, 2) / 2 + (5 - tt + 9 * cc + 4 * cc * cc) * power(aa, 4) / 24 + (61 - 58 * tt + tt * tt + 600 * cc - 330 * {_EP2}) * power(aa, 6) / 720)) AS y_m FROM trig)"""
 
 
 @query(
     "b20_utm_projection",
-    f"{with_views('obs')}, sites AS (SELECT DISTINCT loc, latitude, longitude FROM fx_obs WHERE longitude < -66), {UTM_SQL} SELECT loc, round(x_m, 1) AS x_m, round(y_m, 1) AS y_m FROM xy",
+    f"{with_views('obs')}, sites AS (SELECT DISTINCT loc, latitude, longitude FROM fx_obs WHERE longitude < -66), {UTM_SQL} SELECT loc, round(x_m, 5) AS x_m, round(y_m, 5) AS y_m FROM xy",
 )
 def b20(spark, sf):
     sites = view(spark, sf, "obs").where("longitude < -66").select("loc", "latitude", "longitude").distinct()
-    return rounded(clean.project_utm(sites).select("loc", "x_m", "y_m"), ["x_m", "y_m"], 1)
+    return rounded(clean.project_utm(sites).select("loc", "x_m", "y_m"), ["x_m", "y_m"], 5)
 
 
 CANDIDATES = ["depth", "view", "nothing", "absent", "click"]

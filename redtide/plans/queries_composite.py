@@ -138,11 +138,11 @@ def composite(spark, sf):
 
 @query(
     "d3_composite",
-    f"{COMPOSITE} SELECT location_id, obs_date, round(roms_temp_sur, 6) AS roms_temp_sur, {sql_rounded(COMPOSITE_COLUMNS, 12)} FROM composite",
+    f"{COMPOSITE} SELECT location_id, obs_date, round(roms_temp_sur, 6) AS roms_temp_sur, {sql_rounded(COMPOSITE_COLUMNS, 15)} FROM composite",
 )
 def d3(spark, sf):
     out = composite(spark, sf).select("location_id", "obs_date", "roms_temp_sur", *COMPOSITE_COLUMNS)
-    return rounded(rounded(out, ["roms_temp_sur"]), COMPOSITE_COLUMNS, 12)
+    return rounded(rounded(out, ["roms_temp_sur"]), COMPOSITE_COLUMNS, 15)
 
 
 @query(
@@ -251,12 +251,12 @@ IMPUTED = ["C_rrs_412", "A_rrs_412", "CHL_NN", "roms_temp_sur"]
 @query(
     "e14_impute_median",
     f"{COMPOSITE}, med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in IMPUTED)} FROM composite) SELECT location_id, obs_date, "
-    + ", ".join(f"round(coalesce({c}, m_{c}), 12) AS {c}" for c in IMPUTED)
+    + ", ".join(f"round(coalesce({c}, m_{c}), {6 if 'roms' in c else 15}) AS {c}" for c in IMPUTED)
     + " FROM composite CROSS JOIN med",
 )
 def e14(spark, sf):
     out = aggregates.impute_median(composite(spark, sf).select("location_id", "obs_date", *IMPUTED), IMPUTED)
-    return rounded(out, IMPUTED, 12)
+    return rounded(rounded(out, IMPUTED[:-1], 15), IMPUTED[-1:])
 
 
 # ------------------------------------------------------------------ D10, E23, E26-E30

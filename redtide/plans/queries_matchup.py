@@ -10,6 +10,7 @@ from redtide.operators import aggregates, clean, joins, matchup
 from redtide.plans import pipelines
 from redtide.plans.fixtures import BANDS, HALF, SPECIES, view, with_views
 from redtide.plans.registry import query, r, rounded, sql_rounded
+from redtide.session import written
 
 ROLES = {b: b for b in BANDS}
 LOCATION_SQL = (
@@ -70,7 +71,7 @@ MATCHED = f"""matched AS (SELECT s.location_id, s.obs_date, p.* FROM sites s JOI
 @query(
     "d5_box_join",
     f"""{with_views('obs', 'pixels')}, {OBS}, {DAILY}, {SITES}, {MATCHED}
-    SELECT location_id, obs_date, count(*) AS n_pixels, count(DISTINCT scene_date) AS n_days, round(sum(b06), 6) AS sum_b06
+    SELECT location_id, obs_date, count(*) AS n_pixels, count(DISTINCT scene_date) AS n_days, round(sum(b06), 12) AS sum_b06
     FROM matched GROUP BY ALL""",
 )
 def d5(spark, sf):
@@ -79,7 +80,7 @@ def d5(spark, sf):
         joins.box_join(spots, view(spark, sf, "pixels"), HALF)
         .withColumn("obs_date", F.explode("obs_dates"))
         .groupBy("location_id", "obs_date")
-        .agg(F.count(F.lit(1)).alias("n_pixels"), F.countDistinct("scene_date").alias("n_days"), r(F.sum("b06")).alias("sum_b06"))
+        .agg(F.count(F.lit(1)).alias("n_pixels"), F.countDistinct("scene_date").alias("n_days"), r(F.sum("b06"), 12).alias("sum_b06"))
     )
 
 
@@ -100,7 +101,7 @@ def candidates(spark, sf):
 
 def masked(spark, sf):
     return matchup.mask_iops(
-        matchup.mask_grid_pixels(candidates(spark, sf), ["location_id", "scene_date", "scene_no"], BANDS), IOPS
+        matchup.mask_grid_pixels(written(candidates(spark, sf)), ["location_id", "scene_date", "scene_no"], BANDS), IOPS
     )
 
 
@@ -108,7 +109,7 @@ def masked(spark, sf):
     "b11_grid_pixel_mask",
     f"""{with_views('obs', 'pixels')}, {OBS}, {DAILY}, {SITES}, {MATCHED}, {MASKED}
     SELECT location_id, obs_date, scene_date, scene_no, count(*) AS n_pixels, count(*) FILTER (WHERE pixel_ok) AS n_ok,
-    round(sum(b06), 6) AS sum_b06, count(b02) AS n_b02 FROM masked GROUP BY ALL""",
+    round(sum(b06), 12) AS sum_b06, count(b02) AS n_b02 FROM masked GROUP BY ALL""",
 )
 def b11(spark, sf):
     return (
@@ -118,7 +119,7 @@ def b11(spark, sf):
         .agg(
             F.count(F.lit(1)).alias("n_pixels"),
             F.count_if("pixel_ok").alias("n_ok"),
-            r(F.sum("b06")).alias("sum_b06"),
+            r(F.sum("b06"), 12).alias("sum_b06"),
             F.count("b02").alias("n_b02"),
         )
     )
@@ -127,14 +128,14 @@ def b11(spark, sf):
 @query(
     "b14_iop_mask",
     f"""{with_views('obs', 'pixels')}, {OBS}, {DAILY}, {SITES}, {MATCHED}, {MASKED}
-    SELECT location_id, obs_date, {", ".join(f"count({c}) AS n_{c}, round(sum({c}), 6) AS sum_{c}" for c in IOPS)} FROM masked GROUP BY ALL""",
+    SELECT location_id, obs_date, {", ".join(f"count({c}) AS n_{c}, round(sum({c}), 12) AS sum_{c}" for c in IOPS)} FROM masked GROUP BY ALL""",
 )
 def b14(spark, sf):
     return (
         masked(spark, sf)
         .withColumn("obs_date", F.explode("obs_dates"))
         .groupBy("location_id", "obs_date")
-        .agg(*[x for c in IOPS for x in (F.count(c).alias(f"n_{c}"), r(F.sum(c)).alias(f"sum_{c}"))])
+        .agg(*[x for c in IOPS for x in (F.count(c).alias(f"n_{c}"), r(F.sum(c), 12).alias(f"sum_{c}"))])
     )
 
 
@@ -215,7 +216,7 @@ ANY_BAND = "(" + " OR ".join(f"{b} IS NOT NULL" for b in BANDS) + ")"
       ON f.location_id = d.location_id AND f.obs_date = d.obs_date""",
 )
 def e5(spark, sf):
-    obs = daily(spark, sf).drop("depth")
+    obs = written(daily(spark, sf).drop("depth"))
     features = pipelines.grid_matchup(
         obs, view(spark, sf, "pixels"), ["scene_date", "scene_no"], BANDS, IOPS, ROLES, HALF
     )

@@ -12,7 +12,7 @@ from redtide.plans import pipelines
 from redtide.plans.fixtures import BANDS, HALF, fields, view, with_views
 from redtide.plans.queries_clean import polygon_sql
 from redtide.plans.queries_matchup import ANY_BAND, DAILY, OBS, ROLES, SITES, daily, indexed_sql
-from redtide.plans.registry import query, r, rounded, sql_rounded
+from redtide.plans.registry import digits, query, rounded, sql_rounded
 
 # ------------------------------------------------------------------ D6, D8, D9, E2, E3, E21
 
@@ -169,7 +169,7 @@ SWATH_COLUMNS = ["b06", "b08", "NDCI", "MCI", "FLHmax"]
     used AS (SELECT location_id, obs_date, count(*) AS n_scenes FROM sites JOIN outline o ON o.scene_date BETWEEN obs_date - 3 AND obs_date
       AND e >= longitude - 0.02 AND w <= longitude + 0.02 AND n >= latitude - 0.02 AND s <= latitude + 0.02 GROUP BY ALL)
     SELECT location_id, obs_date, count(*) FILTER (WHERE {ANY_BAND}) AS n_valid_pixels, round(100e0 * count(*) FILTER (WHERE {ANY_BAND}) / {N_SIDE * N_SIDE}, 6) AS pct_valid_pixels,
-    any_value(n_scenes) AS n_scenes, {", ".join(f"round(quantile_cont({c}, 0.5), {7 if c == 'NDCI' else 12}) AS {c}" for c in SWATH_COLUMNS)}
+    any_value(n_scenes) AS n_scenes, {", ".join(f"floor(quantile_cont({c}, 0.5) * 1e{digits(c)} + 0.5e0) / 1e{digits(c)} AS {c}" for c in SWATH_COLUMNS)}
     FROM indexed JOIN used USING (location_id, obs_date) GROUP BY location_id, obs_date HAVING count(*) FILTER (WHERE {ANY_BAND}) >= 3""",
 )
 def e5_swath(spark, sf):
@@ -232,7 +232,7 @@ ALL_POSITIVE = " AND ".join(f"{b} > 0" for b in BANDS)
     medians AS (SELECT loc, obs_date, quantile_cont(CASE WHEN chl > 0 THEN chl END, 0.5) AS chl FROM products GROUP BY ALL)
     SELECT loc, obs_date, CASE WHEN n_optical >= 3 THEN n_joint ELSE n_optical END AS n_valid_pixels,
       round(100e0 * CASE WHEN n_optical >= 3 THEN n_joint ELSE n_optical END / n_total, 6) AS pct_valid_pixels, round(chl, 9) AS chl,
-      {", ".join(f"round(CASE WHEN n_optical >= 3 THEN {c} END, {7 if c == 'NDCI' else 12}) AS {c}" for c in PATCH_COLUMNS)}
+      {", ".join(f"floor(CASE WHEN n_optical >= 3 THEN {c} END * 1e{digits(c)} + 0.5e0) / 1e{digits(c)} AS {c}" for c in PATCH_COLUMNS)}
     FROM optical JOIN medians USING (loc, obs_date) WHERE (n_optical >= 3 AND n_joint >= 3) OR (n_optical < 3 AND chl IS NOT NULL)""",
 )
 def e8(spark, sf):

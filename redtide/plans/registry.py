@@ -36,14 +36,20 @@ RATIOS = {"DINI", "KBBI", "NDNI", "NDCI", "NDWI", "RedEdge_Ratio", "CI", "BlueGr
 }
 
 
-def digits(column: str, dp: int | None) -> int:
-    return dp if dp is not None else 11 if column == "GBI" else 7 if column in RATIOS else 12
+def digits(column: str) -> int:
+    return 4 if column == "DINI" else 11 if column == "GBI" else 17 if column == "EBI" else 7 if column in RATIOS else 12
 
 
 def rounded(df: DataFrame, columns: list[str], dp: int | None = 6) -> DataFrame:
-    """Round the columns; `dp=None` picks the digits that suit a spectral column."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits(c, dp)) for c in columns})
+    """Round the columns. `dp=None` picks the digits that suit a spectral column and rounds by
+    plain arithmetic, which is much cheaper for wide tables than decimal rounding."""
+    if dp is not None:
+        return df.withColumns({c: F.round(F.col(f"`{c}`"), dp) for c in columns})
+    scale = lambda c: 10.0 ** digits(c)
+    return df.withColumns({c: F.floor(F.col(f"`{c}`") * scale(c) + 0.5) / scale(c) for c in columns})
 
 
 def sql_rounded(columns: list[str], dp: int | None = 6) -> str:
-    return ", ".join(f"round({c}, {digits(c, dp)}) AS {c}" for c in columns)
+    if dp is not None:
+        return ", ".join(f"round({c}, {dp}) AS {c}" for c in columns)
+    return ", ".join(f"floor({c} * 1e{digits(c)} + 0.5e0) / 1e{digits(c)} AS {c}" for c in columns)

@@ -43,3 +43,11 @@ def checkpointed(df):
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df):
+    """A parquet copy in the shared folder, read back: lineage is cut and later steps read only
+    the columns they need. For an intermediate result that several steps use."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
