@@ -58,6 +58,23 @@ def box_join(
     return right.join(left, keys).where(near).drop("_cy", "_cx", "_salt")
 
 
+def prune_pixels(pixels: DataFrame, sites: DataFrame, reach_deg: float, day: str = "scene_date") -> DataFrame:
+    """Pixels in the days and the bounding box of the sites, widened by `reach_deg`.
+
+    Six numbers of the (small) site table become literals, so the scan of the pixels can skip
+    partitions and row groups before any join.
+    """
+    box = sites.agg(
+        F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude"), F.min(day), F.max(day)
+    ).first()
+    if box[0] is None:
+        return pixels.limit(0)
+    south, north, west, east = box[0] - reach_deg, box[1] + reach_deg, box[2] - reach_deg, box[3] + reach_deg
+    return pixels.where(
+        F.col("lat").between(south, north) & F.col("lon").between(west, east) & F.col(day).between(box[4], box[5])
+    )
+
+
 def nearest_cell(obs: DataFrame, grid: DataFrame, max_deg: float = K.MAX_GRID_DIST_DEG, bbox=K.MODEL_BBOX) -> DataFrame:
     """The nearest ocean cell of every observation, null beyond `max_deg` or outside the box.
 

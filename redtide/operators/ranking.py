@@ -161,7 +161,7 @@ def midrank_totals(df: DataFrame, keys: list[str], value: str, weights: dict[str
 
 
 def smallest_by_hash(
-    df: DataFrame, keys: list[str], rank_hash: str, tie: str, wanted: DataFrame, buckets: int = 4096
+    df: DataFrame, keys: list[str], rank_hash: str, tie: str, wanted: DataFrame, buckets: int = 2**16
 ) -> DataFrame:
     """Per group, the last (hash, tie) among its `_take` smallest; `wanted` has keys and `_take`.
 

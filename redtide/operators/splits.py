@@ -65,7 +65,7 @@ def usable_folds(split: DataFrame, labels: list[str]) -> DataFrame:
     return counted.select("fold", "n_train", "n_test", usable.alias("usable"))
 
 
-def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 4096) -> DataFrame:
+def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**16) -> DataFrame:
     """`ordinal`: position (from 1) in (`_h`, id) order within the keys.
 
     Hashes are uniform, so equal-width buckets are equally full. Buckets are counted first and

@@ -60,7 +60,8 @@ def grid_matchup(
 ) -> DataFrame:
     """Features per (location, day): composite of the past days' scenes in the box around the
     location, indices per composite pixel, medians over the pixels."""
-    spots = site_days(daily, days)
+    spots = written(site_days(daily, days))
+    pixels = joins.prune_pixels(pixels, spots, half_deg * 1.001)
     scene_loc = ["location_id", *scene_keys]
     # the few pixels near a location are written once; flags and bands then read that copy
     # instead of scanning all pixels twice
@@ -97,7 +98,11 @@ def swath_matchup(
     min_valid: int = K.MIN_VALID_PIXELS,
 ) -> DataFrame:
     """As `grid_matchup` for irregular swaths, resampled to a fixed local grid first."""
-    spots = site_days(daily, days)
+    spots = written(site_days(daily, days))
+    # a pixel up to the search radius outside the box can still be the nearest; a scene's outline
+    # needs all its pixels, so only the days are cut for it
+    outlines = scenes_in_reach(spots, pixels, scene_keys, half_deg)
+    pixels = joins.prune_pixels(pixels, spots, half_deg + 0.1)
     gridded = joins.resample_nearest(spots, pixels, scene_keys, [*bands, flag], half_deg, res_deg, radius_m)
     masked = matchup.mask_swath_pixels(gridded, list(bands), flag)
     composite = matchup.mvc(
@@ -111,7 +116,7 @@ def swath_matchup(
         min_valid,
         total=joins.swath_side(half_deg, res_deg) ** 2,
     )
-    return summary.join(scenes_in_reach(spots, pixels, scene_keys, half_deg), ["location_id", "obs_date"])
+    return summary.join(outlines, ["location_id", "obs_date"])
 
 
 def scenes_in_reach(spots: DataFrame, pixels: DataFrame, scene_keys: list[str], half_deg: float) -> DataFrame:

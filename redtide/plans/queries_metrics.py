@@ -173,12 +173,17 @@ def tested_sql(source: str, keys: str, in_a: str) -> str:
     sums AS (SELECT {keys}, count(*) FILTER (WHERE in_a) AS n_a, count(*) FILTER (WHERE NOT in_a) AS n_b, avg(value) FILTER (WHERE in_a) AS mean_a, avg(value) FILTER (WHERE NOT in_a) AS mean_b,
       sum(midrank) FILTER (WHERE in_a) - count(*) FILTER (WHERE in_a) * (count(*) FILTER (WHERE in_a) + 1) / 2e0 AS u, sum(t * t - 1e0) AS ties FROM ranked GROUP BY {keys}),
     zed AS (SELECT *, (greatest(u, n_a * n_b - u) - n_a * n_b / 2e0 - 0.5e0) / sqrt(n_a * n_b / 12e0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1e0)))) AS z FROM sums WHERE n_a >= 2 AND n_b >= 2),
-    tested AS (SELECT *, CASE WHEN z <= 0 THEN 1 WHEN z > 4 THEN NULL ELSE {p_sql('z')} END AS p, 1 - 2 * u / (n_a * n_b) AS rbc FROM zed)"""
+    cnt AS (SELECT 0 AS m, 0 AS n, 0 AS v, 1e0 AS c UNION ALL SELECT m + d.x, n + 1 - d.x, v + d.x * n, sum(c) FROM cnt CROSS JOIN (VALUES (0), (1)) d(x)
+      WHERE m + d.x <= 8 AND n + 1 - d.x <= (SELECT max(greatest(n_a, n_b)) FROM zed WHERE ties = 0 AND least(n_a, n_b) <= 8) GROUP BY ALL),
+    exact AS (SELECT {keys}, least(1, 2 * sum(c) FILTER (WHERE v >= greatest(u, n_a * n_b - u)) / sum(c)) AS p_exact FROM zed JOIN cnt ON m = least(n_a, n_b) AND n = greatest(n_a, n_b)
+      WHERE ties = 0 AND least(n_a, n_b) <= 8 GROUP BY {keys}),
+    tested AS (SELECT *, coalesce(p_exact, CASE WHEN z <= 0 THEN 1 WHEN z > 4 THEN NULL ELSE {p_sql('z')} END) AS p, 1 - 2 * u / (n_a * n_b) AS rbc FROM zed LEFT JOIN exact USING ({keys}))"""
 
 
 EFFECT = "CASE WHEN abs(rbc) < 0.1 THEN 'negligible' WHEN abs(rbc) < 0.3 THEN 'small' WHEN abs(rbc) < 0.5 THEN 'medium' ELSE 'large' END"
 LONG = "long AS (SELECT ac, track_type, tier, species, 'f1' AS metric, f1 AS value FROM fx_folds UNION ALL SELECT ac, track_type, tier, species, 'prauc', prauc FROM fx_folds)"
-MW = f"{with_views('folds')}, {LONG}, {tested_sql('long', 'ac, tier, species, metric', "track_type = '_only'")}"
+RECURSIVE = with_views("folds").replace("WITH ", "WITH RECURSIVE ", 1)
+MW = f"{RECURSIVE}, {LONG}, {tested_sql('long', 'ac, tier, species, metric', "track_type = '_only'")}"
 
 
 @query(
@@ -193,7 +198,7 @@ def v24(spark, sf):
 
 PAIR_LONG = """pairs AS (SELECT DISTINCT a.track_type, a.tier, a.species, a.metric, a.ac AS ac_a, b.ac AS ac_b FROM long a JOIN long b ON a.track_type = b.track_type AND a.tier = b.tier AND a.species = b.species AND a.metric = b.metric AND a.ac < b.ac),
     sided AS (SELECT right(l.track_type, 4) AS track_type, tier, species, metric, p.ac_a, p.ac_b, l.ac, l.value FROM long l JOIN pairs p USING (track_type, tier, species, metric) WHERE l.ac IN (p.ac_a, p.ac_b))"""
-MW_PAIRS = f"{with_views('folds')}, {LONG}, {PAIR_LONG}, {tested_sql('sided', 'track_type, tier, species, metric, ac_a, ac_b', 'ac = ac_a')}"
+MW_PAIRS = f"{RECURSIVE}, {LONG}, {PAIR_LONG}, {tested_sql('sided', 'track_type, tier, species, metric, ac_a, ac_b', 'ac = ac_a')}"
 
 
 @query(

@@ -1,5 +1,6 @@
 """Metrics, tests and blocks against plain Python."""
 
+import itertools
 import math
 import random
 
@@ -91,6 +92,21 @@ def test_mann_whitney_golden_case(spark):
     assert r["p_value"] == pytest.approx(math.erfc((2500 - 502 - 1250 - 0.5) / spread / math.sqrt(2)), rel=1e-9)
 
 
+def test_small_samples_are_tested_exactly(spark):
+    rng = random.Random(1)
+    cells = [("x", [rng.random() for _ in range(4)], [rng.random() + 0.4 for _ in range(7)]), ("y", [1.0, 2.0], [3.0, 4.0, 5.0])]
+    rows = [(k, t, v) for k, a, b in cells for t, vs in (("A_only", a), ("A_roms", b)) for v in vs]
+    df = spark.createDataFrame(rows, "species string, track string, f1 double").withColumns({"tier": F.lit("t"), "ac": F.lit("A")})
+    got = {r["species"]: (r["U_stat"], r["p_value"]) for r in significance.mann_whitney(df, ["f1"]).collect()}
+    for k, a, b in cells:
+        u = sum(x > y for x in a for y in b)
+        m, n = len(a), len(b)
+        # all ways to place sample a among the ranks
+        us = [sum(c) - m * (m - 1) // 2 for c in itertools.combinations(range(m + n), m)]
+        want = min(1.0, 2 * sum(v >= max(u, m * n - u) for v in us) / len(us))
+        assert got[k] == (u, pytest.approx(want))
+
+
 def test_normal_tail(spark):
     zs = [0.001, 0.005, 0.02, 0.3, 1.0, 1.96, 3.3, 4.5, 6.0, 9.0]
     df = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_two_sided_p(F.col("z")).alias("p"))

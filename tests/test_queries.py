@@ -50,7 +50,6 @@ def plan(df):
 
 def test_space_and_time_joins_are_equi_joins(spark, sf):
     obs = daily(spark, sf)
-    grid = view(spark, sf, "grid")
     points = read(spark, sf, "part").selectExpr("p_partkey AS id", "p_retailprice AS x_m", "cast(p_size AS double) AS y_m")
     built = [
         candidates(spark, sf),
@@ -62,7 +61,6 @@ def test_space_and_time_joins_are_equi_joins(spark, sf):
         ),
         joins.distance_pairs(points, 10.0),
     ]
-    del grid
     for df in built:
         text = plan(df)
         assert "NestedLoop" not in text and "CartesianProduct" not in text
