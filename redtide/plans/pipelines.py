@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from redtide import constants as K
 from redtide.functions.spectral import GRID_ROLES, SWATH_ROLES, spectral_indices
-from redtide.operators import clean, joins, matchup
-from redtide.operators.aggregates import daily_p95
+from redtide.operators import blocking, clean, joins, matchup, metrics
+from redtide.operators.aggregates import daily_p95, fold_stats, impute_median
 from redtide.session import written
 
 
@@ -66,7 +66,7 @@ def grid_matchup(
     # the few pixels near a location are written once; flags and bands then read that copy
     # instead of scanning all pixels twice
     candidates = written(joins.box_join(spots, pixels, half_deg))
-    flags = matchup.scene_site_flags(candidates, scene_loc, F.first("obs_dates").alias("obs_dates"))
+    flags = matchup.scene_site_flags(candidates, scene_loc)
     masked = matchup.mask_grid_pixels(candidates, scene_loc, list(bands), flags)
     if iops:
         masked = matchup.mask_iops(masked, list(iops))
@@ -77,7 +77,8 @@ def grid_matchup(
         indexed, ["location_id", "obs_date"], list(bands), [*bands, *K.INDEX_NAMES, *iops], min_valid
     )
     used = (
-        flags.withColumn("obs_date", F.explode("obs_dates"))
+        flags.join(spots.select("location_id", "scene_date", "obs_dates"), ["location_id", "scene_date"])
+        .withColumn("obs_date", F.explode("obs_dates"))
         .groupBy("location_id", "obs_date")
         .agg(F.count(F.lit(1)).alias("n_mosaics_used"))
     )
@@ -183,3 +184,74 @@ def composite_table(base: DataFrame, sources: dict[str, DataFrame], shared: list
         for prefix, df in sources.items()
     ]
     return clean.assert_no_suffix_columns(joins.compose(clean.with_micro_keys(clean.same_day(base)), sides, keys))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def evaluation_frames(
+    composite: DataFrame,
+    prefixes: dict[str, str] = K.SOURCE_PREFIXES,
+    model_features: list[str] = K.MODEL_FEATURES,
+    numbered: str = "C_",
+    spatial_block=None,
+) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+    """Rows and features of the random evaluation: same-day rows with season, one band naming,
+    excluded locations gone, only rows every source has, medians in the gaps.
+
+    Returns the colour-only frame, the frame with model features (filled by its own medians)
+    and the features of each track. `spatial_block` is applied before the common rows are
+    taken, the order spatial evaluation needs.
+    """
+    rows = clean.same_day(composite) if "delta_days" in composite.columns else composite
+    rows = clean.rename_bands(clean.with_season(rows), prefix=numbered)
+    rows = clean.exclude_locations(rows)
+    if spatial_block is not None:
+        rows = spatial_block(rows)
+    common = written(joins.common_rows(rows, prefixes))
+    hybrid = joins.filter_if_present(common)
+    wanted = clean.track_features(prefixes, model_features)
+    colour = {t: clean.resolve_features(common, fs) for t, fs in wanted.items() if t.endswith("_only")}
+    model = clean.resolve_features(hybrid, list(model_features))
+    tracks = {}
+    for track, features in colour.items():
+        if features:
+            base = track.removesuffix("_only")
+            tracks[track] = features
+            tracks[f"{base}_roms"] = clean.resolve_features(hybrid, features) + model
+    filled = list(dict.fromkeys(f for fs in tracks.values() for f in fs))
+    only_columns = [f for f in filled if f in common.columns]
+    return impute_median(common, only_columns), impute_median(hybrid, filled), tracks
+
+
+def spatial_blocks(rows: DataFrame, datasets, species: list[str], size_m: float, min_obs: int = 5, dataset_col: str = "dashboardIdName"):
+    """Spatial twin of the preparation: dataset scope, metres, bloom index, grid blocks, sparse
+    blocks merged."""
+    scoped = clean.with_bloom_index(clean.project_utm(clean.scope(rows, datasets, dataset_col)), species)
+    return blocking.merge_sparse_blocks(blocking.grid_blocks(scoped, size_m), min_obs, size_m)
+
+
+def fold_results(predictions: DataFrame, tags: list[str], spatial: bool = False) -> DataFrame:
+    """F1, precision, recall and average precision per tag, fold and species."""
+    keys = [*tags, "fold", "species"]
+    return metrics.prf(predictions, keys, spatial).join(metrics.average_precision(predictions, keys), keys)
+
+
+def species_comparison(folds: DataFrame, tags: list[str]) -> DataFrame:
+    return fold_stats(folds, [*tags, "species"], ["f1", "prauc", "recall", "precision"])
+
+
+def global_comparison(predictions: DataFrame, folds: DataFrame, tags: list[str], row_id: list[str] = ("row_id",)) -> DataFrame:
+    """Macro F1 and AP, Hamming loss, subset accuracy and Jaccard per fold, summed up over the
+    folds of each tag."""
+    keys = [*tags, "fold"]
+    per_fold = (
+        metrics.macro_by_fold(folds, keys)
+        .join(metrics.hamming_subset(predictions, keys, row_id), keys)
+        .join(metrics.jaccard_macro(predictions, keys), keys)
+    )
+    stats = fold_stats(per_fold, tags, ["f1_macro", "prauc_macro", "hamming", "subset_acc", "jaccard"])
+    counts = per_fold.groupBy(*tags).agg(
+        F.count(F.lit(1)).alias("n_folds_used"), F.avg("n_zero_positive").alias("avg_zero_pos_species_per_fold")
+    )
+    return stats.join(counts, tags)

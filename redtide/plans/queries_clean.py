@@ -76,6 +76,34 @@ def b4(spark, sf):
     return out.select("bin_id", "latitude", "longitude", "location_id")
 
 
+RING_SQL = polygon_sql(K.POLYGON_MATCHUP)
+
+
+@query(
+    "e1_prepared_observations",
+    f"""{with_views('obs')}, {OBS}, kept AS (SELECT * FROM obs WHERE year(obs_date) >= 2024 AND station NOT IN ('st2', 'st9')),
+    firsts AS (SELECT station, arg_min(location_id, (sample_time, bin_id)) AS first_id FROM kept WHERE station IN ('st1', 'st4', 'st7') GROUP BY station),
+    placed AS (SELECT sample_time, bin_id, obs_date, station, {", ".join(SPECIES)}, {STATION_CASE(0)} ELSE latitude END AS latitude, {STATION_CASE(1)} ELSE longitude END AS longitude,
+      coalesce(first_id, location_id) AS location_id FROM kept LEFT JOIN firsts USING (station)),
+    daily AS (SELECT location_id, obs_date, arg_min(latitude, (sample_time, bin_id)) AS latitude, arg_min(longitude, (sample_time, bin_id)) AS longitude, arg_min(station, (sample_time, bin_id)) AS station,
+      {", ".join(f"quantile_cont({s}, 0.95) AS {s}" for s in SPECIES)} FROM placed GROUP BY location_id, obs_date)
+    SELECT location_id, obs_date, latitude, longitude, station, {sql_rounded(SPECIES)} FROM daily WHERE {RING_SQL}""",
+)
+def e1_prepared(spark, sf):
+    from redtide.plans.pipelines import prepare_observations
+
+    out = prepare_observations(
+        located(spark, sf),
+        SPECIES,
+        ["latitude", "longitude", "station"],
+        ring=K.POLYGON_MATCHUP,
+        from_year=2024,
+        stations=STATIONS,
+        excluded=["st2", "st9"],
+    )
+    return rounded(out, SPECIES)
+
+
 @query(
     "b5_year_filter",
     "SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1996 AND year(o_orderdate) <= 1999",

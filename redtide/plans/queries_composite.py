@@ -259,6 +259,21 @@ def e14(spark, sf):
     return rounded(rounded(out, IMPUTED[:-1], 15), IMPUTED[-1:])
 
 
+# the evaluation frame: anchors are known in every row, model features are filled by their median
+@query(
+    "e14_evaluation_frame",
+    f"""{COMPOSITE}, common AS (SELECT * FROM composite WHERE C_rrs_412 IS NOT NULL AND A_rrs_412 IS NOT NULL AND B_rrs_412 IS NOT NULL AND location_id <> 'drqnp'),
+    med AS (SELECT quantile_cont(roms_temp_sur, 0.5) AS mt, quantile_cont(roms_u_sur, 0.5) AS mu FROM common)
+    SELECT location_id, obs_date, round(sin(2 * pi() * dayofyear(obs_date) / 365), 9) AS doy_sin, round(C_rrs_412, 15) AS C_rrs_412, round(A_rrs_412, 15) AS A_rrs_412,
+    round(coalesce(roms_temp_sur, mt), 6) AS roms_temp_sur, round(coalesce(roms_u_sur, mu), 6) AS roms_u_sur, 3 AS n_only, 8 AS n_roms FROM common CROSS JOIN med""",
+)
+def e14_frame(spark, sf):
+    _, hybrid, tracks = pipelines.evaluation_frames(composite(spark, sf))
+    out = hybrid.select("location_id", "obs_date", "doy_sin", "C_rrs_412", "A_rrs_412", "roms_temp_sur", "roms_u_sur")
+    out = out.withColumns({"n_only": F.lit(len(tracks["C2RCC_only"])), "n_roms": F.lit(len(tracks["C2RCC_roms"]))})
+    return rounded(rounded(rounded(out, ["doy_sin"], 9), ["C_rrs_412", "A_rrs_412"], 15), ["roms_temp_sur", "roms_u_sur"])
+
+
 # ------------------------------------------------------------------ D10, E23, E26-E30
 
 

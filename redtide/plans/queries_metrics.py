@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from redtide.operators import aggregates, metrics, ranking, significance
+from redtide.plans import pipelines
 from redtide.plans.fixtures import read, view, with_views
 from redtide.plans.registry import query, rounded
 
@@ -145,6 +146,42 @@ def v22(spark, sf):
     return rounded(metrics.macro_by_fold(per, ["fold"]), ["f1_macro", "prauc_macro"], 9)
 
 
+PER_SPECIES = f"""{CONF}, {STEPS}, gains AS (SELECT fold, species, n_pos, n_all, tp / (tp + fp) AS prec, tp / n_pos - lag(tp / n_pos, 1, 0) OVER (PARTITION BY fold, species ORDER BY score DESC) AS gain FROM steps),
+    ap AS (SELECT fold, species, sum(CASE WHEN n_pos > 0 AND n_pos < n_all THEN gain * prec END) AS prauc FROM gains GROUP BY ALL),
+    scored AS (SELECT fold, species, tp + fn AS n_positive, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+      CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0 END AS jac, prauc FROM conf JOIN ap USING (fold, species))"""
+
+
+def stats_sql(metrics_: list[str]) -> str:
+    return ", ".join(
+        f"round(avg({m}), 9) AS cv_{m}_mean, round(quantile_cont({m}, 0.5), 9) AS cv_{m}_median, round(stddev_pop({m}), 9) AS cv_{m}_std" for m in metrics_
+    )
+
+
+SPECIES_METRICS = ["f1", "prauc", "recall", "precision"]
+GLOBAL_METRICS = ["f1_macro", "prauc_macro", "hamming", "subset_acc", "jaccard"]
+stat_names = lambda ms: [f"cv_{m}_{s}" for m in ms for s in ("mean", "median", "std")]
+
+
+@query("v26_species_comparison", f"{PRED}, {PER_SPECIES} SELECT species, {stats_sql(SPECIES_METRICS)} FROM scored GROUP BY species")
+def v26_species(spark, sf):
+    folds = pipelines.fold_results(view(spark, sf, "predictions"), [])
+    return rounded(pipelines.species_comparison(folds, []), stat_names(SPECIES_METRICS), 9)
+
+
+@query(
+    "v26_global_comparison",
+    f"""{PRED}, {PER_SPECIES}, macro AS (SELECT fold, fold % 2 AS tag, avg(f1) AS f1_macro, avg(prauc) AS prauc_macro, avg(jac) AS jaccard, count(*) FILTER (WHERE n_positive = 0) AS zero FROM scored GROUP BY fold),
+    rowwise AS (SELECT fold, row_id, count(*) FILTER (WHERE y_true <> y_pred) AS wrong, count(*) AS labels FROM fx_predictions GROUP BY ALL),
+    ham AS (SELECT fold, sum(wrong) / sum(labels) AS hamming, count(*) FILTER (WHERE wrong = 0) / count(*) AS subset_acc FROM rowwise GROUP BY fold)
+    SELECT tag, {stats_sql(GLOBAL_METRICS)}, count(*) AS n_folds_used, round(avg(zero), 9) AS avg_zero_pos_species_per_fold FROM macro JOIN ham USING (fold) GROUP BY tag""",
+)
+def v26_global(spark, sf):
+    pred = view(spark, sf, "predictions").withColumn("tag", F.col("fold") % 2)
+    out = pipelines.global_comparison(pred, pipelines.fold_results(pred, ["tag"]), ["tag"])
+    return rounded(out, [*stat_names(GLOBAL_METRICS), "avg_zero_pos_species_per_fold"], 9)
+
+
 # ------------------------------------------------------------------ W2, V24, V25, E19
 
 
