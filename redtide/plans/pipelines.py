@@ -72,7 +72,8 @@ def grid_matchup(
         masked = matchup.mask_iops(masked, list(iops))
     per_obs = joins.pixel_keys(masked.withColumn("obs_date", F.explode("obs_dates")))
     composite = matchup.mvc(per_obs, ["location_id", "obs_date", "lat_px", "lon_px"], [*bands, *iops])
-    indexed = spectral_indices(composite, roles)
+    # one shuffle on the observation carries the bands; indices are worked out behind it
+    indexed = spectral_indices(composite.repartition("location_id", "obs_date"), roles)
     summary = matchup.spatial_summary(
         indexed, ["location_id", "obs_date"], list(bands), [*bands, *K.INDEX_NAMES, *iops], min_valid
     )
@@ -110,7 +111,7 @@ def swath_matchup(
         masked.withColumn("obs_date", F.explode("obs_dates")), ["location_id", "obs_date", "row", "col"], list(bands)
     )
     summary = matchup.spatial_summary(
-        spectral_indices(composite, roles),
+        spectral_indices(composite.repartition("location_id", "obs_date"), roles),
         ["location_id", "obs_date"],
         list(bands),
         [*bands, *K.INDEX_NAMES],
@@ -158,12 +159,16 @@ def patch_matchup(
     # both reductions of a patch read the same acquisitions
     seen = written(joins.window_days(daily.select(*obs_keys), days).join(acquisitions, ["location_id", "scene_date"]))
     best = matchup.best_acquisition(seen, pixel_keys, bands, lead)
-    masked = spectral_indices(matchup.mask_joint(best, bands), roles)
-    optical = masked.groupBy(*obs_keys).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count_if("optical_valid").alias("n_optical"),
-        F.count_if("joint_ok").alias("n_joint"),
-        *[F.percentile(F.when(F.col("joint_ok"), F.col(c)), 0.5).alias(c) for c in [*bands, *K.INDEX_NAMES]],
+    masked = spectral_indices(matchup.mask_joint(best, bands).repartition(*obs_keys), roles)
+    optical = matchup.few_medians(
+        masked,
+        obs_keys,
+        {c: F.when(F.col("joint_ok"), F.col(c)) for c in [*bands, *K.INDEX_NAMES]},
+        [
+            F.count(F.lit(1)).alias("n_total"),
+            F.count_if("optical_valid").alias("n_optical"),
+            F.count_if("joint_ok").alias("n_joint"),
+        ],
     )
     products = matchup.derived_max_median(seen, pixel_keys, obs_keys, derived)
     return matchup.accept_matchups(optical.join(products, obs_keys), [*bands, *K.INDEX_NAMES], derived, min_valid)
