@@ -184,7 +184,7 @@ def merge_sparse_blocks(
             .where(distance <= reach)
         )
     else:
-        offers = nearest_ring(sparse, anchors)
+        offers = nearest_ring(sparse, anchors, id_col)
     moves = offers.withColumn("_d", distance).groupBy(id_col).agg(F.min_by("_to", F.struct("_d", "_to")).alias("_to"))
     # totals after the move come from the block table, rows are touched once
     renamed = blocks.join(moves, id_col, "left").select(id_col, "_n", F.coalesce("_to", F.col(id_col)).alias("_new"))
@@ -194,7 +194,7 @@ def merge_sparse_blocks(
     return df.join(target, id_col).withColumn(id_col, F.col("_new")).select(*columns)
 
 
-def nearest_ring(sparse: DataFrame, anchors: DataFrame) -> DataFrame:
+def nearest_ring(sparse: DataFrame, anchors: DataFrame, id_col: str) -> DataFrame:
     """Offers for a search without a radius: buckets double until every sparse block has one.
 
     A found anchor at distance d is only final if buckets are at least d wide, so each round
@@ -219,7 +219,7 @@ def nearest_ring(sparse: DataFrame, anchors: DataFrame) -> DataFrame:
         found = offers if found is None else found.unionByName(offers)
         if width > 2 * span:
             return found
-        sparse = sparse.join(offers.select("block_id").distinct(), "block_id", "left_anti")
+        sparse = sparse.join(offers.select(id_col).distinct(), id_col, "left_anti")
         if sparse.isEmpty():
             return found
         width *= 2

@@ -36,6 +36,12 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def gathered(df: DataFrame, part_col: str) -> DataFrame:
+    """Rows of a partition value together, for few output files; adaptive execution splits a
+    value that has very many rows over several tasks."""
+    return df.hint("rebalance", part_col)
+
+
 def write_partition_once(df: DataFrame, path: str, part_col: str) -> None:
     """Append only partitions that are not there yet; finished ones are left alone.
 
@@ -47,12 +53,13 @@ def write_partition_once(df: DataFrame, path: str, part_col: str) -> None:
     except AnalysisException:
         done = None
     todo = df if done is None else df.join(done, part_col, "left_anti")
-    todo.repartition(part_col, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("append").partitionBy(part_col).parquet(path)
+    gathered(todo, part_col).write.mode("append").partitionBy(part_col).parquet(path)
 
 
 def append_checkpoint(df: DataFrame, path: str, part_col: str) -> None:
     """Replace the partitions `df` has and leave the others: a rerun of a date does not double it."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
+    out = gathered(df, part_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(part_col).parquet(path)
 
 
 def rounded_floats(df: DataFrame, dp: int = 5) -> DataFrame:
