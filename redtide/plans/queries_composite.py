@@ -11,6 +11,7 @@ from redtide.plans.queries_clean import THRESHOLDS
 from redtide.plans.queries_matchup import DAILY, OBS, daily, located
 from redtide.plans.queries_ocean import LAGGED, NEAREST
 from redtide.plans.registry import query, r, rounded, sql_rounded
+from redtide.session import written
 
 # ------------------------------------------------------------------ D1, D2, W1
 
@@ -255,7 +256,9 @@ IMPUTED = ["C_rrs_412", "A_rrs_412", "CHL_NN", "roms_temp_sur"]
     + " FROM composite CROSS JOIN med",
 )
 def e14(spark, sf):
-    out = aggregates.impute_median(composite(spark, sf).select("location_id", "obs_date", *IMPUTED), IMPUTED)
+    # written once: the medians and the filling read the same rows
+    rows = written(composite(spark, sf).select("location_id", "obs_date", *IMPUTED))
+    out = aggregates.impute_median(rows, IMPUTED)
     return rounded(rounded(out, IMPUTED[:-1], 15), IMPUTED[-1:])
 
 
