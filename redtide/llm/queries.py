@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import packing, quality, simhash
+from redtide.llm import packing, quality, simhash, token_files, warc
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,29 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     field = quality.fit_on(docs, documents(spark, sf_dir, "labels"))
     return quality.judge(docs, field)
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as byte planes and read back."""
+    return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written as archives and read back."""
+    found = warc.round_trip(documents(spark, sf_dir, "pages")).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM own),
+largest AS (SELECT hex, max(page_id) AS top FROM hashed GROUP BY hex),
+groups AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(v AS int), 1), '' ORDER BY k) AS digest
+  FROM (SELECT hex, k, list_sum(list_transform([0, 1, 2, 3, 4], lambda j: (1 << (4 - j)) * ((instr('0123456789abcdef', substr(hex, 1 + (5 * k + j) // 4, 1)) - 1) >> (3 - (5 * k + j) % 4) & 1))) AS v
+    FROM (SELECT DISTINCT hex FROM hashed), range(32) AS r(k)) GROUP BY hex)
+SELECT page_id, payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM hashed JOIN largest USING (hex) JOIN groups USING (hex)"""
