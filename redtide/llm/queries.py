@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import packing, quality, simhash, token_files, warc
+from redtide.llm import packing, quality, simhash, substrings, token_files, warc
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ SELECT page_id, payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id < top THEN top END AS refers_to
 FROM hashed JOIN largest USING (hex) JOIN groups USING (hex)"""
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside windows of 35 words that occur more than once."""
+    found = substrings.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
