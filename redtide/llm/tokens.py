@@ -4,11 +4,34 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: Chunks made of Latin letters, simple marks and single newlines only: each part is one pre-token.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", ".,!?;:#*$%&"
+_PLAIN = re.compile(f"(?:[{_LETTERS}{_MARKS}]+(?:\n(?!\n))?)+")
+_PARTS = re.compile(f"\n|[{_LETTERS}]+|[{_MARKS}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself where it is visible, the next
+    free one from 256 on where it isn't."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """Ids (as bytes) by chunk, found out when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key):
+        self[key] = out = self.find(key)
+        return out
 
 
 class ChunkEncoder:
@@ -21,6 +44,9 @@ class ChunkEncoder:
     words=False: a space belongs to the word behind it. A space with white space on both sides
     (or at the end of the text behind white space) could be inside a pre-token; such a text is
     encoded as a whole.
+
+    A chunk of plain Latin words and marks goes to the vocabulary's model part by part, any other
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, words: bool):
@@ -28,34 +54,45 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = words
-        self.known: dict[bytes, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _chunks(self, text: str) -> list[bytes] | None:
+        self.model, self.words = self.tokenizer.model, words
+        self.table = _byte_characters()
+        self.first = _Known(lambda chunk: self._chunk(chunk.decode(), ""))
+        self.later = _Known(lambda chunk: self._chunk(chunk.decode(), " "))
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _chunk(self, text: str, space: str) -> bytes:
+        parts = [text] if text.isascii() and text.isalpha() else _PARTS.findall(text) if _PLAIN.fullmatch(text) else None
+        if parts is None:
+            return self._whole(space + text)
+        if len(parts) > 1:
+            known = self.later if space else self.first
+            return b"".join([known[parts[0].encode()], *[self.first[p.encode()] for p in parts[1:]]])
+        seen = (space + text).encode()
         if self.words:
-            return text.encode().split()
-        if _UNSAFE.search(text):
-            return None
-        first, *rest = text.encode().split(b" ")
-        return [first, *(b" " + x for x in rest)]
+            seen = text.lower().encode()
+        return self._packed([t.id for t in self.model.tokenize(seen.decode("latin-1").translate(self.table))])
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; a null text has none."""
         if not text:
             return b""
-        chunks = self._chunks(text)
-        if chunks is None:
-            return self._bytes([text])[0]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = [x for x in set(chunks) if x not in self.known]
-        if new:
-            self.known.update(zip(new, self._bytes([x.decode() for x in new])))
-        return b"".join(map(self.known.__getitem__, chunks))
+        for known in (self.first, self.later):
+            if len(known) > CACHE_CHUNKS:
+                known.clear()
+        if self.words:
+            return b"".join(map(self.first.__getitem__, text.encode().split()))
+        if _UNSAFE.search(text):
+            return self._whole(text)
+        first, *rest = text.encode().split(b" ")
+        return b"".join([self.first[first], *map(self.later.__getitem__, rest)])
 
 
 _OPEN: dict[tuple, ChunkEncoder] = {}
