@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import packing, quality, simhash, substrings, token_files, warc
+from redtide.llm import packing, quality, simhash, substrings, suffixes, token_files, warc
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside windows of 35 words that occur more than once."""
     found = substrings.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes outside strings of 400 bytes that occur more than once."""
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
