@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import packing, quality, simhash, substrings, suffixes, token_files, warc
+from redtide.llm import packing, quality, simhash, substrings, suffixes, syncmers, token_files, warc
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes outside strings of 400 bytes that occur more than once."""
     found = suffixes.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    found = syncmers.edited_likeness(documents(spark, sf_dir))
+    return found.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
