@@ -155,8 +155,8 @@ def _with_places(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
     return docs.select(id_col, text_col, *extra).join(found, same, "left").select(id_col, text_col, "places", *extra)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept (words joined by one space), n_words, n_removed, kept_sha256 and the columns of `extra`."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), spaced: bool = True) -> DataFrame:
+    """id, kept (words joined by one space; with spaced=False a text that loses nothing stays as it is), n_words, n_removed, kept_sha256 and the columns of `extra`."""
 
     def strip(batches):
         for ids, texts, places, *rest in batches:
@@ -165,6 +165,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 words = words_of(text)
                 gone = covered(at, len(words))
                 kept = b" ".join(w for w, x in zip(words, gone.tolist()) if not x) if at else b" ".join(words)
+                if not at and not spaced:
+                    kept = (text or "").encode()
                 out.append((kept.decode(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             yield ids, *zip(*out), *rest
 
