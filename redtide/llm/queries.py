@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import lines, packing, quality, simhash, substrings, suffixes, syncmers, token_files, warc
+from redtide.llm import lines, packing, quality, sentencepieces, simhash, substrings, suffixes, syncmers, token_files, warc
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents but for repeated and nearly repeated ones."""
     found = lines.dedup_lines(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents, and the texts decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir), model), model)
+    return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
