@@ -34,9 +34,9 @@ from redtide.session import written
 
 LENGTH = 400
 RUN = 32
-GROUP = 16_384
+GROUP = 65_536  # segments of one anchor that one task takes: about 100 MB
 BATCH = 16_384
-NOTHING = 256  # the symbol outside a segment
+NOTHING = 255  # the symbol outside a segment; no byte of UTF-8
 
 
 def _anchored(data: bytes, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,14 +67,15 @@ def sketch_of(docs: DataFrame, text_col: str, length: int, run: int) -> Repeated
 
 
 def segments(docs: DataFrame, length: int = LENGTH, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, anchor, ahead, first, bytes): the bytes from `first` on, with the anchor `ahead`
-    bytes later, for each anchor that may occur twice."""
+    """(id, text_hash, anchor, ahead, first, n_bytes, bytes): the bytes from `first` on, with the anchor `ahead`
+    bytes later, for each anchor that may occur twice. Segments that are equal inside a batch are repeats;
+    one of them goes on for the others and their rows have null bytes."""
     may_repeat = docs.sparkSession.sparkContext.broadcast(sketch_of(docs, text_col, length, run))
 
     def cut(batches):
         sketch = may_repeat.value
         for ids, hashes, texts in batches:
-            out = []
+            out, met = [], {}
             for key, text_hash, text in zip(ids, hashes, texts):
                 data = text.encode() if text else b""
                 if len(data) < length:
@@ -88,13 +89,22 @@ def segments(docs: DataFrame, length: int = LENGTH, run: int = RUN, id_col: str
                 ends = np.concatenate([firsts[1:], [len(whose)]])
                 for a, b in zip(firsts[wanted[whose[firsts]]].tolist(), ends[wanted[whose[firsts]]].tolist()):
                     place = int(places[whose[a]])
-                    out.append((key, text_hash, int(grams[place].view(np.int64)), place - a, a, data[a : b - 1 + length]))
+                    anchor, part = int(grams[place].view(np.int64)), data[a : b - 1 + length]
+                    one = met.setdefault((place - a, part), len(out))
+                    if one < len(out):
+                        # a null row for this segment and, the first time, for the one that was met before
+                        if out[one][-2] is not None:
+                            out.append((*out[one][:6], None, None))
+                            out[one] = (*out[one][:6], None, out[one][7])
+                        out.append((key, text_hash, anchor, place - a, a, len(part), None, None))
+                    else:
+                        out.append((key, text_hash, anchor, place - a, a, len(part), True, part))
             if out:
                 yield list(zip(*out))
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), text_col)
-    return map_rows(rows, cut, f"id {kind}, text_hash bigint, anchor bigint, ahead int, first bigint, bytes binary")
+    return map_rows(rows, cut, f"id {kind}, text_hash bigint, anchor bigint, ahead int, first bigint, n_bytes bigint, alone boolean, bytes binary")
 
 
 def repeats_by_columns(parts: list[bytes], ahead: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -104,7 +114,7 @@ def repeats_by_columns(parts: list[bytes], ahead: list[int], length: int = LENGT
         return []
     shift = max(ahead)
     width = max(shift - a + len(p) for a, p in zip(ahead, parts))
-    table = np.full((len(parts), width), NOTHING, np.uint16)
+    table = np.full((len(parts), width), NOTHING, np.uint8)
     for row, a, p in zip(table, ahead, parts):
         row[shift - a : shift - a + len(p)] = np.frombuffer(p, np.uint8)
     columns = np.ascontiguousarray(table.T)
@@ -147,6 +157,8 @@ def _strings(part: bytes, length: int) -> np.ndarray:
 def repeated_places(docs: DataFrame, length: int = LENGTH, run: int = RUN, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, places): the byte ranges covered by repeated strings, as start << 32 | length."""
     cut = written(segments(docs, length, run, id_col, text_col))
+    settled = cut.where("bytes is null").select("id", "text_hash", F.shiftleft("first", 32).bitwiseOR(F.col("n_bytes")).alias("place"))
+    cut = cut.where("bytes is not null")
     large = cut.groupBy("anchor").count().where(F.col("count") > group)
     parts = F.ceil(F.col("count") / group).cast("bigint")
     dealt = (
@@ -162,6 +174,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, run: int = RUN, group
         found = repeats_by_columns([r[7] for r in rows], [r[2] for r in rows], length)
         out = [(rows[k][3], rows[k][4], rows[k][5] + a << 32 | b - a, None, None, None) for k, a, b in found]
         ranges: dict[int, list] = {}
+        told = set()
         for k, a, b in found:
             ranges.setdefault(k, []).append((a, b))
         for k, r in enumerate(rows):
@@ -170,7 +183,9 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, run: int = RUN, group
                 for a, b in ranges.get(k, ()):
                     settled[a : b - length + 1] = True
                 for (one, two), at, done in zip(_strings(r[7], length).view(np.int64).tolist(), range(r[5], r[5] + len(settled)), settled.tolist()):
-                    out.append((r[3], r[4], at << 32 | length, one, two, done))
+                    if not done or (one, two) not in told:
+                        out.append((r[3], r[4], at << 32 | length, one, two, done))
+                        told.add((one, two) if done else None)
         return list(zip(*out)) if out else None
 
     def run_batches(batches):
@@ -194,7 +209,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, run: int = RUN, group
     # a split group's strings: true if settled in their task, else they ask whether another task has them
     together = Window.partitionBy("h1", "h2")
     asked = found.where("done is not null").withColumn("n", F.count("*").over(together)).where("not done and n > 1")
-    hit = found.where("done is null").select("id", "text_hash", "place").unionByName(asked.select("id", "text_hash", "place"))
+    hit = found.where("done is null").select("id", "text_hash", "place").unionByName(asked.select("id", "text_hash", "place")).unionByName(settled)
     return hit.groupBy("id", "text_hash").agg(F.collect_list("place").alias("places"))
 
 
