@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from redtide import constants as K
-from redtide.functions.hashing import portable_hash
 from redtide.operators.joins import distance_pairs
-from redtide.operators.splits import portable_sample
+from redtide.operators.splits import portable_sample, split_ordinal
+from redtide.session import written
 
 
 def grid_blocks(df: DataFrame, size_m: float) -> DataFrame:
@@ -135,8 +135,8 @@ def block_stats(blocks: DataFrame) -> DataFrame:
 _SPREAD = {"min": F.min, "median": lambda c: F.percentile(c, 0.5), "max": F.max}
 
 
-def cluster_blocks(df: DataFrame, target: int = 30, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """k-means blocks on (x, y), k = max(1, round(n / target)).
+def cluster_blocks(df: DataFrame, target: int = 30, seed: int = 42, max_iter: int = 300, tolerance: float = 1e-4) -> DataFrame:
+    """k-means blocks on (x, y), k = max(1, round(n / target)), until centres move less than `tolerance`.
 
     Equal positions are clustered once with their count as weight, so a mooring with a third
     of all rows is one point; k is at most the number of distinct positions.
@@ -146,7 +146,7 @@ def cluster_blocks(df: DataFrame, target: int = 30, seed: int = 42, max_iter: in
     k = min(max(1, round(sizes[0] / target)), sizes[1])
     vectors = VectorAssembler(inputCols=["x_m", "y_m"], outputCol="_xy").transform(places)
     if k > 1:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_xy", weightCol="_w", predictionCol="_c").fit(vectors)
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance, featuresCol="_xy", weightCol="_w", predictionCol="_c").fit(vectors)
         placed = model.transform(vectors)
     else:
         placed = vectors.withColumn("_c", F.lit(0))
@@ -266,32 +266,29 @@ def moran_i(places: DataFrame, radius_m: float) -> DataFrame:
     )
 
 
-def moran_permutations(sample: DataFrame, id_col: str, value: str, radius_m: float, permutations: int) -> DataFrame:
-    """Moran's I of shuffled values, one row per permutation.
+def moran_permutations(df: DataFrame, id_col: str, value: str, radius_m: float, permutations: int) -> DataFrame:
+    """Moran's I of shuffled values, one row per permutation (`perm` from 1), over all rows.
 
-    Only for a sample of fixed size (see `moran_sweep`): positions are ranked once, values are
-    ranked by hash per permutation, and equal ranks meet. A permutation's task holds one
-    sample, whatever the table.
+    Rows are numbered by hash once for their seats and once per permutation, without ordering a whole
+    group in one task; a value moves to the seat with its number. Sums per permutation and position then meet
+    pairs of positions, as in `moran_i`. All permutations are one job.
     """
-    rows = sample.select(id_col, "x_m", "y_m", value)
-    seats = rows.withColumn("_seat", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(id_col)))
-    drawn = (
-        rows.select(id_col, value)
-        .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("_seat", F.row_number().over(Window.partitionBy("perm").orderBy(portable_hash(id_col, F.col("perm") + 1), id_col)))
-    )
-    mean, n, total = rows.agg(F.avg(value), F.count(value), F.var_pop(value) * F.count(value)).first()
-    points = seats.select(F.col("_seat").alias("id"), "x_m", "y_m")
-    pairs = distance_pairs(points, radius_m)
-    degree = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    linked = degree.count()
-    z = drawn.select("perm", "_seat", (F.col(value) - mean).alias("z"))
-    zi = z.select(F.col("perm"), F.col("_seat").alias("i"), F.col("z").alias("zi"))
-    zj = z.select(F.col("perm"), F.col("_seat").alias("j"), F.col("z").alias("zj"))
-    lagged = pairs.join(degree, "i").join(zj, "j").groupBy("perm", "i").agg((F.sum("zj") / F.max("deg")).alias("lag"))
-    return lagged.join(zi, ["perm", "i"]).groupBy("perm").agg(
-        (F.lit(n / linked / total if linked and total else None) * F.sum(F.col("zi") * F.col("lag"))).alias("moran_i")
-    )
+    known = df.where(F.col(value).isNotNull() & F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
+    mean, total = known.agg(F.avg(value), F.var_pop(value) * F.count(value)).first()
+    places = weighted_places(known, value).select("id", "x_m", "y_m", F.col("n").cast("bigint").alias("n"))
+    numbered = written(split_ordinal(known.select(F.col(id_col).alias("_id")), "_id", permutations + 1))
+    rows = known.select(F.col(id_col).alias("_id"), "x_m", "y_m", (F.col(value) - mean).alias("_z"))
+    seats = numbered.where("fold = 0").join(rows.drop("_z"), "_id").join(places, ["x_m", "y_m"]).select("ordinal", "id")
+    drawn = numbered.where("fold > 0").join(rows.select("_id", "_z"), "_id").select(F.col("fold").alias("perm"), "ordinal", "_z")
+    sums = written(drawn.join(seats, "ordinal").groupBy("perm", "id").agg(F.sum("_z").alias("z"), F.sum(F.col("_z") * F.col("_z")).alias("zz")))
+    pairs = written(distance_pairs(places.select("id", "x_m", "y_m"), radius_m).select("i", "j"))
+    near = pairs.join(places.select(F.col("id").alias("j"), F.col("n").alias("_nj")), "j").groupBy(F.col("i").alias("id")).agg(F.sum("_nj").alias("_n"))
+    degree = places.join(near, "id", "left").select("id", "n", (F.col("n") + F.coalesce("_n", F.lit(0)) - 1).alias("deg")).where("deg > 0")
+    reach = pairs.join(sums.select("perm", F.col("id").alias("j"), F.col("z").alias("zj")), "j").groupBy("perm", F.col("i").alias("id")).agg(F.sum("zj").alias("_zr"))
+    both = sums.join(degree, "id").join(reach, ["perm", "id"], "left")
+    term = (F.col("z") * (F.col("z") + F.coalesce("_zr", F.lit(0.0))) - F.col("zz")) / F.col("deg")
+    n = places.agg(F.sum("n")).first()[0]
+    return both.groupBy("perm").agg((F.lit(float(n or 0)) / F.sum("n") * F.sum(term) / F.lit(total or None)).alias("moran_i"))
 
 
 def moran_sweep(
@@ -299,18 +296,17 @@ def moran_sweep(
     id_col: str,
     value: str,
     radii: list[float] = K.MORAN_RADII_M,
-    sample_n: int | None = 2_000,
+    sample_n: int | None = None,
     permutations: int = 0,
     seed: int = 42,
 ) -> DataFrame:
-    """Moran's I per radius. The reference draws `sample_n` rows first (a fixed-size sample by
-    hash); None uses every row. Permutation p-values need the sample."""
+    """Moran's I per radius, over all rows; `sample_n` draws a sample by hash first (T4)."""
     known = df.where(F.col(value).isNotNull())
     rows = portable_sample(known, id_col, sample_n, seed) if sample_n else known
     out = None
     for radius in radii:
         one = moran_i(weighted_places(rows, value), radius)
-        if permutations and sample_n:
+        if permutations:
             drawn = moran_permutations(rows, id_col, value, radius, permutations)
             observed = F.col("moran_i")
             # one row on each side

@@ -75,6 +75,12 @@ def prune_pixels(pixels: DataFrame, sites: DataFrame, reach_deg: float, day: str
     )
 
 
+def prune_days(pixels: DataFrame, sites: DataFrame, day: str = "scene_date") -> DataFrame:
+    """Pixels between the first and the last day of the sites."""
+    first, last = sites.agg(F.min(day), F.max(day)).first()
+    return pixels.limit(0) if first is None else pixels.where(F.col(day).between(first, last))
+
+
 def nearest_cell(obs: DataFrame, grid: DataFrame, max_deg: float = K.MAX_GRID_DIST_DEG, bbox=K.MODEL_BBOX) -> DataFrame:
     """The nearest ocean cell of every observation, null beyond `max_deg` or outside the box.
 

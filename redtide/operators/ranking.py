@@ -24,15 +24,15 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, *extra:
     """Groups above `hot_rows` rows with their size `_n`, or None when there are none.
 
     Group sizes are looked at once, up front, from the key columns alone, and decide which plan
-    the caller builds. There are at most rows / hot_rows such groups, so the kept table is small
-    enough to broadcast; it is checkpointed so that no later stage counts again.
+    the caller builds. The kept table, rows / hot_rows groups at most, is checkpointed so that no
+    later stage counts again; how it is joined is left to the planner, which knows its size.
     """
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     if found.isEmpty():
         return None
     if extra:
         found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra).where(F.col("_n") > hot_rows)
-    return F.broadcast(checkpointed(found))
+    return checkpointed(found)
 
 
 def running_totals(
@@ -66,7 +66,6 @@ def running_totals(
         .drop("_cuts")
     )
     ahead = earlier(Window.partitionBy(*keys).orderBy(direction("_piece")))
-    # at most `pieces` rows per hot group: bounded like the cuts themselves
     offsets = (
         distinct.join(cuts.drop("_n"), keys)
         .groupBy(*keys, side.alias("_piece"))
@@ -75,7 +74,7 @@ def running_totals(
     )
     inside = earlier(Window.partitionBy(*keys, "_piece").orderBy(direction(value)))
     local = pieced.withColumns({f"_{n}_local": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
-    return local.join(F.broadcast(offsets), [*keys, "_piece"], "left").select(
+    return local.join(offsets, [*keys, "_piece"], "left").select(
         *keys,
         value,
         *names,
@@ -118,7 +117,9 @@ def quantiles(
             covers = (F.col("_c_before") <= rank) & (rank < F.col("_c_before") + F.col("_c"))
             picks.append(F.max(F.when(covers, F.col(value))).alias(f"_{name}_{end}"))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        blended.append((low + (spot - F.floor(spot)) * (high - low)).alias(name))
+        # the arithmetic of `percentile`, so that a group's size doesn't change the last bits
+        between = (F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high
+        blended.append(F.when(low == high, low).otherwise(between).alias(name))
     exact = totals.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).select(*keys, *blended)
     return plain(known.join(hot.drop("_n"), keys, "left_anti")).unionByName(exact)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,38 +14,42 @@ from redtide.operators.joins import source_pairs
 from redtide.operators.ranking import HOT_ROWS, midrank_totals
 
 
-def exact_rank_p(u: Column, m: Column, n: Column) -> Column:
-    """Two-sided exact p-value of the larger U for two small samples without ties.
+EXACT_UP_TO = 8  # values in the smaller sample; the rule of the library whose results are matched
+
+
+def exact_tail(u: float, m: int, n: int) -> float:
+    """Probability that U of samples of m and n values without ties is u or more, doubled, at most 1.
 
-    The number of orderings with a given U are the coefficients of
-    prod((1 - q ** (n + i)) / (1 - q ** i)), i = 1..m, built up factor by factor on an array.
+    The number of orderings with each U is a coefficient of prod((1 - q^(n+i)) / (1 - q^i)), i = 1..m,
+    and the same from both ends, so the low end up to m * n - u is summed: whole numbers, built up by
+    one difference and one running sum a factor.
     """
-    top = (m * n).cast("int")
-    ends = F.sequence(F.lit(0), top)
-    at = lambda c, j: F.when(j >= 0, F.get(c, j)).otherwise(0.0)
-    # binds an array to a name, so that it is worked out once and not once per use
-    let = lambda c, body: F.get(F.transform(F.array(c), body), F.lit(0))
-
-    def factor(c: Column, i: Column) -> Column:
-        times = F.transform(ends, lambda j: at(c, j) - at(c, (j - n - i).cast("int")))
-        steps = lambda j: F.sequence(F.lit(0), F.floor(j / i).cast("int"))
-        divided = lambda w: F.transform(
-            ends, lambda j: F.aggregate(steps(j), F.lit(0.0), lambda acc, t: acc + at(w, (j - t * i).cast("int")))
-        )
-        return let(times, divided)
-
-    start = F.transform(ends, lambda j: F.when(j == 0, 1.0).otherwise(0.0))
-    counts = F.aggregate(F.sequence(F.lit(1), m.cast("int")), start, factor)
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
-    share = lambda c: F.least(2 * add(F.slice(c, F.ceil(u).cast("int") + 1, top + 1)) / add(c), F.lit(1.0))
-    return let(counts, share)
-
-
-def rank_test(df: DataFrame, keys: list[str], value: str, in_a: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    low = int(m * n - u)
+    counts = np.zeros(low + 1, object)
+    counts[0] = 1
+    for i in range(1, m + 1):
+        if n + i <= low:
+            counts[n + i :] = counts[n + i :] - counts[: low + 1 - n - i]
+        for first in range(min(i, low + 1)):
+            counts[first::i] = np.cumsum(counts[first::i])
+    return min(1.0, 2 * int(counts.sum()) / math.comb(m + n, m))
+
+
+def exact_rank_p(u: Column, m: Column, n: Column, wanted: Column) -> Column:
+    """`exact_tail` where `wanted` holds, else null; batches of the table with one row a test."""
+
+    @F.pandas_udf("double")
+    def tails(us: pd.Series, ms: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else exact_tail(a, int(b), int(c)) for a, b, c in zip(us, ms, ns)], dtype="float64")
+
+    return tails(F.when(wanted, u.cast("double")), m, n)
+
+
+def rank_test(df: DataFrame, keys: list[str], value: str, in_a: str, hot_rows: int = HOT_ROWS, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
     """Two-sided Mann-Whitney test of the rows with `in_a` against the others, per group.
 
     U belongs to sample a. The p-value is the normal approximation with tie correction and
-    continuity, or exact when a sample has at most 8 values and nothing ties; groups with fewer
+    continuity, or exact when a sample has at most `exact_up_to` values and nothing ties; groups with fewer
     than two values on a side have no row.
     """
     a = F.col(in_a)
@@ -63,9 +71,10 @@ def rank_test(df: DataFrame, keys: list[str], value: str, in_a: str, hot_rows: i
     u = F.col("_rank_sum") - na * (na + 1) / 2
     spread = F.sqrt(na * nb / 12 * (total + 1 - F.col("_ties") / (total * (total - 1))))
     z = F.try_divide(F.greatest(F.col("U_stat"), na * nb - F.col("U_stat")) - na * nb / 2 - 0.5, spread)
-    exact = exact_rank_p(F.greatest(F.col("U_stat"), na * nb - F.col("U_stat")), F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))
+    small = (F.least("n_a", "n_b") <= exact_up_to) & (F.col("_ties") == 0)
+    exact = exact_rank_p(F.greatest(F.col("U_stat"), na * nb - F.col("U_stat")), F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), small)
     approximate = F.when(z <= 0, 1.0).otherwise(F.least(normal_two_sided_p(z), F.lit(1.0)))
-    p = F.when((F.least("n_a", "n_b") <= 8) & (F.col("_ties") == 0), exact).otherwise(approximate)
+    p = F.when(small, exact).otherwise(approximate)
     return (
         means.where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
         .join(ranks, keys)

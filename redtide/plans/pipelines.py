@@ -103,7 +103,7 @@ def swath_matchup(
     spots = written(site_days(daily, days))
     # a pixel up to the search radius outside the box can still be the nearest; a scene's outline
     # needs all its pixels, so only the days are cut for it
-    outlines = scenes_in_reach(spots, pixels, scene_keys, half_deg)
+    outlines = scenes_in_reach(spots, joins.prune_days(pixels, spots), scene_keys, half_deg)
     pixels = joins.prune_pixels(pixels, spots, half_deg + 0.1)
     gridded = joins.resample_nearest(spots, pixels, scene_keys, [*bands, flag], half_deg, res_deg, radius_m)
     masked = matchup.mask_swath_pixels(gridded, list(bands), flag)
@@ -122,7 +122,11 @@ def swath_matchup(
 
 
 def scenes_in_reach(spots: DataFrame, pixels: DataFrame, scene_keys: list[str], half_deg: float) -> DataFrame:
-    """Scenes per observation whose outline meets the local grid's."""
+    """Scenes per observation whose outline meets the local grid's.
+
+    Outlines and grids meet in cells of one degree, so a day's scenes and sites are not all paired; the
+    cell of the corner where the two boxes begin to overlap counts a pair once.
+    """
     outline = pixels.groupBy(*scene_keys).agg(
         F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e")
     )
@@ -132,9 +136,14 @@ def scenes_in_reach(spots: DataFrame, pixels: DataFrame, scene_keys: list[str],
         & (F.col("_n") >= F.col("latitude") - half_deg)
         & (F.col("_s") <= F.col("latitude") + half_deg)
     )
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    outline = outline.withColumn("_cy", cells(F.col("_s"), F.col("_n"))).withColumn("_cx", cells(F.col("_w"), F.col("_e")))
+    spots = spots.withColumn("_cy", cells(lat - half_deg, lat + half_deg)).withColumn("_cx", cells(lon - half_deg, lon + half_deg))
+    once = (F.floor(F.greatest("_s", lat - half_deg)) == F.col("_cy")) & (F.floor(F.greatest("_w", lon - half_deg)) == F.col("_cx"))
     return (
-        spots.join(outline, "scene_date")
-        .where(meets)
+        spots.join(outline, ["scene_date", "_cy", "_cx"])
+        .where(meets & once)
         .withColumn("obs_date", F.explode("obs_dates"))
         .groupBy("location_id", "obs_date")
         .agg(F.count(F.lit(1)).alias("n_scenes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from redtide import constants as K
 from redtide.operators import blocking, joins, splits
 from redtide.plans.fixtures import SPECIES, read, view, with_views
 from redtide.plans.queries_clean import THRESHOLDS
@@ -143,29 +144,25 @@ def d13(spark, sf):
     return rounded(joins.distance_pairs(places.withColumn("id", ident), 1500.0), ["dist_m"])
 
 
-RADII = [2_000, 5_000, 20_000]
-
-
 @query(
     "v11_moran_sweep",
-    f"""{PTS}, m AS (SELECT avg(concentration) AS m FROM points), z AS (SELECT bin_id, x_m, y_m, concentration - m AS z FROM (SELECT * FROM points ORDER BY {splits.hash_sql('bin_id', '42')}, bin_id LIMIT 2000) s CROSS JOIN
-      (SELECT avg(concentration) AS m FROM (SELECT concentration FROM points ORDER BY {splits.hash_sql('bin_id', '42')}, bin_id LIMIT 2000) s) c), r AS (SELECT unnest([2000, 5000, 20000]) AS radius),
+    f"""{PTS}, z AS (SELECT bin_id, x_m, y_m, concentration - m AS z FROM points CROSS JOIN (SELECT avg(concentration) AS m FROM points) c), r AS (SELECT unnest({K.MORAN_RADII_M}) AS radius),
     w AS (SELECT radius, a.bin_id, any_value(a.z) AS zi, sum(b.z) AS lag, count(*) AS deg FROM r JOIN z a ON true JOIN z b ON a.bin_id <> b.bin_id AND abs(a.x_m - b.x_m) <= radius AND abs(a.y_m - b.y_m) <= radius
       AND sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) <= radius GROUP BY radius, a.bin_id)
     SELECT cast(radius AS double) AS radius_m, (SELECT count(*) FROM z) AS n, count(*) AS s0, round((SELECT count(*) FROM z) / count(*) * sum(zi * lag / deg) / (SELECT sum(z * z) FROM z), 9) AS moran_i FROM w GROUP BY radius""",
 )
 def v11(spark, sf):
-    return rounded(blocking.moran_sweep(points(spark, sf), "bin_id", "concentration", RADII), ["moran_i"], 9)
+    return rounded(blocking.moran_sweep(points(spark, sf), "bin_id", "concentration"), ["moran_i"], 9)
 
 
 @query("v11_moran_permutation_p")
 def v11_p(spark, sf):
-    return blocking.moran_sweep(points(spark, sf), "bin_id", "concentration", [5_000], permutations=99)
+    return blocking.moran_sweep(points(spark, sf), "bin_id", "concentration", [5_000], permutations=999)
 
 
 # ------------------------------------------------------------------ splits
 
-FOLDS_SQL = f"""ranked AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION BY fold ORDER BY {splits.hash_sql('o_orderkey', 'fold')}, o_orderkey) AS rn FROM orders CROSS JOIN generate_series(0, 9) f(fold))"""
+FOLDS_SQL = f"""ranked AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION BY fold ORDER BY {splits.hash_sql('o_orderkey', 'fold')}, o_orderkey) AS rn FROM orders CROSS JOIN generate_series(0, 49) f(fold))"""
 
 
 @query(
@@ -173,7 +170,7 @@ FOLDS_SQL = f"""ranked AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION
     f"WITH {FOLDS_SQL} SELECT o_orderkey, cast(fold AS int) AS fold, rn <= (SELECT ceil(count(*) * 0.2e0) FROM orders) AS is_test FROM ranked",
 )
 def v1(spark, sf):
-    return splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 10)
+    return splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 50)
 
 
 @query(
@@ -183,7 +180,7 @@ def v1(spark, sf):
     count(*) FILTER (WHERE is_test) > 0 AND count(DISTINCT a) FILTER (WHERE NOT is_test) = 2 AND count(DISTINCT b) FILTER (WHERE NOT is_test) = 2 AS usable FROM m GROUP BY 1""",
 )
 def v1_usable(spark, sf):
-    split = splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 10)
+    split = splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 50)
     labelled = split.withColumns(
         {"a": (F.col("o_orderstatus") == "P").cast("int"), "b": (F.col("o_orderkey") < F.col("fold")).cast("int")}
     )
@@ -203,7 +200,7 @@ def v2(spark, sf):
     f"WITH {FOLDS_SQL} SELECT o_orderkey, cast(fold AS int) AS fold, rn AS ordinal FROM ranked",
 )
 def w8(spark, sf):
-    return splits.split_ordinal(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 10)
+    return splits.split_ordinal(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 50)
 
 
 def grouped(spark, sf):

@@ -258,10 +258,10 @@ UTM_SQL = f"""geo AS (SELECT *, radians(latitude) AS phi FROM sites),
 
 @query(
     "b20_utm_projection",
-    f"{with_views('obs')}, sites AS (SELECT DISTINCT loc, latitude, longitude FROM fx_obs WHERE longitude < -66), {UTM_SQL} SELECT loc, round(x_m, 5) AS x_m, round(y_m, 5) AS y_m FROM xy",
+    f"{with_views('obs')}, sites AS (SELECT DISTINCT loc, latitude, longitude FROM fx_obs), {UTM_SQL} SELECT loc, round(x_m, 5) AS x_m, round(y_m, 5) AS y_m FROM xy",
 )
 def b20(spark, sf):
-    sites = view(spark, sf, "obs").where("longitude < -66").select("loc", "latitude", "longitude").distinct()
+    sites = view(spark, sf, "obs").select("loc", "latitude", "longitude").distinct()
     return rounded(clean.project_utm(sites).select("loc", "x_m", "y_m"), ["x_m", "y_m"], 5)
 
 

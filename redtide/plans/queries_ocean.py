@@ -124,7 +124,7 @@ def _chord(a_lat, a_lon, b_lat, b_lon):
     return f"6370997e0 * sqrt({dx} * {dx} + {dy} * {dy} + {dz} * {dz})"
 
 
-RESAMPLED = f"""{SWATH_SQL}, spots AS (SELECT DISTINCT location_id, latitude, longitude FROM daily WHERE latitude < 41),
+RESAMPLED = f"""{SWATH_SQL}, spots AS (SELECT DISTINCT location_id, latitude, longitude FROM daily),
     targets AS (SELECT *, latitude - 0.02e0 + (r + 0.5e0) * {STEP} AS t_lat, longitude - 0.02e0 + (c + 0.5e0) * {STEP} AS t_lon
       FROM spots CROSS JOIN generate_series(0, {N_SIDE - 1}) a(r) CROSS JOIN generate_series(0, {N_SIDE - 1}) b(c)),
     near AS (SELECT location_id, r, c, scene_date, scene_no, s.*, {_chord('t_lat', 't_lon', 's.lat', 's.lon')} AS dist
@@ -148,7 +148,7 @@ def swath(spark, sf):
     f"""{with_views('obs', 'pixels')}, {OBS}, {DAILY}, {RESAMPLED} SELECT location_id, scene_date, scene_no, r AS row, c AS col, b04, round(b06, 12) AS b06, l2_flags FROM best""",
 )
 def d7(spark, sf):
-    spots = daily(spark, sf).where("latitude < 41").select("location_id", "latitude", "longitude").distinct()
+    spots = daily(spark, sf).select("location_id", "latitude", "longitude").distinct()
     out = joins.resample_nearest(spots, swath(spark, sf), ["scene_date", "scene_no"], [*BANDS, "l2_flags"], on=())
     return rounded(out.select("location_id", "scene_date", "scene_no", "row", "col", "b04", "b06", "l2_flags"), ["b06"], 12)
 
@@ -160,7 +160,7 @@ SWATH_COLUMNS = ["b06", "b08", "NDCI", "MCI", "FLHmax"]
 @query(
     "e5_swath_matchup",
     f"""{with_views('obs', 'pixels')}, {OBS}, {DAILY}, {RESAMPLED},
-    sites AS (SELECT location_id, obs_date, latitude, longitude FROM daily WHERE latitude < 41),
+    sites AS (SELECT location_id, obs_date, latitude, longitude FROM daily),
     cleared AS (SELECT location_id, scene_date, r, c, {", ".join(f"CASE WHEN l2_flags = 0 THEN {b} END AS {b}" for b in BANDS)} FROM best),
     composite AS (SELECT s.location_id, s.obs_date, r, c, {", ".join(f"max({b}) AS {b}" for b in BANDS)} FROM sites s JOIN cleared k
       ON k.location_id = s.location_id AND k.scene_date BETWEEN s.obs_date - 3 AND s.obs_date GROUP BY ALL),
@@ -173,7 +173,7 @@ SWATH_COLUMNS = ["b06", "b08", "NDCI", "MCI", "FLHmax"]
     FROM indexed JOIN used USING (location_id, obs_date) GROUP BY location_id, obs_date HAVING count(*) FILTER (WHERE {ANY_BAND}) >= 3""",
 )
 def e5_swath(spark, sf):
-    obs = daily(spark, sf).where("latitude < 41").select("location_id", "obs_date", "latitude", "longitude")
+    obs = daily(spark, sf).select("location_id", "obs_date", "latitude", "longitude")
     out = pipelines.swath_matchup(obs, swath(spark, sf), ["scene_date", "scene_no"], BANDS, SWATH_ROLES)
     out = out.select("location_id", "obs_date", "n_valid_pixels", "pct_valid_pixels", "n_scenes", *SWATH_COLUMNS)
     return rounded(rounded(out, ["pct_valid_pixels"]), SWATH_COLUMNS, None)

@@ -26,15 +26,35 @@ def build_session(app: str = "redtide", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir of the session. A folder of
-    our own is made only where the session names none, which is the case in tests."""
+    """The folder every executor can reach: spark.checkpoint.dir of the session.
+
+    Where the session names none, a temporary folder is made if all executors run in this process
+    (tests); on a cluster that is an error. Tables in the folder belong to the session's run;
+    `clear_shared_folder` empties it when their results have been written elsewhere.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="redtide-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether executors run inside the driver (local-cluster has processes of its own)."""
+    return master == "local" or master.startswith("local[")
+
+
+def clear_shared_folder(spark: SparkSession) -> None:
+    """Delete the tables this session has written to its shared folder. Nothing that still reads them may
+    run afterwards."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df):
     """Cut lineage with a written copy in the shared folder, which survives lost executors."""
     shared_folder(df.sparkSession)

@@ -111,17 +111,17 @@ def pending_work(everything: DataFrame, wanted: DataFrame, done: DataFrame, col:
 
 
 def catalog_search(
-    catalog: DataFrame, bbox: tuple[float, float, float, float], start: str, end: str, limit: int = 1000
+    catalog: DataFrame, bbox: tuple[float, float, float, float], start: str, end: str, limit: int | None = None
 ) -> DataFrame:
-    """First `limit` full-resolution scenes by start time that meet the box and the dates."""
+    """Full-resolution scenes that meet the box and the dates, by start time; the first `limit` of them if given."""
     west, south, east, north = bbox
-    return (
+    found = (
         catalog.where(F.col("name").contains("OL_1_EFR"))
         .where((F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south))
         .where(F.col("start_time").between(F.lit(start).cast("timestamp"), F.lit(f"{end} 23:59:59.999").cast("timestamp")))
         .orderBy("start_time", "name")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def scene_status(df: DataFrame) -> DataFrame:

@@ -174,3 +174,52 @@ def test_forest_learns_and_repeats(spark):
     assert metrics.prf(a.withColumn("k", F.lit(1)), ["k"]).first()["f1"] > 0.95
     lost = {r["feature"]: r["perm_mean"] for r in models.permutation_importance(first, df, "row_id", ["x", "noise"], "y", repeats=3).collect()}
     assert lost["x"] > 0.3 > abs(lost["noise"])
+
+
+@pytest.mark.parametrize("m,n,u", [(8, 1000, 8000), (8, 5000, 40_000), (2, 3, 5), (5, 7, 30), (8, 200, 1100)])
+def test_exact_rank_tail_counts_orderings(m, n, u):
+    """Against the number of ways to choose m ranks with a sum, counted one rank at a time."""
+    from math import comb
+
+    from redtide.operators.significance import exact_tail
+
+    low = m * n - u
+    # parts of at most n, at most m of them: partitions of j that fit in an m x n box
+    box = [1] + [0] * low
+    for i in range(1, m + 1):
+        for j in range(i, low + 1):
+            box[j] += box[j - i]
+    for i in range(1, m + 1):
+        for j in range(low, n + i - 1, -1):
+            box[j] -= box[j - n - i]
+    assert exact_tail(float(u), m, n) == min(1.0, 2 * sum(box) / comb(m + n, m))
+
+
+def test_exact_rank_tail_of_separated_samples():
+    from math import comb
+
+    from redtide.operators.significance import exact_tail
+
+    for n in (10, 1000, 5000):
+        assert exact_tail(8.0 * n, 8, n) == 2 / comb(n + 8, 8)
+    for u in range(12, 25):
+        assert 0 < exact_tail(float(u), 4, 6) <= 1
+
+
+def test_moran_draws_agree_with_shuffling_by_hand(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(rng.integers(0, 5)), float(rng.integers(0, 5)), float(rng.normal())) for k in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, x_m double, y_m double, v double")
+    draws = [r["moran_i"] for r in blocking.moran_permutations(df, "id", "v", 1.5, 40).collect()]
+    xy, v = np.array([(r[1], r[2]) for r in rows]), np.array([r[3] for r in rows])
+    near = (np.linalg.norm(xy[:, None] - xy[None, :], axis=2) <= 1.5) & ~np.eye(60, dtype=bool)
+    z, deg = v - v.mean(), near.sum(1)
+    by_hand = []
+    for _ in range(400):
+        p = rng.permutation(z)
+        by_hand.append(60 / (deg > 0).sum() * (p * (near @ p) / np.maximum(deg, 1)).sum() / (z * z).sum())
+    assert len(draws) == 40 and len(set(draws)) > 30
+    assert abs(np.mean(draws) - np.mean(by_hand)) < 4 * np.std(by_hand) / np.sqrt(40)
+    assert 0.5 < np.std(draws) / np.std(by_hand) < 2

@@ -92,3 +92,12 @@ def test_impute_median_and_dedup(spark):
     assert [r["v"] for r in aggregates.impute_median(df, ["v"]).orderBy("i").collect()] == [1.0, 2.0, 3.0, 4.0, 9.0]
     twice = df.union(df.withColumn("v", F.lit(0.5)))
     assert {r["v"] for r in aggregates.dedup(twice, ["i"], ["v"]).where("v is not null").collect()} == {0.5}
+
+
+def test_hot_and_cold_quantiles_are_equal_to_the_last_bit(spark):
+    rng = random.Random(11)
+    df = frame(spark, [(k, rng.gauss(0, 1) * 10 ** rng.randrange(-6, 6)) for k in range(12) for _ in range(400)], "k int, v double")
+    wanted = {f"p{i}": i / 23 for i in range(24)}
+    hot = ranking.quantiles(df, ["k"], "v", wanted, hot_rows=50).orderBy("k").collect()
+    cold = ranking.quantiles(df, ["k"], "v", wanted).orderBy("k").collect()
+    assert hot == cold

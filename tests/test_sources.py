@@ -1,5 +1,6 @@
 """Readers, writers and file lists."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from redtide.sources import counts, manifests, tables
@@ -64,3 +65,24 @@ def test_model_names_of_both_formats(spark):
     assert got[names[0]] == ("20200620", "2ds", "n001", "t12z", "A")
     assert got[names[1]] == ("20240911", "2ds", "n001", "t12z", "B")
     assert got[names[2]][0] is None and got[names[3]][0] is None
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from redtide import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+    assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]")
