@@ -200,6 +200,13 @@ def bloom_targets(df: DataFrame, species: list[str], warning: dict[str, float],
     )
 
 
+def target_stats(targets: DataFrame, species: list[str]) -> DataFrame:
+    """Rows, least, largest and mean of each regression target."""
+    pairs = [F.struct(F.lit(s).alias("species"), F.col(f"`y_{s}`").alias("y")) for s in species if f"y_{s}" in targets.columns]
+    long = targets.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+    return long.groupBy("species").agg(F.count("y").alias("n"), F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.avg("y").alias("y_mean"))
+
+
 # ---------------------------------------------------------------- result tables
 
 
@@ -212,9 +219,10 @@ def fold_stats(df: DataFrame, keys: list[str], metrics: list[str], hot_rows: int
 
 
 def macro_stats(df: DataFrame, keys: list[str], metrics: list[str], species: str = "species") -> DataFrame:
-    """Mean over species of the per-species means."""
-    inner = df.groupBy(*keys, species).agg(*[F.avg(m).alias(m) for m in metrics])
-    return inner.groupBy(*keys).agg(*[F.avg(m).alias(f"macro_{m}") for m in metrics])
+    """Means over species of the per-species means, medians and standard deviations over folds."""
+    inner = fold_stats(df, [*keys, species], metrics)
+    kinds = {"mean": "", "median": "_median", "std": "_std"}
+    return inner.groupBy(*keys).agg(*[F.avg(f"cv_{m}_{k}").alias(f"macro_{m}{end}") for m in metrics for k, end in kinds.items()])
 
 
 def fold_macro(df: DataFrame, keys: list[str], metric: str = "f1") -> DataFrame:
@@ -259,6 +267,11 @@ def leakage_gate(spatial: DataFrame, random: DataFrame, keys: list[str], min_rat
     )
 
 
+def gate_failures(gated: DataFrame) -> DataFrame:
+    """How many cells there are and how many fall below the gate."""
+    return gated.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(~F.col("leakage_gate_pass")).alias("n_failing"))
+
+
 def box_stats(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Quartiles, and whiskers at the last value inside 1.5 interquartile ranges."""
     boxes = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows)

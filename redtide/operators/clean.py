@@ -27,8 +27,8 @@ def exclude_stations(df: DataFrame, ids=K.EXCLUDED_STATIONS, col="dashboardIdNam
     return df.where(~F.coalesce(F.col(col).isin(list(ids)), F.lit(False)))
 
 
-def exclude_locations(df: DataFrame, ids=K.EXCLUDED_LOCATIONS) -> DataFrame:
-    return exclude_stations(df, ids, "location_id")
+def exclude_locations(df: DataFrame, ids=K.EXCLUDED_LOCATIONS, col="location_id") -> DataFrame:
+    return exclude_stations(df, ids, col)
 
 
 def scope(df: DataFrame, ids, col="dashboardIdName") -> DataFrame:
@@ -75,7 +75,14 @@ def filter_years(df: DataFrame, first: int | None = None, last: int | None = Non
 
 
 def location_id(lat: Column, lon: Column) -> Column:
-    """Eight-digit id of a position rounded to four decimals; the same in every run."""
+    """Id of a position rounded to four decimals. Different positions have different ids, so it may be grouped
+    and joined on at any number of sites."""
+    number = (micro_key(lat) + 900_000) * 3_600_001 + micro_key(lon) + 1_800_000
+    return F.lpad(number.cast("string"), 13, "0")
+
+
+def location_label(lat: Column, lon: Column) -> Column:
+    """Eight-digit label of a position, for reading; positions can share one."""
     mixed = micro_key(lat) * 73856093 + micro_key(lon) * 19349663
     return F.lpad(F.pmod(mixed, F.lit(100_000_000)).cast("string"), 8, "0")
 

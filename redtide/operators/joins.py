@@ -14,6 +14,8 @@ from redtide.operators.clean import resolve_features
 from redtide.operators.ranking import all_of
 
 
+MOST_DATASETS = 10_000
+
 def window_days(obs: DataFrame, days: int = K.WINDOW_DAYS, after: int = 0, day: str = "scene_date") -> DataFrame:
     """One row per observation and calendar day from `days` before it to `after` days past it.
 
@@ -212,8 +214,11 @@ def attach_metadata(counts: DataFrame, meta: DataFrame, dataset: str = "dataset_
     side = meta.select(
         dataset, F.col("pid").alias("bin_pid"), *[F.col(c).alias(f"_m_{c}") for c in taken], *other
     )
-    # at most one row per dataset; the size is left to the planner's own check
+    # one row per dataset. Datasets are few and can hold most rows, so the table of them is sent to all
+    # tasks when it is seen to be small; otherwise the planner decides
     described = meta.select(dataset).distinct().withColumn("_has_meta", F.lit(True))
+    if described.limit(MOST_DATASETS + 1).count() <= MOST_DATASETS:
+        described = F.broadcast(described)
     joined = counts.join(side, [dataset, "bin_pid"], "left").join(described, dataset, "left")
     return joined.withColumns(
         {c: F.when(F.col("_has_meta"), F.col(f"_m_{c}")).otherwise(F.col(c)) for c in taken}

@@ -10,7 +10,7 @@ from redtide import constants as K
 from redtide.functions import scalars
 from redtide.operators import aggregates, clean
 from redtide.plans.fixtures import SPECIES, fields, read, view, with_views
-from redtide.plans.queries_matchup import DAILY, LOCATION_SQL, OBS, daily, located
+from redtide.plans.queries_matchup import DAILY, LABEL_SQL, LOCATION_SQL, OBS, daily, located
 from redtide.plans.registry import query, r, rounded, sql_rounded
 
 THRESHOLDS = {s: {"warning": 2000 + 1000 * i, "closure": 9000 + 1000 * i} for i, s in enumerate(SPECIES)}
@@ -112,9 +112,9 @@ def b5(spark, sf):
     return clean.filter_years(read(spark, sf, "orders"), 1997, 1999, "o_orderdate").select("o_orderkey")
 
 
-@query("b6_location_id", f"{with_views('obs')} SELECT bin_id, {LOCATION_SQL} AS location_id FROM fx_obs")
+@query("b6_location_id", f"{with_views('obs')} SELECT bin_id, {LOCATION_SQL} AS location_id, {LABEL_SQL} AS location_label FROM fx_obs")
 def b6(spark, sf):
-    return located(spark, sf).select("bin_id", "location_id")
+    return located(spark, sf).select("bin_id", "location_id", clean.location_label(F.col("latitude"), F.col("longitude")).alias("location_label"))
 
 
 @query(
@@ -222,9 +222,11 @@ def b16(spark, sf):
     return clean.scope(view(spark, sf, "obs"), ["st0", "st5", "st12"], "station").select("bin_id")
 
 
-@query("b17_location_exclusion", f"{with_views('obs')}, {OBS} SELECT bin_id FROM obs WHERE location_id <> '00719000'")
+@query("b17_location_exclusion", f"{with_views('obs')}, {OBS} SELECT bin_id FROM obs WHERE {LABEL_SQL} <> '00719000'")
 def b17(spark, sf):
-    return clean.exclude_locations(located(spark, sf), ["00719000"]).select("bin_id")
+    return clean.exclude_locations(
+        located(spark, sf).withColumn("location_label", clean.location_label(F.col("latitude"), F.col("longitude"))), ["00719000"], "location_label"
+    ).select("bin_id")
 
 
 @query(

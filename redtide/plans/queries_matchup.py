@@ -14,6 +14,10 @@ from redtide.session import written
 
 ROLES = {b: b for b in BANDS}
 LOCATION_SQL = (
+    "lpad(cast((cast(round(latitude * 10000) AS bigint) + 900000) * 3600001 + cast(round(longitude * 10000) AS bigint) + 1800000"
+    " AS varchar), 13, '0')"
+)
+LABEL_SQL = (
     "lpad(cast((((cast(round(latitude * 10000) AS bigint) * 73856093 + cast(round(longitude * 10000) AS bigint) * 19349663)"
     " % 100000000) + 100000000) % 100000000 AS varchar), 8, '0')"
 )

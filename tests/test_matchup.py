@@ -190,3 +190,13 @@ def test_station_override_and_exclusion(spark):
     assert out[1]["location_id"] == out[2]["location_id"] == "aa"
     assert (out[1]["latitude"], out[1]["longitude"]) == (41.325, -70.566)
     assert (out[4]["location_id"], out[4]["latitude"]) == ("q", 4.0)
+
+
+def test_sites_that_share_a_label_have_different_ids(spark):
+    import itertools
+
+    spots = [(40 + i / 10_000, -70 + j / 10_000) for i, j in itertools.product(range(0, 4000, 23), range(0, 4000, 23))]
+    df = spark.createDataFrame(spots, "latitude double, longitude double")
+    lat, lon = F.col("latitude"), F.col("longitude")
+    row = df.agg(F.countDistinct(clean.location_id(lat, lon)).alias("ids"), F.countDistinct(clean.location_label(lat, lon)).alias("labels")).first()
+    assert row.ids == len(spots) > row.labels
