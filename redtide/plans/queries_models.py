@@ -112,3 +112,20 @@ def v26_spatial(spark, sf):
         spatial=True,
     )
     return models.scores_table(pred, ["track", "tier", "fold", "species"], zero_pos_null=True)
+
+
+@query("v26_regression")
+def v26_regression(spark, sf):
+    """Both tracks, all active species, five random folds; R2, errors and bias of each cell."""
+    rows = targets(spark, sf)
+    labels = {s: f"y_{s}" for s in SPECIES if f"y_{s}" in rows.columns}
+    pred = models.run_matrix(
+        splits.shuffle_split(rows, "row_id", 5),
+        "row_id",
+        {"C_only": COLOUR, "C_roms": HYBRID},
+        {"warning": labels},
+        lambda d, f, c: models.fit_forest_regressor(d, f, c, trees=20),
+        min_rows=30,
+        regression=True,
+    )
+    return metrics.regression_metrics(pred, ["track", "tier", "fold", "species"])
