@@ -274,9 +274,10 @@ def moran_permutations(df: DataFrame, id_col: str, value: str, radius_m: float,
     pairs of positions, as in `moran_i`. All permutations are one job.
     """
     known = df.where(F.col(value).isNotNull() & F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
-    mean, total = known.agg(F.avg(value), F.var_pop(value) * F.count(value)).first()
+    mean, total, count = known.agg(F.avg(value), F.var_pop(value) * F.count(value), F.count(value)).first()
+    buckets = min(2**16, 1 << math.ceil(count / 1000).bit_length())  # about a thousand rows each
     places = weighted_places(known, value).select("id", "x_m", "y_m", F.col("n").cast("bigint").alias("n"))
-    numbered = written(split_ordinal(known.select(F.col(id_col).alias("_id")), "_id", permutations + 1))
+    numbered = written(split_ordinal(known.select(F.col(id_col).alias("_id")), "_id", permutations + 1, buckets))
     rows = known.select(F.col(id_col).alias("_id"), "x_m", "y_m", (F.col(value) - mean).alias("_z"))
     seats = numbered.where("fold = 0").join(rows.drop("_z"), "_id").join(places, ["x_m", "y_m"]).select("ordinal", "id")
     drawn = numbered.where("fold > 0").join(rows.select("_id", "_z"), "_id").select(F.col("fold").alias("perm"), "ordinal", "_z")

@@ -89,11 +89,11 @@ def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**
     )
 
 
-def split_ordinal(df: DataFrame, id_col: str, n_splits: int) -> DataFrame:
-    """Random position of every row in every fold."""
+def split_ordinal(df: DataFrame, id_col: str, n_splits: int, buckets: int = 2**16) -> DataFrame:
+    """Random position of every row in every fold. The number of buckets is for balance only."""
     folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
     exploded = df.withColumn("fold", folds).withColumn("_h", portable_hash(id_col, F.col("fold")))
-    return hash_ordinal(exploded, ["fold"], id_col)
+    return hash_ordinal(exploded, ["fold"], id_col, buckets)
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 10, seed: int = 0) -> DataFrame:
