@@ -85,6 +85,23 @@ def lag_report(df: DataFrame, obs_keys: list[str]) -> DataFrame:
     )
 
 
+def lag_counts(placed: DataFrame, lagged: DataFrame, obs_keys: list[str], n_lags: int, first_year: int | None = None) -> DataFrame:
+    """What became of the observations: outside the model's domain, before its first year, eligible, rows with a
+    model day, observations with any, and lag rows dropped because the model day is missing."""
+    late = (F.year("obs_date") >= first_year) if first_year else F.lit(True)
+    inside = F.col("in_domain")
+    counted = placed.agg(
+        F.count(F.lit(1)).alias("n_input"),
+        F.count_if(~inside).alias("n_out_of_domain"),
+        F.count_if(inside & ~late).alias("n_skipped_year"),
+        F.count_if(inside & late).alias("n_eligible"),
+    )
+    found = lagged.where(late).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(*obs_keys).alias("n_obs"))
+    # one row on each side
+    both = counted.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("n_dropped", F.col("n_eligible") * n_lags - F.col("n_rows"))
+
+
 # ---------------------------------------------------------------- reports
 
 
@@ -97,6 +114,20 @@ def match_rate(df: DataFrame, by: str) -> DataFrame:
     )
 
 
+def composite_summary(df: DataFrame, prefixes: list[str], location: str = "location_id") -> DataFrame:
+    """Rows, distinct dates and locations, and the number of columns under each source prefix (`n_columns_` and
+    the prefix; `n_columns_base` for the rest)."""
+    under = {p: [c for c in df.columns if c.startswith(f"{p}_")] for p in prefixes}
+    base = len(df.columns) - sum(map(len, under.values()))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("obs_date").alias("n_dates"),
+        F.countDistinct(location).alias("n_locations"),
+        *[F.lit(len(columns)).alias(f"n_columns_{p}") for p, columns in under.items()],
+        F.lit(base).alias("n_columns_base"),
+    )
+
+
 def availability(df: DataFrame, anchors: list[str], species: list[str]) -> DataFrame:
     """Filled share per source anchor; bloom presence among known values per species."""
     counted = df.agg(

@@ -172,6 +172,14 @@ def e11(spark, sf):
     return rounded(aggregates.availability(composite(spark, sf), ANCHORS, SPECIES), ["pct"])
 
 
+@query(
+    "e11_composite_summary",
+    COMPOSITE + " SELECT count(*) AS n_rows, count(DISTINCT obs_date) AS n_dates, count(DISTINCT location_id) AS n_locations FROM composite",
+)
+def e11_summary(spark, sf):
+    return aggregates.composite_summary(composite(spark, sf), ["C", "A", "B"]).select("n_rows", "n_dates", "n_locations")
+
+
 @query(
     "d15_common_rows",
     f"{COMPOSITE} SELECT location_id, obs_date FROM composite WHERE C_rrs_412 IS NOT NULL AND A_rrs_412 IS NOT NULL AND B_rrs_412 IS NOT NULL",

@@ -108,6 +108,18 @@ def e21(spark, sf):
     return aggregates.lag_report(lagged(spark, sf), ["location_id", "obs_date"])
 
 
+@query(
+    "e21_lag_counts",
+    f"""{LAG_CTES}, placed AS (SELECT location_id, obs_date, dist IS NOT NULL AS in_domain FROM daily LEFT JOIN nearest USING (latitude, longitude)),
+    kept AS (SELECT * FROM lagged WHERE year(obs_date) >= 2024)
+    SELECT count(*) AS n_input, count(*) FILTER (WHERE NOT in_domain) AS n_out_of_domain, count(*) FILTER (WHERE in_domain AND year(obs_date) < 2024) AS n_skipped_year,
+    count(*) FILTER (WHERE in_domain AND year(obs_date) >= 2024) AS n_eligible, (SELECT count(*) FROM kept) AS n_rows, (SELECT count(DISTINCT (location_id, obs_date)) FROM kept) AS n_obs,
+    {len(K.LAGS)} * count(*) FILTER (WHERE in_domain AND year(obs_date) >= 2024) - (SELECT count(*) FROM kept) AS n_dropped FROM placed""",
+)
+def e21_counts(spark, sf):
+    return aggregates.lag_counts(placed(spark, sf), lagged(spark, sf), ["location_id", "obs_date"], len(K.LAGS), 2024)
+
+
 # ------------------------------------------------------------------ D7 swath
 
 # the swath of the test reads the same pixels, moved a little so that distances do not tie

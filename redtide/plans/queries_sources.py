@@ -154,10 +154,23 @@ DATE_STR = {
     CASE WHEN file_id % 6 IN (2, 3) THEN 't12z' END AS cycle, CASE file_id % 6 WHEN 2 THEN 'A' WHEN 3 THEN 'B' END AS format FROM fx_files""",
 )
 def a10(spark, sf):
+    return indexed(spark, sf).drop("day", "name")
+
+
+def indexed(spark, sf):
     files = view(spark, sf, "files")
     for kind in ("mosaic", "swath", "model"):
         files = manifests.index_files(files, kind).withColumnRenamed("date_str", f"{kind}_date")
-    return files.drop("day", "name")
+    return files
+
+
+@query(
+    "a10_unrecognised_names",
+    f"""{with_views('files')}, dated AS (SELECT {DATE_STR['mosaic']} AS mosaic_date, {DATE_STR['swath']} AS swath_date, {DATE_STR['model']} AS model_date FROM fx_files)
+    SELECT count(*) AS n_files, count(*) FILTER (WHERE mosaic_date IS NULL AND swath_date IS NULL AND model_date IS NULL) AS n_unrecognised FROM dated""",
+)
+def a10_unrecognised(spark, sf):
+    return manifests.unrecognised(indexed(spark, sf), ["mosaic_date", "swath_date", "model_date"])
 
 
 @query(

@@ -34,6 +34,12 @@ def index_files(names: DataFrame, kind: str, col: str = "name") -> DataFrame:
     )
 
 
+def unrecognised(files: DataFrame, dates: list[str]) -> DataFrame:
+    """How many files there are and how many fit none of the patterns behind the `dates` columns."""
+    known = F.coalesce(*[F.col(c) for c in dates]).isNotNull()
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(~known).alias("n_unrecognised"))
+
+
 def one_file_per_date(index: DataFrame, keep: str = "last", col: str = "name") -> DataFrame:
     """One name per date, the last in name order; `keep="all"` lists them all in order."""
     known = index.where(F.col("date_str").isNotNull())
