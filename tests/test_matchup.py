@@ -193,10 +193,8 @@ def test_station_override_and_exclusion(spark):
 
 
 def test_sites_that_share_a_label_have_different_ids(spark):
-    import itertools
-
-    spots = [(40 + i / 10_000, -70 + j / 10_000) for i, j in itertools.product(range(0, 4000, 23), range(0, 4000, 23))]
-    df = spark.createDataFrame(spots, "latitude double, longitude double")
+    df = spark.range(300_000).selectExpr("36 + pmod(xxhash64(id), 120000) / 10000 AS latitude", "-78 + pmod(xxhash64(id, 7), 140000) / 10000 AS longitude")
     lat, lon = F.col("latitude"), F.col("longitude")
-    row = df.agg(F.countDistinct(clean.location_id(lat, lon)).alias("ids"), F.countDistinct(clean.location_label(lat, lon)).alias("labels")).first()
-    assert row.ids == len(spots) > row.labels
+    ids, labels, places = (F.countDistinct(c) for c in (clean.location_id(lat, lon), clean.location_label(lat, lon), F.struct(lat, lon)))
+    row = df.agg(ids.alias("ids"), labels.alias("labels"), places.alias("places")).first()
+    assert row.ids == row.places > row.labels
