@@ -191,18 +191,32 @@ def links(points: DataFrame, most: int, least_ratio: float = 0.0) -> DataFrame:
     )
 
 
+def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Columns of `near_duplicates` with links by likeness; the rows of one id and text are equal."""
+    from redtide.llm import likeness
+
+    keys = [F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), id_col, text_col).alias("g")]
+    found = likeness.classes(docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, least)
+    lowest = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = found.join(lowest, "root").groupBy("h", "g").agg(F.min("component_id").alias("component_id"))
+    own = fingerprints(docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("row"), text_col), "row", text_col, shingle)
+    return own.join(named, (own.row.h == named.h) & (own.row.g == named.g)).select(F.col("row.id").alias(id_col), "fp", "n_shingles", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, least_ratio: float = 0.0
 ) -> DataFrame:
     """(id, fp, n_shingles, component_id) of every row; the component is the least id reachable.
 
-    With `least_ratio` a link also asks for shingle counts of at least that ratio.
+    With `least_ratio` the links are all pairs whose sets of shingles have at least that Jaccard likeness, however
+    far apart their fingerprints are: the distance scatters too much to tell a likeness.
     """
+    if least_ratio:
+        return _alike(docs, id_col, text_col, shingle, least_ratio)
     own = written(fingerprints(docs, id_col, text_col, shingle))
-    size = F.col("n_shingles") if least_ratio else F.lit(0).cast("bigint")
-    own_points = own.withColumn("point", F.struct("fp", size.alias("n")))
+    own_points = own.withColumn("point", F.struct("fp", F.lit(0).cast("bigint").alias("n")))
     points = own_points.groupBy("point").agg(F.min(id_col).alias("least_id"))
-    found = components(links(points.select("point.fp", F.col("point.n").alias("n_shingles")), most, least_ratio), "a", "b")
+    found = components(links(points.select("point.fp", F.col("point.n").alias("n_shingles")), most), "a", "b")
     rooted = points.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     lowest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("point", "component_id")
