@@ -46,3 +46,13 @@ def test_keys_find_likeness_at_the_bound():
         both = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(2))
         assert likeness.likeness(a.tobytes(), b.tobytes()) == 0.8 and set(likeness.band_keys(a)) & set(likeness.band_keys(b))
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(None, text("a"), "x"), (None, text("b"), "x"), (7, text("c"), "x"), (7, text("d"), "x"), (7, text("d"), "x"), (8, text("d"), "y")]
+    rows += [(9, text("e"), "x"), (5, text("e"), None), (None, text("e"), "x"), (10, None, "x"), (11, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    want = [rows[0], rows[1], rows[2], rows[3], rows[7], rows[9]]
+    assert sorted(got, key=str) == sorted(want, key=str)
