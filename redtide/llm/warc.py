@@ -29,7 +29,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 STEP = 1 << 20
-HEAD_LIMIT = 1 << 16
+HEAD_STEP = 1 << 16
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 _URN = re.compile(r"<urn:x-page:(-?\d*)>")
@@ -144,10 +144,17 @@ class Bytes(Source):
 
 def parse_record(source: Source, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the plain record at `at`; ValueError if a check fails."""
-    head = source.get(at, HEAD_LIMIT)
-    end = head.find(b"\r\n\r\n")
-    if not head.startswith(VERSION) or end < 0:
-        raise ValueError("no version line or no end of the headers")
+    head = bytearray(source.get(at, HEAD_STEP))
+    if not head.startswith(VERSION):
+        raise ValueError("no version line")
+    seen = 0
+    # headers of any length: a url may be as long as a page
+    while (end := head.find(b"\r\n\r\n", seen)) < 0:
+        seen = max(0, len(head) - 3)
+        more = source.get(at + len(head), len(head))
+        if not more:
+            raise ValueError("no end of the headers")
+        head += more
     lines = head[:end].decode("utf-8", "replace").split("\r\n")[1:]
     pairs = [x.partition(":") for x in lines]
     fields = {k.strip().lower(): v.strip() for k, _, v in pairs}
