@@ -17,6 +17,8 @@ from redtide.session import checkpointed
 COLOUR = ["rrs_8", "latitude", "longitude", "doy_sin", "doy_cos"]
 HYBRID = [*COLOUR, "depth"]
 LABELS = {s: f"l_{s}" for s in SPECIES}
+CLOSED = {s: f"c_{s}" for s in SPECIES}
+TIERS = {"warning": LABELS, "closure": CLOSED}
 
 
 def matrix(spark, sf):
@@ -24,8 +26,8 @@ def matrix(spark, sf):
     ids = located(spark, sf).groupBy("location_id", "obs_date").agg(F.min("bin_id").alias("row_id"))
     rows = clean.with_season(with_band(spark, sf)).join(ids, ["location_id", "obs_date"])
     known = aggregates.impute_median(rows, ["rrs_8", "depth"])
-    levels = {LABELS[s]: F.coalesce((F.col(s) > THRESHOLDS[s]["warning"]).cast("int"), F.lit(0)) for s in SPECIES}
-    return known.withColumns(levels).select("row_id", "station", *HYBRID, *SPECIES, *LABELS.values()).persist()
+    levels = {c: F.coalesce((F.col(s) > THRESHOLDS[s][tier]).cast("int"), F.lit(0)) for tier, names in TIERS.items() for s, c in names.items()}
+    return known.withColumns(levels).select("row_id", "station", *HYBRID, *SPECIES, *LABELS.values(), *CLOSED.values()).persist()
 
 
 def halves(df):
@@ -80,9 +82,6 @@ def v23(spark, sf):
     return models.permutation_importance(model, test, "row_id", HYBRID, "l_view")
 
 
-TWO = {s: LABELS[s] for s in ("view", "click")}
-
-
 @query("v26_experiment_matrix_random")
 def v26_random(spark, sf):
     split = splits.shuffle_split(matrix(spark, sf), "row_id", 2)
@@ -90,7 +89,7 @@ def v26_random(spark, sf):
         split,
         "row_id",
         {"C_only": COLOUR, "C_roms": HYBRID},
-        {"warning": TWO},
+        TIERS,
         lambda d, f, c: models.fit_forest(d, f, c, trees=20),
         test_filter=F.col("station") != "st0",
     )
@@ -107,7 +106,7 @@ def v26_spatial(spark, sf):
         split,
         "row_id",
         {"C_only": COLOUR, "C_roms": HYBRID},
-        {"warning": TWO},
+        TIERS,
         lambda d, f, c: models.fit_forest(d, f, c, trees=20),
         spatial=True,
     )
