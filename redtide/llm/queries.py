@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import lines, packing, quality, sentencepieces, simhash, substrings, suffixes, syncmers, token_files, warc
+from redtide.llm import balltree, lines, packing, quality, sentencepieces, simhash, substrings, suffixes, syncmers, token_files, warc, whitening
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,34 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir), model), model)
     return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return balltree.ranked_search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = """
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, string_split_regex(lower_text, '[^0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents)),
+occurring AS (SELECT k, doc_id, unnest(words) AS term FROM docs),
+tfs AS (SELECT k, doc_id, term, count(*) AS tf FROM occurring WHERE term <> '' GROUP BY k, doc_id, term),
+sizes AS (SELECT k, sum(tf)::BIGINT AS n FROM tfs GROUP BY k),
+totals AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sizes),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, totals),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term
+  FROM benchmark) WHERE term <> '' GROUP BY item_id, term),
+scored AS (SELECT item_id, k, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (k), totals GROUP BY item_id, k, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    found = whitening.whiten(documents(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
