@@ -4,8 +4,10 @@ Terms are the maximal matches of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F
 vector of integer impacts, one for each term of the queries; a query holds how often its terms occur. The score is
 the inner product of the two, all in whole numbers. Tasks read blocks of documents, build a tree of balls
 (centroid, radius) over each block and visit, query by query, the subtrees in falling order of the bound
-`q . centroid + |q| radius`. A subtree is left out only if its bound, rounded up by more than the arithmetic
-can lose, is below the query's k-th best score so far; what is visited is scored exactly at the leaves. The best of
+`q . centroid + sum over g of |q_g| radius_g`, where g runs over groups of terms of similar weight and q_g holds the
+query's terms of the group that occur in the ball: one radius over all terms is nearly the length of a document, as
+texts share few rare terms, and would prune nothing. A subtree is left out only if its bound, rounded up by
+more than the arithmetic can lose, is below the query's k-th best score so far; what is visited is scored exactly at the leaves. The best of
 a task's earlier blocks, and of a first look at the documents with the smallest hashes, count as k-th best.
 
 Statistics (N, L, df) cover all documents. Queries are taken in blocks of bounded text, each against all rows.
@@ -35,7 +37,8 @@ from redtide.session import written
 TOP = 20
 QUERY_TEXT = 1 << 20  # characters of queries answered together
 BLOCK_ROWS, BLOCK_ENTRIES = 4096, 1 << 18  # documents and entries of one tree
-LEAF_ROWS = 32
+LEAF_ROWS = 16
+GROUPS = 16  # of terms by weight, each with a radius of its own
 MOST_CELLS = 1 << 22  # numbers in one dense table of a tree
 FIRST_LOOK = 4096  # documents whose scores give the first bounds
 #: Relative loss allowed for in sums of doubles; a sum of a million terms loses less than 1e-9.
@@ -101,12 +104,15 @@ class Tree:
     A leaf is a range of `order`, and the entries of its rows lie side by side.
     """
 
-    def __init__(self, cols: list[np.ndarray], values: list[np.ndarray], leaf_rows: int = LEAF_ROWS):
+    def __init__(self, cols: list[np.ndarray], values: list[np.ndarray], group_of: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.columns, flat = np.unique(np.concatenate(cols), return_inverse=True)
+        self.group = group_of[self.columns]
+        self.members = [np.flatnonzero(self.group == g) for g in range(GROUPS)]
         self.flat, self.values = flat, np.concatenate(values)
         self.starts = np.concatenate([[0], np.cumsum([len(c) for c in cols])])
         self.real = self.values.astype(float)
-        self.squares = np.bincount(np.repeat(np.arange(len(cols)), np.diff(self.starts)), self.real * self.real, len(cols))
+        owner = np.repeat(np.arange(len(cols)), np.diff(self.starts))
+        self.squares = self._by_group(owner, flat, self.real * self.real, len(cols))
         # all centroids together hold at most MOST_CELLS numbers, or there is one leaf
         self.leaf_rows = max(leaf_rows, 4 * len(cols) * len(self.columns) // MOST_CELLS)
         self.order, self.centroids, self.radii, self.kids, self.ranges = np.arange(len(cols)), [], [], [], []
@@ -123,11 +129,14 @@ class Tree:
         ahead = np.cumsum(lengths) - lengths
         return np.arange(lengths.sum()) - ahead[owner] + self.starts[rows][owner], owner
 
+    def _by_group(self, owner: np.ndarray, flat: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(owner * GROUPS + self.group[flat], values, rows * GROUPS).reshape(rows, GROUPS)
+
     def _far(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
-        """Upper bounds of the squared distances: what cancellation can lose is added."""
+        """Upper bounds of the squared distances in each group: what cancellation can lose is added."""
         at, owner = self._entries(rows)
-        products = np.bincount(owner, self.real[at] * point[self.flat[at]], len(rows))
-        size = float(point @ point)
+        products = self._by_group(owner, self.flat[at], self.real[at] * point[self.flat[at]], len(rows))
+        size = np.bincount(self.group, point * point, GROUPS)
         return np.maximum(self.squares[rows] - 2 * products + size, 0) + SLACK * (self.squares[rows] + size)
 
     def _point(self, row: int) -> np.ndarray:
@@ -143,13 +152,13 @@ class Tree:
         far = self._far(rows, centroid)
         node = len(self.radii)
         self.centroids.append(centroid)
-        self.radii.append(math.sqrt(far.max()) * (1 + SLACK))
+        self.radii.append(np.sqrt(far.max(0)) * (1 + SLACK))
         self.kids.append(None)
         self.ranges.append((low, high))
         if len(rows) > self.leaf_rows:
-            one = self._point(rows[np.argmax(far)])
-            from_one = self._far(rows, one)
-            side = from_one - self._far(rows, self._point(rows[np.argmax(from_one)]))
+            one = self._point(rows[np.argmax(far.sum(1))])
+            from_one = self._far(rows, one).sum(1)
+            side = from_one - self._far(rows, self._point(rows[np.argmax(from_one)])).sum(1)
             half = low + len(rows) // 2
             self.order[low:high] = rows[np.argsort(side, kind="stable")]
             self.kids[node] = (self._grow(low, half), self._grow(half, high))
@@ -158,14 +167,17 @@ class Tree:
     def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """For each node and query at least the largest product of the query with a row of the node."""
         out = np.empty((len(self.radii), len(queries)))
+        present = (self.centroids > 0).astype(float)
         step = max(1, MOST_CELLS // len(self.columns))
         for first in range(0, len(queries), step):
             some = queries[first : first + step]
             dense = np.zeros((len(self.columns), len(some)))
             for k, (cols, counts) in enumerate(some):
                 dense[cols, k] = counts
-            norms = np.sqrt((dense * dense).sum(0))
-            out[:, first : first + step] = (self.centroids @ dense + self.radii[:, None] * norms) * (1 + SLACK) + 1
+            total = self.centroids @ dense
+            for g, here in enumerate(self.members):
+                total += self.radii[:, g, None] * np.sqrt(present[:, here] @ (dense[here] ** 2))
+            out[:, first : first + step] = total * (1 + SLACK) + 1
         return out
 
     def search(self, query: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, best: Best) -> int:
@@ -243,11 +255,19 @@ def blocks(batches: Iterable[pa.RecordBatch], impacts: Impacts) -> Iterator[tupl
         yield ids, cols, values
 
 
-def search_blocks(found: Iterable[tuple[list, list, list]], queries: list[tuple[np.ndarray, np.ndarray]], top: int, floors: list[int]) -> list[Best]:
+def weight_groups(weights: np.ndarray) -> np.ndarray:
+    """Group of each term: GROUPS equal shares of the terms in order of weight."""
+    order = np.argsort(np.argsort(weights, kind="stable"), kind="stable")
+    return (order * GROUPS // max(1, len(weights))).astype(np.int64)
+
+
+def search_blocks(
+    found: Iterable[tuple[list, list, list]], queries: list[tuple[np.ndarray, np.ndarray]], top: int, floors: list[int], group_of: np.ndarray
+) -> list[Best]:
     """The best documents of all blocks for each query, by one tree a block."""
     bests = [Best(top, f) for f in floors]
     for ids, cols, values in found:
-        tree = Tree(cols, values)
+        tree = Tree(cols, values, group_of)
         local = []
         for q_cols, q_counts in queries:
             at = np.searchsorted(tree.columns, q_cols).clip(max=len(tree.columns) - 1)
@@ -263,6 +283,7 @@ def search_blocks(found: Iterable[tuple[list, list, list]], queries: list[tuple[
 
 def _searched(index: DataFrame, impacts: Impacts, queries: list, top: int, floors: list[int]) -> DataFrame:
     """(query, id, score): the best of every task."""
+    group_of = weight_groups(impacts.weights)
 
     def run(batches):
         kind = None
@@ -273,7 +294,7 @@ def _searched(index: DataFrame, impacts: Impacts, queries: list, top: int, floor
                 kind = batch.schema.field(0).type
                 yield batch
 
-        bests = search_blocks(blocks(watched(), impacts), queries, top, floors)
+        bests = search_blocks(blocks(watched(), impacts), queries, top, floors, group_of)
         rows = [(k, entry[3], entry[0]) for k, best in enumerate(bests) for entry in best.heap]
         if rows:
             ks, ids, scores = zip(*rows)
