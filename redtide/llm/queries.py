@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm import balltree, lines, packing, quality, sentencepieces, simhash, substrings, suffixes, syncmers, token_files, warc, whitening
+from redtide.llm import balltree, classifier, lines, packing, quality, sentencepieces, simhash, substrings, suffixes, syncmers, token_files, warc, whitening
 from redtide.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every embedding."""
     found = whitening.whiten(documents(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = documents(spark, sf_dir)
+    return classifier.score(docs, classifier.fit_on(docs, documents(spark, sf_dir, "labels")))
