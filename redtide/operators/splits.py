@@ -33,15 +33,8 @@ def shuffle_split(df: DataFrame, id_col: str, n_splits: int = 50, test_size: flo
     Rows are not ranked. For each fold the hash value that bounds its test set is looked up
     first, from bucket counts; after that membership is a comparison inside the row.
     """
-    n = df.count()
-    take = -int(-(n * test_size) // 1)
     folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    hashed = (
-        df.select(F.col(id_col).alias("_id"), folds.alias("fold"))
-        .withColumn("_h", portable_hash("_id", F.col("fold")))
-    )
-    wanted = df.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"), F.lit(take).alias("_take"))
-    cuts = smallest_by_hash(hashed, ["fold"], "_h", "_id", wanted)
+    cuts = shuffle_cuts(df, id_col, n_splits, test_size)
     exploded = df.withColumn("fold", folds).withColumn("_h", portable_hash(id_col, F.col("fold")))
     inside = (F.col("_h") < F.col("_cut_hash")) | (
         (F.col("_h") == F.col("_cut_hash")) & (F.col(id_col) <= F.col("_cut_tie"))
@@ -54,6 +47,19 @@ def shuffle_split(df: DataFrame, id_col: str, n_splits: int = 50, test_size: flo
     )
 
 
+def shuffle_cuts(df: DataFrame, id_col: str, n_splits: int, test_size: float = 0.2) -> DataFrame:
+    """(fold, _cut_hash, _cut_tie): the last row of each test set in (hash, id) order, one row a fold."""
+    n = df.count()
+    take = -int(-(n * test_size) // 1)
+    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+    hashed = (
+        df.select(F.col(id_col).alias("_id"), folds.alias("fold"))
+        .withColumn("_h", portable_hash("_id", F.col("fold")))
+    )
+    wanted = df.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold"), F.lit(take).alias("_take"))
+    return smallest_by_hash(hashed, ["fold"], "_h", "_id", wanted)
+
+
 def usable_folds(split: DataFrame, labels: list[str]) -> DataFrame:
     """Folds with test rows and both classes of every label among the training rows."""
     train = ~F.col("is_test")

@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redtide.functions.hashing import portable_hash
-from redtide.operators import aggregates, blocking, clean, metrics, models, splits
-from redtide.plans.fixtures import SPECIES
+from redtide.operators import aggregates, blocking, clean, experiments, joins, metrics, models, splits
+from redtide.plans.fixtures import SPECIES, view, with_views
 from redtide.plans.queries_clean import THRESHOLDS
-from redtide.plans.queries_composite import WARNING, with_band
-from redtide.plans.queries_matchup import located
+from redtide.plans.queries_composite import WARNING
+from redtide.plans.queries_matchup import DAILY, OBS, daily, located
 from redtide.plans.registry import query
-from redtide.session import checkpointed
+from redtide.session import checkpointed, written
 
 COLOUR = ["rrs_8", "latitude", "longitude", "doy_sin", "doy_cos"]
 HYBRID = [*COLOUR, "depth"]
@@ -21,13 +21,29 @@ CLOSED = {s: f"c_{s}" for s in SPECIES}
 TIERS = {"warning": LABELS, "closure": CLOSED}
 
 
+#: Three atmospheric corrections stand for three bands; `rrs_8` is the band of source C.
+SOURCES = {"A": ("b04", "a_rrs"), "B": ("b06", "b_rrs"), "C": ("b08", "rrs_8")}
+PLACE = COLOUR[1:]
+TRACKS = {f"{s}{kind}": [column, *PLACE, *model] for s, (_, column) in SOURCES.items() for kind, model in (("_only", []), ("_roms", ["depth"]))}
+
+
+def with_sources(spark, sf):
+    """Daily observations with the band of each source averaged over their own day."""
+    keyed = located(spark, sf).select("loc", "location_id").distinct()
+    pixels = view(spark, sf, "pixels").where("data_mask = 1").groupBy("loc", F.col("scene_date").alias("obs_date"))
+    feats = pixels.agg(*[F.avg(band).alias(column) for band, column in SOURCES.values()]).join(keyed, "loc").drop("loc")
+    return joins.attach_features(daily(spark, sf), feats, "rrs_8")
+
+
 def matrix(spark, sf):
-    """Labelled feature rows, nulls imputed, with an integer row id."""
+    """Labelled feature rows, nulls imputed, with an integer row id; written once, as several jobs read it."""
     ids = located(spark, sf).groupBy("location_id", "obs_date").agg(F.min("bin_id").alias("row_id"))
-    rows = clean.with_season(with_band(spark, sf)).join(ids, ["location_id", "obs_date"])
-    known = aggregates.impute_median(rows, ["rrs_8", "depth"])
+    rows = clean.with_season(with_sources(spark, sf)).join(ids, ["location_id", "obs_date"])
+    colours = [column for _, column in SOURCES.values()]
+    known = aggregates.impute_median(rows, [*colours, "depth"])
     levels = {c: F.coalesce((F.col(s) > THRESHOLDS[s][tier]).cast("int"), F.lit(0)) for tier, names in TIERS.items() for s, c in names.items()}
-    return known.withColumns(levels).select("row_id", "station", *HYBRID, *SPECIES, *LABELS.values(), *CLOSED.values()).persist()
+    kept = ["row_id", "station", *colours, *PLACE, "depth", *SPECIES, *LABELS.values(), *CLOSED.values()]
+    return written(known.withColumns(levels).select(*kept))
 
 
 def halves(df):
@@ -82,49 +98,84 @@ def v23(spark, sf):
     return models.permutation_importance(model, test, "row_id", HYBRID, "l_view")
 
 
+RANDOM_FOLDS, SPATIAL_FOLDS, REGRESSION_FOLDS = 50, 10, 50
+CELL = ["track", "tier", "fold", "species"]
+
+
+def random_matrix(spark, sf):
+    rows = matrix(spark, sf)
+    folds = experiments.random_folds(rows, "row_id", RANDOM_FOLDS)
+    return experiments.run_experiments(rows, "row_id", folds, experiments.Matrix(TRACKS, TIERS), F.col("station") != "st0")
+
+
 @query("v26_experiment_matrix_random")
 def v26_random(spark, sf):
-    split = splits.shuffle_split(matrix(spark, sf), "row_id", 2)
-    pred = models.run_matrix(
-        split,
-        "row_id",
-        {"C_only": COLOUR, "C_roms": HYBRID},
-        TIERS,
-        lambda d, f, c: models.fit_forest(d, f, c, trees=20),
-        test_filter=F.col("station") != "st0",
-    )
-    return models.scores_table(pred, ["track", "tier", "fold", "species"])
+    """Three sources with and without the model variables, both tiers, all species, 50 random folds."""
+    return models.scores_table(random_matrix(spark, sf)[0], CELL)
+
+
+_DAY = f"{with_views('obs')}, {OBS}, {DAILY}, ids AS (SELECT location_id, obs_date, min(bin_id) AS row_id FROM obs GROUP BY ALL)"
+_LEVELS = " UNION ALL ".join(
+    f"SELECT '{tier}' AS tier, '{s}' AS species, row_id, station, CASE WHEN {s} > {THRESHOLDS[s][tier]} THEN 1 ELSE 0 END AS y FROM daily JOIN ids USING (location_id, obs_date)"
+    for tier in TIERS
+    for s in SPECIES
+)
+
+
+@query(
+    "v26_cell_report",
+    f"""{_DAY}, ranked AS (SELECT row_id, fold, row_number() OVER (PARTITION BY fold ORDER BY {splits.hash_sql('row_id', 'fold')}, row_id) AS rn FROM ids CROSS JOIN generate_series(0, {RANDOM_FOLDS - 1}) f(fold)),
+    m AS (SELECT tier, species, fold, y, station <> 'st0' AS kept, rn <= (SELECT ceil(count(*) * 0.2e0) FROM ids) AS is_test FROM ({_LEVELS}) l JOIN ranked USING (row_id)),
+    cells AS (SELECT tier, species, fold, count(*) FILTER (WHERE NOT is_test) AS n_train, coalesce(sum(y) FILTER (WHERE NOT is_test), 0)::BIGINT AS train_pos,
+      count(*) FILTER (WHERE is_test AND kept) AS n_test, coalesce(sum(y) FILTER (WHERE is_test AND kept), 0)::BIGINT AS test_pos, sum(y) < 5 AS few_positives FROM m GROUP BY ALL),
+    judged AS (SELECT *, train_pos > 0 AND train_pos < n_train AS both_classes FROM cells)
+    SELECT tier, species, cast(fold AS int) AS fold, n_train, train_pos, n_test, test_pos, few_positives,
+      CASE WHEN (SELECT count(*) FROM ids) < 50 THEN 'too_few_rows' WHEN NOT both_classes THEN 'train_excluded' WHEN n_test = 0 THEN 'no_test'
+        WHEN NOT bool_and(both_classes) OVER (PARTITION BY tier, fold) THEN 'fold_skipped' ELSE 'fit' END AS status FROM judged""",
+)
+def v26_report(spark, sf):
+    """What each cell of the random matrix is fitted and tested on, and the cells that are left out."""
+    rows = matrix(spark, sf)
+    folds = experiments.random_folds(rows, "row_id", RANDOM_FOLDS)
+    return experiments.cell_report(rows, folds, experiments.Matrix(TRACKS, TIERS), F.col("station") != "st0")
+
+
+def spatial_schemes(placed):
+    """The rows with a block, for each of the four blocking schemes, sparse blocks merged."""
+    sweep = blocking.moran_sweep(placed, "row_id", "view")
+    size = 2 * blocking.correlation_range(sweep)
+    grid = blocking.merge_sparse_blocks(blocking.grid_blocks(placed, size), 5, size)
+    trees = {f"quadtree_{m}": blocking.merge_sparse_blocks(blocking.quadtree_blocks(placed, mode=m), 5, 5_000.0) for m in ("adaptive", "random")}
+    return {"grid": grid, **trees, "clustering": blocking.cluster_blocks(placed)}
+
+
+def spatial_matrix(spark, sf):
+    """Predictions and report of all schemes; folds hold whole blocks and balanced label combinations."""
+    placed = written(clean.project_utm(matrix(spark, sf)))
+    predictions, reports = None, None
+    for scheme, rows in spatial_schemes(placed).items():
+        strata = splits.strat_label(rows, list(LABELS.values()), SPATIAL_FOLDS)
+        home = written(splits.stratified_group_kfold(strata, "block_id", "strat", SPATIAL_FOLDS))
+        folds = experiments.home_folds(SPATIAL_FOLDS)
+        found = experiments.run_experiments(home, "row_id", folds, experiments.Matrix(TRACKS, TIERS, spatial=True))
+        one, report = (d.withColumn("blocking", F.lit(scheme)) for d in found)
+        predictions = one if predictions is None else predictions.unionByName(one)
+        reports = report if reports is None else reports.unionByName(report)
+    return predictions, reports
 
 
 @query("v26_experiment_matrix_spatial")
 def v26_spatial(spark, sf):
-    placed = blocking.grid_blocks(clean.project_utm(matrix(spark, sf)), 50_000)
-    folds = splits.stratified_group_kfold(placed, "block_id", "l_view", 3).persist()
-    each = F.explode(F.array(*[F.lit(i) for i in range(3)]))
-    split = folds.withColumnRenamed("fold", "_home").withColumn("fold", each).withColumn("is_test", F.col("_home") == F.col("fold"))
-    pred = models.run_matrix(
-        split,
-        "row_id",
-        {"C_only": COLOUR, "C_roms": HYBRID},
-        TIERS,
-        lambda d, f, c: models.fit_forest(d, f, c, trees=20),
-        spatial=True,
-    )
-    return models.scores_table(pred, ["track", "tier", "fold", "species"], zero_pos_null=True)
+    """As the random matrix, with ten folds of whole blocks in each of four blocking schemes."""
+    return models.scores_table(spatial_matrix(spark, sf)[0], ["blocking", *CELL], zero_pos_null=True)
 
 
 @query("v26_regression")
 def v26_regression(spark, sf):
-    """Both tracks, all active species, five random folds; R2, errors and bias of each cell."""
-    rows = targets(spark, sf)
+    """All tracks, all active species, 50 random folds; R2, errors and bias of each cell."""
+    rows = written(targets(spark, sf))
     labels = {s: f"y_{s}" for s in SPECIES if f"y_{s}" in rows.columns}
-    pred = models.run_matrix(
-        splits.shuffle_split(rows, "row_id", 5),
-        "row_id",
-        {"C_only": COLOUR, "C_roms": HYBRID},
-        {"warning": labels},
-        lambda d, f, c: models.fit_forest_regressor(d, f, c, trees=20),
-        min_rows=30,
-        regression=True,
-    )
-    return metrics.regression_metrics(pred, ["track", "tier", "fold", "species"])
+    folds = experiments.random_folds(rows, "row_id", REGRESSION_FOLDS)
+    asked = experiments.Matrix(TRACKS, {"warning": labels}, regression=True, trees=200, min_rows=30)
+    pred, _ = experiments.run_experiments(rows, "row_id", folds, asked)
+    return metrics.regression_metrics(pred, CELL)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redtide.functions.scalars import normal_two_sided_p
-from redtide.operators import blocking, metrics, models, significance
+from redtide.operators import blocking, experiments, metrics, models, significance
 
 
 @pytest.fixture(scope="module")
@@ -229,16 +229,8 @@ def test_regression_matrix(spark):
     rng = random.Random(5)
     rows = [(k, x := rng.random(), rng.random(), 3 * x + 1.0 if k % 4 else None, 2.0 - x) for k in range(120)]
     df = spark.createDataFrame(rows, "row_id bigint, a double, b double, y_one double, y_two double")
-    from redtide.operators import splits
-
-    pred = models.run_matrix(
-        splits.shuffle_split(df, "row_id", 2),
-        "row_id",
-        {"t": ["a", "b"]},
-        {"warning": {"one": "y_one", "two": "y_two"}},
-        lambda d, f, c: models.fit_forest_regressor(d, f, c, trees=5),
-        regression=True,
-    )
+    asked = experiments.Matrix({"t": ["a", "b"]}, {"warning": {"one": "y_one", "two": "y_two"}}, regression=True, trees=20)
+    pred, _ = experiments.run_experiments(df, "row_id", experiments.random_folds(df, "row_id", 2), asked)
     found = {(r.fold, r.species): r for r in metrics.regression_metrics(pred, ["track", "tier", "fold", "species"]).collect()}
     assert set(found) == {(f, s) for f in (0, 1) for s in ("one", "two")}
     assert all(r.r2 > 0.5 for r in found.values()) and found[0, "two"].n_valid == 24
