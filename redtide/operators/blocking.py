@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,8 @@ from pyspark.sql.window import Window
 
 from redtide import constants as K
 from redtide.functions.hashing import portable_hash
-from redtide.operators.joins import distance_pairs
-from redtide.operators.splits import portable_sample, split_ordinal
+from redtide.operators.joins import cell_of, distance_pairs
+from redtide.operators.splits import hash_ordinal, portable_sample
 from redtide.session import written
 
 
@@ -241,56 +243,266 @@ def weighted_places(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def moran_i(places: DataFrame, radius_m: float) -> DataFrame:
-    """Moran's I with row-standardised binary weights within `radius_m` (one row).
+#: Positions a tile of even density holds, and most positions in and around a tile that one task compares.
+TILE_MEAN, TILE_MOST = 512, 8192
+#: Sub-cells along a radius where tiles are fuller.
+SUB_CELLS = 16
+
+
+def reach_sums(places: DataFrame, radii_m: list[float], values: list[str], tile_most: int = TILE_MOST) -> DataFrame:
+    """Sums of `values` over all positions within each radius of each position, itself included: (radius_m, id, values).
+
+    Pairs of positions are never rows. Positions meet in tiles at least a radius wide, wider where there are few, with
+    copies in the tiles within reach, and a tile is compared in arrays; all radii are one job. The tiles are counted
+    first: around one with more than `tile_most` positions, sub-cells wholly within the radius add their sums,
+    and only sub-cells on the border compare positions.
+    """
+    box = places.agg(F.min("x_m"), F.max("x_m"), F.min("y_m"), F.max("y_m"), F.count(F.lit(1))).first()
+    slim = places.select("id", "x_m", "y_m", *[F.col(v).cast("double").alias(v) for v in values])
+    if not box[4]:
+        return slim.select(F.lit(0.0).alias("radius_m"), "id", *values)
+    sides = {float(r): max(float(r), math.sqrt((box[1] - box[0] + r) * (box[3] - box[2] + r) * TILE_MEAN / box[4])) for r in radii_m}
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("radius_m"), F.lit(side).alias("side")) for r, side in sides.items()]))
+    home = slim.withColumn("_r", each).select("*", "_r.*").drop("_r")
+    home = home.withColumns({"_hx": cell_of(F.col("x_m"), F.col("side")), "_hy": cell_of(F.col("y_m"), F.col("side"))})
+    around = lambda c: F.explode(F.sequence(cell_of(F.col(c) - F.col("radius_m"), F.col("side")), cell_of(F.col(c) + F.col("radius_m"), F.col("side"))))
+    spread = home.withColumn("_tx", around("x_m")).withColumn("_ty", around("y_m"))
+    tile = ["radius_m", "_tx", "_ty"]
+    sizes = written(spread.groupBy(*tile).agg(F.count(F.lit(1)).alias("_size")))
+    dense = sizes.where(F.col("_size") > tile_most).select("radius_m", F.col("_tx").alias("_hx"), F.col("_ty").alias("_hy"))
+    crowded = sorted(r.radius_m for r in dense.select("radius_m").distinct().collect())  # at most one row a radius
+    if crowded:
+        spread = spread.join(sizes.where(F.col("_size") <= tile_most).drop("_size"), tile)
+    schema = home.select("radius_m", "id", *values).schema
+    found = spread.groupBy(*tile).applyInArrow(_tile_sums(values), schema)
+    for radius in crowded:
+        targets = home.where(F.col("radius_m") == radius).join(dense.where(F.col("radius_m") == radius), ["radius_m", "_hx", "_hy"], "left_semi")
+        sums = _dense_sums(targets.select("id", "x_m", "y_m"), slim, radius, values)
+        found = found.unionByName(sums.select(F.lit(radius).alias("radius_m"), "id", *values))
+    return found
+
+
+def _tile_sums(values: list[str], step: int = 256):
+    """The positions at home in a tile against all within reach of it."""
+
+    def run(key, table):
+        radius, tx, ty = (k.as_py() for k in key)
+        x, y = table["x_m"].to_numpy(), table["y_m"].to_numpy()
+        own = np.flatnonzero((table["_hx"].to_numpy() == tx) & (table["_hy"].to_numpy() == ty))
+        weights = np.column_stack([table[v].to_numpy() for v in values])
+        out = np.zeros((len(own), len(values)))
+        for first in range(0, len(own), step):
+            some = own[first : first + step]
+            dx, dy = x[some, None] - x, y[some, None] - y
+            out[first : first + step] = (np.sqrt(dx * dx + dy * dy) <= radius) @ weights
+        sums = {v: pa.array(out[:, k]) for k, v in enumerate(values)}
+        return pa.table({"radius_m": pa.array([radius] * len(own), pa.float64()), "id": table["id"].take(pa.array(own)), **sums})
+
+    return run
+
+
+def _dense_sums(targets: DataFrame, sources: DataFrame, radius_m: float, values: list[str]) -> DataFrame:
+    """`reach_sums` of the targets by sub-cells: whole ones by their sums, those on the border by their positions."""
+    side = radius_m / SUB_CELLS
+    near = lambda a: max(abs(a) - 1, 0)
+    steps = range(-SUB_CELLS - 1, SUB_CELLS + 2)
+    # a hair of slack on both sides: cells that rounding could misjudge count as border
+    inside = [(a, b) for a in steps for b in steps if math.hypot(abs(a) + 1, abs(b) + 1) <= SUB_CELLS * (1 - 1e-9)]
+    border = [(a, b) for a in steps for b in steps if (a, b) not in set(inside) and math.hypot(near(a), near(b)) <= SUB_CELLS * (1 + 1e-9)]
+    offsets = lambda pairs: F.explode(F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in pairs])).alias("_o")
+    celled = lambda df: df.withColumns({"_cx": cell_of(F.col("x_m"), side), "_cy": cell_of(F.col("y_m"), side)})
+    targets, sources = celled(targets), celled(sources)
+    cells = sources.groupBy("_cx", "_cy").agg(*[F.sum(v).alias(v) for v in values])
+    asked = targets.select("_cx", "_cy").distinct()
+
+    def reached(pairs):
+        return asked.select("_cx", "_cy", offsets(pairs)).select(
+            F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay"), (F.col("_cx") + F.col("_o.a")).alias("_cx"), (F.col("_cy") + F.col("_o.b")).alias("_cy")
+        )
+
+    whole = reached(inside).join(cells, ["_cx", "_cy"]).groupBy("_ax", "_ay").agg(*[F.sum(v).alias(v) for v in values])
+    whole = targets.select("id", F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay")).join(whole, ["_ax", "_ay"]).select("id", *values)
+    renamed = sources.select("_cx", "_cy", F.col("x_m").alias("_x"), F.col("y_m").alias("_y"), *values)
+    dx, dy = F.col("x_m") - F.col("_x"), F.col("y_m") - F.col("_y")
+    here = targets.select("id", "x_m", "y_m", F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay"))
+    edge = reached(border).join(cells.select("_cx", "_cy"), ["_cx", "_cy"], "left_semi").join(here, ["_ax", "_ay"]).join(renamed, ["_cx", "_cy"])
+    edge = edge.where(F.sqrt(dx * dx + dy * dy) <= radius_m).groupBy("id").agg(*[F.sum(v).alias(v) for v in values])
+    return whole.unionByName(edge).groupBy("id").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def moran_i(places: DataFrame, radii_m: list[float]) -> DataFrame:
+    """Moran's I with row-standardised binary weights within each radius (one row a radius).
 
     Every row of a position has the same neighbours, all rows in reach but itself, so the sum
-    over pairs of rows is a sum over pairs of positions: with N rows and Z summed deviation in
-    reach of a position, its rows contribute (z Z - zz) / (N - 1). Rows never pair up.
+    over pairs of rows is a sum over positions: with N rows and Z summed deviation in
+    reach of a position, its rows contribute (z Z - zz) / (N - 1). Neither rows nor positions pair up.
     """
-    pairs = distance_pairs(places.select("id", "x_m", "y_m"), radius_m)
-    other = places.select(F.col("id").alias("j"), F.col("n").alias("nj"), F.col("z").alias("zj"))
-    reach = pairs.join(other, "j").groupBy(F.col("i").alias("id")).agg(F.sum("nj").alias("_n"), F.sum("zj").alias("_z"))
-    neighbours = F.col("n") + F.coalesce("_n", F.lit(0)) - 1
-    near_z = F.col("z") + F.coalesce("_z", F.lit(0.0))
+    reach = reach_sums(places, radii_m, ["n", "z"]).select("radius_m", "id", F.col("n").alias("_n"), F.col("z").alias("_z"))
+    neighbours = F.col("_n") - 1
     linked = neighbours > 0
-    return places.join(reach, "id", "left").agg(
-        F.lit(float(radius_m)).alias("radius_m"),
+    return reach.join(places, "id").groupBy("radius_m").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(linked, F.col("n")).otherwise(0)).alias("s0"),
         (
             F.sum("n")
             / F.sum(F.when(linked, F.col("n")))
-            * F.sum(F.when(linked, (F.col("z") * near_z - F.col("zz")) / neighbours))
+            * F.sum(F.when(linked, (F.col("z") * F.col("_z") - F.col("zz")) / neighbours))
             / F.sum("zz")
         ).alias("moran_i"),
     )
 
 
-def moran_permutations(df: DataFrame, id_col: str, value: str, radius_m: float, permutations: int) -> DataFrame:
-    """Moran's I of shuffled values, one row per permutation (`perm` from 1), over all rows.
+#: Rows whose values fit in a broadcast of 64 MB, and rows of one position that one task draws for.
+DRAWN_ROWS, SEATS = 8 << 20, 4096
+ROUNDS = 16
+
 
-    Rows are numbered by hash once for their seats and once per permutation, without ordering a whole
-    group in one task; a value moves to the seat with its number. Sums per permutation and position then meet
-    pairs of positions, as in `moran_i`. All permutations are one job.
+def drawn_seat(ordinal, draw, n: int):
+    """A keyed permutation of 0 .. n - 1 for every draw, on Columns or on integer arrays alike.
+
+    Each round pairs x with key - x (mod n) and a hash of the larger one decides whether the two change places, so any
+    number of rounds is one-to-one for every n; no order, table or search is needed.
     """
+    columns = isinstance(ordinal, Column)
+    pick = (lambda c, a, b: F.when(c, a).otherwise(b)) if columns else np.where
+    right = F.shiftright if columns else np.right_shift
+    both = (lambda a, b: a.bitwiseAND(b)) if columns else np.bitwise_and
+    odd = (lambda a, b: a.bitwiseXOR(b)) if columns else np.bitwise_xor
+
+    def mixed(v):
+        for _ in range(2):
+            v = both(v, 0x7FFFFFFF) * 0x45D9F3B
+            v = odd(v, right(v, 16))
+        return v
+
+    def turn(x, k):
+        key = both(mixed(draw * 64 + k + 1), 0x7FFFFFFF) % n
+        partner = (key + n - x) % n
+        larger = pick(x > partner, x, partner)
+        coin = mixed(odd(odd(larger, right(larger, 31)), both(mixed(draw * 64 + k + 32), 0x7FFFFFFF)))
+        return pick(both(right(coin, 11), 1) == 1, partner, x)
+
+    if columns:
+        return F.aggregate(F.array(*[F.lit(k).cast("bigint") for k in range(ROUNDS)]), ordinal, turn)
+    x = ordinal
+    for k in range(ROUNDS):
+        x = turn(x, k)
+    return x
+
+
+def _numbered(df: DataFrame, id_col: str, value: str) -> DataFrame:
+    """(_id, seat from 0, x_m, y_m, _z): rows in hash order with their deviation from the mean; numbered once."""
     known = df.where(F.col(value).isNotNull() & F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
-    mean, total, count = known.agg(F.avg(value), F.var_pop(value) * F.count(value), F.count(value)).first()
-    buckets = min(2**16, 1 << math.ceil(count / 1000).bit_length())  # about a thousand rows each
-    places = weighted_places(known, value).select("id", "x_m", "y_m", F.col("n").cast("bigint").alias("n"))
-    numbered = written(split_ordinal(known.select(F.col(id_col).alias("_id")), "_id", permutations + 1, buckets))
-    rows = known.select(F.col(id_col).alias("_id"), "x_m", "y_m", (F.col(value) - mean).alias("_z"))
-    seats = numbered.where("fold = 0").join(rows.drop("_z"), "_id").join(places, ["x_m", "y_m"]).select("ordinal", "id")
-    drawn = numbered.where("fold > 0").join(rows.select("_id", "_z"), "_id").select(F.col("fold").alias("perm"), "ordinal", "_z")
-    sums = written(drawn.join(seats, "ordinal").groupBy("perm", "id").agg(F.sum("_z").alias("z"), F.sum(F.col("_z") * F.col("_z")).alias("zz")))
-    pairs = written(distance_pairs(places.select("id", "x_m", "y_m"), radius_m).select("i", "j"))
-    near = pairs.join(places.select(F.col("id").alias("j"), F.col("n").alias("_nj")), "j").groupBy(F.col("i").alias("id")).agg(F.sum("_nj").alias("_n"))
-    degree = places.join(near, "id", "left").select("id", "n", (F.col("n") + F.coalesce("_n", F.lit(0)) - 1).alias("deg")).where("deg > 0")
-    reach = pairs.join(sums.select("perm", F.col("id").alias("j"), F.col("z").alias("zj")), "j").groupBy("perm", F.col("i").alias("id")).agg(F.sum("zj").alias("_zr"))
-    both = sums.join(degree, "id").join(reach, ["perm", "id"], "left")
-    term = (F.col("z") * (F.col("z") + F.coalesce("_zr", F.lit(0.0))) - F.col("zz")) / F.col("deg")
-    n = places.agg(F.sum("n")).first()[0]
-    return both.groupBy("perm").agg((F.lit(float(n or 0)) / F.sum("n") * F.sum(term) / F.lit(total or None)).alias("moran_i"))
+    mean = known.agg(F.avg(value)).first()[0]
+    rows = known.select(F.col(id_col).alias("_id"), "x_m", "y_m", (F.col(value) - F.lit(mean)).alias("_z"))
+    ordered = hash_ordinal(rows.withColumns({"_h": portable_hash("_id"), "_all": F.lit(1)}), ["_all"], "_id").drop("_all")
+    return written(ordered.withColumn("seat", F.col("ordinal") - 1).drop("ordinal"))
+
+
+def moran_permutations(
+    df: DataFrame, id_col: str, value: str, radius_m: float, permutations: int, drawn_rows: int = DRAWN_ROWS, tile_most: int = TILE_MOST
+) -> DataFrame:
+    """Moran's I of shuffled values, one row per permutation (`perm` from 1), over all rows.
+
+    Rows are numbered once. In draw p a row of seat s gets the value of seat `drawn_seat(s, p)`, so nothing is put
+    in order or moved for a draw. Values up to `drawn_rows` are broadcast (counted first), and a tile of positions
+    draws for itself: one job for all permutations. Beyond, and where a tile is too full, values meet their seats
+    in a join; the draws are the same.
+    """
+    numbered = _numbered(df, id_col, value)
+    count, total = numbered.agg(F.count(F.lit(1)), F.sum(F.col("_z") * F.col("_z"))).first()
+    places = numbered.groupBy("x_m", "y_m").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    places = written(places.withColumn("id", F.concat_ws(":", F.col("x_m").cast("string"), F.col("y_m").cast("string"))))
+    reach = written(reach_sums(places, [radius_m], ["n"], tile_most).select("id", (F.col("n") - 1).alias("deg")))
+    linked = places.join(reach, "id").where("deg > 0").agg(F.sum("n")).first()[0]
+    if not linked or not total:
+        return numbered.limit(0).select(F.lit(0).alias("perm"), F.lit(0.0).alias("moran_i"))
+    box = places.agg(F.min("x_m"), F.max("x_m"), F.min("y_m"), F.max("y_m"), F.count(F.lit(1))).first()
+    side = max(radius_m, math.sqrt((box[1] - box[0] + radius_m) * (box[3] - box[2] + radius_m) * TILE_MEAN / box[4]))
+    around = lambda c: F.explode(F.sequence(cell_of(F.col(c) - radius_m, side), cell_of(F.col(c) + radius_m, side)))
+    tiled = lambda d: d.withColumns({"_hx": cell_of(F.col("x_m"), side), "_hy": cell_of(F.col("y_m"), side)}).withColumn("_tx", around("x_m")).withColumn("_ty", around("y_m"))
+    fullest = tiled(places).groupBy("_tx", "_ty").count().agg(F.max("count")).first()[0]
+    if count <= drawn_rows and fullest <= tile_most:
+        terms = _drawn_in_tiles(numbered, places, tiled, radius_m, permutations, count)
+    else:
+        terms = _drawn_by_joins(numbered, places, reach, radius_m, permutations, count)
+    return terms.select("perm", (F.lit(count / linked) * F.col("term") / F.lit(total)).alias("moran_i"))
+
+
+def _drawn_in_tiles(numbered: DataFrame, places: DataFrame, tiled, radius_m: float, permutations: int, n: int) -> DataFrame:
+    """(perm, term): sums over the rows of z * (sum of z in reach) / neighbours, tile by tile."""
+    spark = numbered.sparkSession
+    # at most DRAWN_ROWS numbers
+    values = spark.sparkContext.broadcast(numbered.select("seat", "_z").orderBy("seat").toArrow()["_z"].to_numpy())
+    pieces = F.ceil(F.col("n") / SEATS).cast("bigint")
+    seats = numbered.join(places, ["x_m", "y_m"]).groupBy("id", "x_m", "y_m", F.pmod("seat", pieces).alias("piece"), pieces.alias("pieces"))
+    seats = written(seats.agg(F.sort_array(F.collect_list("seat")).alias("seats")))  # at most about SEATS in a list
+
+    def sums(lists: list[np.ndarray], draws: np.ndarray, squares: bool = False) -> np.ndarray:
+        """Sum of the drawn values of each list, [draw, list]."""
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in lists])[:-1]])
+        drawn = values.value[drawn_seat(np.concatenate(lists)[None, :], draws[:, None], n)]
+        return np.add.reduceat(drawn * drawn if squares else drawn, starts, axis=1)
+
+    def pre(batches):
+        draws = np.arange(1, permutations + 1)
+        for batch in batches:
+            for ident, seat in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seat = seat.values.to_numpy()
+                made = [np.concatenate([sums([seat], d, q)[:, 0] for d in np.array_split(draws, max(1, len(draws) * len(seat) >> 20))]) for q in (False, True)]
+                yield pa.RecordBatch.from_arrays([pa.array([ident]), pa.array([made[0].tobytes()]), pa.array([made[1].tobytes()])], names=["id", "z", "zz"])
+
+    def add(key, table):
+        total = [sum(np.frombuffer(v) for v in table[c].to_pylist()) for c in ("z", "zz")]
+        return pa.table({"id": pa.array([key[0].as_py()]), "z": pa.array([total[0].tobytes()]), "zz": pa.array([total[1].tobytes()])})
+
+    # positions with many rows are drawn for in pieces beforehand, so that no task draws for a third of all rows
+    heavy = seats.where("pieces > 1").select("id", "seats").mapInArrow(pre, "id string, z binary, zz binary")
+    heavy = heavy.groupBy("id").applyInArrow(add, "id string, z binary, zz binary")
+    light = seats.where("pieces = 1").select("id", "seats")
+    known = places.join(light, "id", "left").join(heavy, "id", "left")
+
+    def run(key, table):
+        x, y, rows = table["x_m"].to_numpy(), table["y_m"].to_numpy(), table["n"].to_numpy()
+        own = np.flatnonzero((table["_hx"].to_numpy() == key[0].as_py()) & (table["_hy"].to_numpy() == key[1].as_py()))
+        lists, ready, squares = table["seats"].to_pylist(), table["z"].to_pylist(), table["zz"].to_pylist()
+        plain = [k for k, v in enumerate(lists) if v is not None]
+        lists = [np.array(lists[k]) for k in plain]
+        mine = np.flatnonzero(np.isin(plain, own))
+        out = np.zeros(permutations)
+        step = max(1, (1 << 20) // max(1, sum(map(len, lists)) + len(x)))
+        for first in range(0, permutations if len(own) else 0, step):
+            draws = np.arange(first + 1, min(first + step, permutations) + 1)
+            z, zz = np.zeros((len(draws), len(x))), np.zeros((len(draws), len(x)))
+            if plain:
+                z[:, plain] = sums(lists, draws)
+                if len(mine):
+                    zz[:, np.array(plain)[mine]] = sums([lists[k] for k in mine], draws, True)
+            for k, v in enumerate(ready):
+                if v is not None:
+                    z[:, k], zz[:, k] = np.frombuffer(v)[draws - 1], np.frombuffer(squares[k])[draws - 1]
+            for low in range(0, len(own), 256):
+                some = own[low : low + 256]
+                dx, dy = x[some, None] - x, y[some, None] - y
+                near = (np.sqrt(dx * dx + dy * dy) <= radius_m).astype(float)
+                degree = near @ rows - 1
+                term = np.where(degree > 0, (z[:, some] * (z @ near.T) - zz[:, some]) / np.maximum(degree, 1), 0)
+                out[draws - 1] += term.sum(1)
+        return pa.table({"perm": pa.array(range(1, permutations + 1), pa.int32()), "term": pa.array(out)})
+
+    terms = tiled(known).groupBy("_tx", "_ty").applyInArrow(run, "perm int, term double")
+    return terms.groupBy("perm").agg(F.sum("term").alias("term"))
+
+
+def _drawn_by_joins(numbered: DataFrame, places: DataFrame, reach: DataFrame, radius_m: float, permutations: int, n: int) -> DataFrame:
+    """As `_drawn_in_tiles`, with a row for each draw of a value, and pairs of positions within the radius."""
+    drawn = numbered.join(places, ["x_m", "y_m"]).select("id", "seat", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    drawn = drawn.select("id", "perm", drawn_seat(F.col("seat").cast("bigint"), F.col("perm").cast("bigint"), n).alias("seat"))
+    sums = written(drawn.join(numbered.select("seat", "_z"), "seat").groupBy("perm", "id").agg(F.sum("_z").alias("z"), F.sum(F.col("_z") * F.col("_z")).alias("zz")))
+    pairs = distance_pairs(places.select("id", "x_m", "y_m"), radius_m).select("i", "j")
+    near = pairs.join(sums.select("perm", F.col("id").alias("j"), F.col("z").alias("zj")), "j").groupBy("perm", F.col("i").alias("id")).agg(F.sum("zj").alias("_zr"))
+    both = sums.join(reach.where("deg > 0"), "id").join(near, ["perm", "id"], "left")
+    return both.groupBy("perm").agg(F.sum((F.col("z") * (F.col("z") + F.coalesce("_zr", F.lit(0.0))) - F.col("zz")) / F.col("deg")).alias("term"))
 
 
 def moran_sweep(
@@ -305,18 +517,18 @@ def moran_sweep(
     """Moran's I per radius, over all rows; `sample_n` draws a sample by hash first (T4)."""
     known = df.where(F.col(value).isNotNull())
     rows = portable_sample(known, id_col, sample_n, seed) if sample_n else known
-    out = None
+    sweep = moran_i(written(weighted_places(rows, value)), [float(r) for r in radii])
+    if not permutations:
+        return sweep
+    sweep, out = written(sweep), None
     for radius in radii:
-        one = moran_i(weighted_places(rows, value), radius)
-        if permutations:
-            drawn = moran_permutations(rows, id_col, value, radius, permutations)
-            observed = F.col("moran_i")
-            # one row on each side
-            larger = drawn.agg(F.collect_list("moran_i").alias("_draws"))
-            one = one.withColumn("_one", F.lit(1)).join(larger.withColumn("_one", F.lit(1)), "_one").drop("_one")
-            above = F.size(F.filter("_draws", lambda d: d >= observed))
-            extreme = F.least(above, F.lit(permutations) - above)
-            one = one.withColumn("p_value", (extreme + 1) / F.lit(permutations + 1.0)).drop("_draws")
+        observed = sweep.where(F.col("radius_m") == float(radius))
+        # one row on each side: all draws of a radius in a list
+        draws = moran_permutations(rows, id_col, value, float(radius), permutations).agg(F.collect_list("moran_i").alias("_draws"))
+        one = observed.withColumn("_one", F.lit(1)).join(draws.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        above = F.size(F.filter("_draws", lambda d: d >= F.col("moran_i")))
+        extreme = F.least(above, F.lit(permutations) - above)
+        one = one.withColumn("p_value", (extreme + 1) / F.lit(permutations + 1.0)).drop("_draws")
         out = one if out is None else out.unionByName(one)
     return out
 

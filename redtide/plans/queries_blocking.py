@@ -10,6 +10,7 @@ from redtide.plans.fixtures import SPECIES, read, view, with_views
 from redtide.plans.queries_clean import THRESHOLDS
 from redtide.plans.queries_matchup import DAILY, OBS, daily
 from redtide.plans.registry import query, rounded
+from redtide.session import written
 
 # plane coordinates as simple multiples, so that both engines get the same doubles
 XY = "points AS (SELECT bin_id, loc, (longitude + 72e0) * 80000e0 + bin_id % 7 * 311e0 AS x_m, (latitude - 38e0) * 111000e0 + bin_id % 5 * 427e0 AS y_m, view, concentration FROM fx_obs)"
@@ -160,6 +161,22 @@ def v11_p(spark, sf):
     return blocking.moran_sweep(points(spark, sf), "bin_id", "concentration", [5_000], permutations=999)
 
 
+@query(
+    "v11_permutation_sanity",
+    f"""{PTS}, z AS (SELECT bin_id, x_m, y_m, concentration - m AS z FROM points CROSS JOIN (SELECT avg(concentration) AS m FROM points) c),
+    w AS (SELECT a.bin_id, any_value(a.z) AS zi, sum(b.z) AS lag, count(*) AS deg FROM z a JOIN z b ON a.bin_id <> b.bin_id AND abs(a.x_m - b.x_m) <= 5000 AND abs(a.y_m - b.y_m) <= 5000
+      AND sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) <= 5000 GROUP BY a.bin_id)
+    SELECT 5000e0 AS radius_m, (SELECT count(*) FROM z) AS n, count(*) AS s0, round((SELECT count(*) FROM z) / count(*) * sum(zi * lag / deg) / (SELECT sum(z * z) FROM z), 9) AS moran_i,
+      true AS p_in_range, true AS p_in_steps FROM w""",
+)
+def v11_p_sanity(spark, sf):
+    """The observed index beside 999 draws: p is a whole number of thousandths above zero and at most a half and one step."""
+    found = written(v11_p(spark, sf))
+    steps = F.col("p_value") * 1000
+    inside = (F.col("p_value") > 0) & (F.col("p_value") <= 0.501)
+    return rounded(found.select("radius_m", "n", "s0", "moran_i", inside.alias("p_in_range"), (F.abs(steps - F.round(steps)) < 1e-9).alias("p_in_steps")), ["moran_i"], 9)
+
+
 # ------------------------------------------------------------------ splits
 
 FOLDS_SQL = f"""ranked AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION BY fold ORDER BY {splits.hash_sql('o_orderkey', 'fold')}, o_orderkey) AS rn FROM orders CROSS JOIN generate_series(0, 49) f(fold))"""

@@ -225,6 +225,61 @@ def test_moran_draws_agree_with_shuffling_by_hand(spark):
     assert 0.5 < np.std(draws) / np.std(by_hand) < 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000, 1023])
+def test_a_draw_is_a_permutation_and_the_same_on_columns(spark, n):
+    seats = np.arange(n)
+    drawn = [blocking.drawn_seat(seats, np.int64(p), n) for p in (1, 2, 999)]
+    assert all(sorted(d) == list(range(n)) for d in drawn)
+    on_columns = spark.range(n).select("id", *[blocking.drawn_seat(F.col("id"), F.lit(p).cast("bigint"), n).alias(f"p{p}") for p in (1, 2, 999)]).orderBy("id").collect()
+    assert [[r[k + 1] for r in on_columns] for k in range(3)] == [list(d) for d in drawn]
+    if n == 1000:
+        moved = np.array([blocking.drawn_seat(seats, np.int64(p), n) for p in range(1, 801)])
+        assert abs(moved.mean(0) - 499.5).max() < 5.5 * 288.7 / np.sqrt(800)  # every seat gets values from everywhere
+        assert abs((moved == seats).sum(1).mean() - 1) < 0.25  # one fixed point on average
+        assert abs((np.diff(moved, axis=1) == 1).sum(1).mean() - 1) < 0.25  # neighbours part
+
+
+def test_draws_are_the_same_in_tiles_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    xy = np.repeat(rng.uniform(0, 30, (40, 2)), [60, *[1 + k % 3 for k in range(39)]], axis=0)  # one busy mooring
+    rows = [(k, float(x), float(y), float(v)) for k, ((x, y), v) in enumerate(zip(xy, rng.normal(size=len(xy))))]
+    df = spark.createDataFrame(rows, "id int, x_m double, y_m double, v double")
+    monkeypatch.setattr(blocking, "SEATS", 16)
+    ways = [blocking.moran_permutations(df, "id", "v", 5.0, 12, **kw).orderBy("perm").collect() for kw in ({}, {"drawn_rows": 5}, {"tile_most": 8})]
+    z, n = np.array([r[3] for r in rows]), len(rows)
+    z = z - z.mean()
+    near = (np.linalg.norm(xy[:, None] - xy[None], axis=2) <= 5) & ~np.eye(n, dtype=bool)
+    order = sorted(range(n), key=lambda k: (spark_hash(k), k))
+    deg, by_hand = near.sum(1), []
+    for p in range(1, 13):
+        drawn = np.empty(n)
+        drawn[order] = z[order][blocking.drawn_seat(np.arange(n), np.int64(p), n)]
+        by_hand.append(n / (deg > 0).sum() * (drawn * (near @ drawn) / np.maximum(deg, 1)).sum() / (z * z).sum())
+    for way in ways:
+        assert [r.perm for r in way] == list(range(1, 13))
+        assert np.allclose([r.moran_i for r in way], by_hand)
+
+
+def spark_hash(ident):
+    """`portable_hash` in plain integers."""
+    mixed = (ident % 2147483647 * 48271 + 42) % 2147483647
+    return ((mixed % 46337) * (mixed % 46339) + mixed) % 2147483647 * 69621 % 2147483647
+
+
+@pytest.mark.parametrize("most", [8192, 60, 1])
+def test_sums_in_reach_of_crowded_tiles(spark, most):
+    rng = np.random.default_rng(6)
+    xy = np.vstack([rng.normal(0, 3, (300, 2)), rng.uniform(-40, 40, (100, 2))])
+    v = rng.normal(size=400)
+    places = spark.createDataFrame([(f"p{k}", *map(float, p), 1.0, float(z)) for k, (p, z) in enumerate(zip(xy, v))], "id string, x_m double, y_m double, n double, z double")
+    dist = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    found = {(r.radius_m, r.id): r for r in blocking.reach_sums(places, [2.0, 9.0], ["n", "z"], most).collect()}
+    assert len(found) == 800
+    for radius in (2.0, 9.0):
+        near = dist <= radius
+        assert all(found[radius, f"p{k}"].n == near[k].sum() and found[radius, f"p{k}"].z == pytest.approx(near[k] @ v) for k in range(400))
+
+
 def test_regression_matrix(spark):
     rng = random.Random(5)
     rows = [(k, x := rng.random(), rng.random(), 3 * x + 1.0 if k % 4 else None, 2.0 - x) for k in range(120)]
