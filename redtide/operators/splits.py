@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from redtide.functions.hashing import MODULUS, portable_hash
 from redtide.operators.ranking import smallest_by_hash
+from redtide.session import written
 
 
 def hash_sql(ident: str, k: str = "0") -> str:
@@ -131,70 +133,116 @@ def collapse_rare(df: DataFrame, column: str, min_count: int, other: Column | in
     ).drop("_c")
 
 
-def _lightest_fold(k: int):
-    """Whole groups to folds, largest first, each to the fold that is lightest so far."""
+def _lightest(k: int, _totals: dict):
+    """State of a walk that puts a group into the lightest fold, the first one on a tie."""
+    loads = [0] * k
+
+    def choose(counts: dict) -> int:
+        return min(range(k), key=lambda f: (loads[f], f))
+
+    def add(counts: dict, times: list[int]) -> None:
+        for f, t in enumerate(times):
+            loads[f] += t * sum(counts.values())
+
+    return choose, add
+
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        loads = [0] * k
-        pdf = pdf.sort_values(["n", "group"], ascending=[False, True])
-        chosen = []
-        for n in pdf["n"]:
-            fold = min(range(k), key=lambda i: (loads[i], i))
-            loads[fold] += n
-            chosen.append(fold)
-        return pdf.assign(fold=chosen)[["group", "fold"]]
+def _evenest(k: int, totals: dict):
+    """State of a walk that keeps the share of every class over the folds most even, the lighter fold on a tie."""
+    held = {c: [0] * k for c in totals}
+    loads = [0] * k
 
-    return assign
+    def choose(counts: dict) -> int:
+        """The fold with the least mean over the classes of the deviation of their shares."""
+        spreads = [0.0] * k
+        for c, total in totals.items():
+            own, more = held[c], counts.get(c, 0)
+            first, squares = sum(own) + more, sum(h * h for h in own) + more * more
+            for f in range(k):
+                spreads[f] += math.sqrt(k * (squares + 2 * more * own[f]) - first * first) / (k * total)
+        return min(range(k), key=lambda f: (round(spreads[f] / len(totals), 12), loads[f], f))
 
+    def add(counts: dict, times: list[int]) -> None:
+        for f, t in enumerate(times):
+            loads[f] += t * sum(counts.values())
+            for c, n in counts.items():
+                held[c][f] += t * n
 
-def _balanced_fold(k: int):
-    """Groups by descending spread of their class counts; each goes to the fold that keeps the
-    class shares over folds most even, the lighter fold on a tie."""
+    return choose, add
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="group", columns="strat", values="n", aggfunc="sum", fill_value=0).sort_index()
-        counts = wide.to_numpy(dtype=float)
-        totals = counts.sum(axis=0)
-        shares = np.zeros((k, counts.shape[1]))
-        loads = np.zeros(k)
-        fold_of = {}
-        for i in np.argsort(-counts.std(axis=1), kind="stable"):
-            added = counts[i] / totals
-            # spread over folds of each class share, were the group put into each fold in turn
-            trials = shares[None, :, :] + np.eye(k)[:, :, None] * added
-            spread = trials.std(axis=1).mean(axis=1).round(12)
-            fold = min(range(k), key=lambda f: (spread[f], loads[f], f))
-            fold_of[wide.index[i]] = fold
-            shares[fold] += added
-            loads[fold] += counts[i].sum()
-        return pd.DataFrame({"group": list(fold_of), "fold": list(fold_of.values())})
 
-    return assign
+def walk_runs(runs: Iterable[tuple[dict, int]], k: int, state) -> Iterator[tuple[list[int], list[int]]]:
+    """Folds of equal groups, run by run: (folds of the first members, folds that the others repeat).
+
+    Equal groups are interchangeable, so a run of m is one step of the walk: once k members in a row went to
+    all k folds, the folds differ as they did before, and the choices repeat.
+    """
+    choose, add = state
+    for counts, m in runs:
+        chosen: list[int] = []
+        while len(chosen) < m and not (len(chosen) >= k and len(set(chosen[-k:])) == k):
+            f = choose(counts)
+            chosen.append(f)
+            add(counts, [int(j == f) for j in range(k)])
+        rest = m - len(chosen)
+        cycle = chosen[-k:] if rest else []
+        if rest:
+            whole, more = divmod(rest, k)
+            add(counts, [whole + int(f in cycle[:more]) for f in range(k)])
+        yield chosen, cycle
+
+
+def group_order(group: Column) -> Column:
+    """28 bits of the MD5 of a group's name, as a hash below 2^31 that other engines compute alike."""
+    return F.conv(F.substring(F.md5(group.cast("binary")), 1, 7), 16, 10).cast("bigint") * 8
+
+
+def _deal(groups: DataFrame, run: list[str], runs: list[tuple], schema: str) -> DataFrame:
+    """Folds of the groups: a run's members are numbered by the hash of their name and follow its pattern."""
+    numbered = hash_ordinal(groups.withColumn("_h", group_order(F.col("group"))), run, "group")
+    patterns = groups.sparkSession.createDataFrame(runs, schema)
+    at = F.col("ordinal") - 1
+    later = F.get("cycle", F.pmod(at - F.size("first"), F.greatest(F.size("cycle"), F.lit(1))).cast("int"))
+    return numbered.join(patterns, run).select("group", F.when(at < F.size("first"), F.get("first", at.cast("int"))).otherwise(later).alias("fold"))
 
 
 def _join_folds(df: DataFrame, group: str, folds: DataFrame) -> DataFrame:
-    return df.join(folds.withColumnRenamed("group", group), group)
+    return df.join(folds.withColumnRenamed("group", "_group"), F.col(f"`{group}`").cast("string") == F.col("_group")).drop("_group")
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 10) -> DataFrame:
-    """Whole groups per fold. The greedy walk runs on the table of group sizes (one row per
-    spatial block, bounded by the area covered), never on rows."""
+    """Whole groups per fold: largest first, each to the lightest fold.
+
+    The walk takes one step for each distinct size (at most the root of twice the number of rows), on the driver;
+    groups of one size are dealt by their place in hash order, in tasks.
+    """
     sizes = df.groupBy(F.col(group).cast("string").alias("group")).agg(F.count(F.lit(1)).alias("n"))
-    folds = sizes.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_lightest_fold(k), "group string, fold int")
-    return _join_folds(df, group, folds)
+    runs = sorted(((r.n, r.m) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    walked = walk_runs((({0: n}, m) for n, m in runs), k, _lightest(k, {}))
+    patterns = [(n, first, cycle) for (n, _), (first, cycle) in zip(runs, walked)]
+    return _join_folds(df, group, _deal(sizes, ["n"], patterns, "n bigint, first array<int>, cycle array<int>"))
 
 
 def stratified_group_kfold(df: DataFrame, group: str, strat: str, k: int = 10) -> DataFrame:
     """As `group_kfold`, also keeping label combinations balanced; plain when a combination is
-    too rare to be in every fold."""
-    sizes = df.groupBy(F.col(group).cast("string").alias("group"), F.col(strat).alias("strat")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    largest = sizes.groupBy("strat").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-    if largest is None or largest < k:
+    too rare to be in every fold. Groups of uneven combinations go first; equal ones are one step of the walk."""
+    sizes = df.groupBy(F.col(group).cast("string").alias("group"), F.col(strat).cast("string").alias("strat")).agg(F.count(F.lit(1)).alias("n"))
+    totals = {r.strat: r.n for r in sizes.groupBy("strat").agg(F.sum("n").alias("n")).collect()}
+    if not totals or max(totals.values()) < k:
         return group_kfold(df, group, k)
-    folds = sizes.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(_balanced_fold(k), "group string, fold int")
-    return _join_folds(df, group, folds)
+    totals = dict(sorted(totals.items(), key=lambda t: (t[0] is None, t[0])))
+    mixes = sizes.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("strat", "n"))).alias("_mix")).withColumn("mix", F.to_json("_mix"))
+    mixes = written(mixes)
+    runs = [({s.strat: s.n for s in r.a}, r.m, r.mix) for r in mixes.groupBy("mix").agg(F.first("_mix").alias("a"), F.count(F.lit(1)).alias("m")).collect()]
+
+    def unevenness(counts: dict) -> float:
+        n, first = len(totals), sum(counts.values())
+        return round(math.sqrt(max(0, n * sum(v * v for v in counts.values()) - first * first)) / n, 9)
+
+    runs.sort(key=lambda r: (-unevenness(r[0]), [-r[0].get(c, 0) for c in totals]))
+    walked = walk_runs(((counts, m) for counts, m, _ in runs), k, _evenest(k, totals))
+    patterns = [(mix, first, cycle) for (_, _, mix), (first, cycle) in zip(runs, walked)]
+    return _join_folds(df, group, _deal(mixes.select("group", "mix"), ["mix"], patterns, "mix string, first array<int>, cycle array<int>"))
 
 
 def split_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:

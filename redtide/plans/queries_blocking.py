@@ -224,25 +224,35 @@ def grouped(spark, sf):
     return blocking.grid_blocks(points(spark, sf), 10_000).withColumn("stratum", (F.col("view") > 5000).cast("int"))
 
 
-WALK = f"""{RECURSIVE}, {XY}, g AS (SELECT block_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block_id) AS i FROM (SELECT {GRID_ID} AS block_id FROM points) t GROUP BY 1),
+GROUP_HASH = "(('0x' || substr(md5(block_id), 1, 7))::BIGINT * 8)"
+WALK = f"""{RECURSIVE}, {XY}, g AS (SELECT block_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {GROUP_HASH}, block_id) AS i FROM (SELECT {GRID_ID} AS block_id FROM points) t GROUP BY 1),
     walk AS (SELECT cast(0 AS bigint) AS i, cast([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS bigint[]) AS loads, -1 AS fold
       UNION ALL SELECT g.i, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END), list_position(loads, list_min(loads)) - 1 FROM walk JOIN g ON g.i = walk.i + 1)"""
 
 
-@query(
-    "v3_group_kfold",
-    f"{WALK} SELECT cast(fold AS int) AS fold, cast(sum(n) AS bigint) AS n_rows, count(*) AS n_blocks FROM walk JOIN g USING (i) GROUP BY fold",
-)
+@query("v3_group_kfold", f"{WALK} SELECT block_id, cast(fold AS int) AS fold FROM walk JOIN g USING (i)")
 def v3(spark, sf):
     folds = splits.group_kfold(grouped(spark, sf).select("bin_id", "block_id"), "block_id", 10)
-    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("block_id").alias("n_blocks"))
+    return folds.select("block_id", "fold").distinct()
+
+
+_SPREAD = " + ".join(
+    f"sqrt(10 * (list_sum(list_transform({c}, lambda x: x * x)) + 2 * n{c} * {c}[f + 1] + n{c} * n{c}) - power(list_sum({c}) + n{c}, 2)) / (10 * t{c})" for c in ("a", "b")
+)
+STRATIFIED_WALK = f"""{RECURSIVE}, {XY}, g AS (SELECT *, row_number() OVER (ORDER BY round(sqrt(greatest(2 * (na * na + nb * nb) - n * n, 0)) / 2, 9) DESC, na DESC, nb DESC, {GROUP_HASH}, block_id) AS i
+      FROM (SELECT block_id, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(view > 5000, false)) AS na, count(*) FILTER (WHERE view > 5000) AS nb FROM (SELECT *, {GRID_ID} AS block_id FROM points) t GROUP BY 1) u),
+    totals AS (SELECT sum(na)::BIGINT AS ta, sum(nb)::BIGINT AS tb FROM g), zero AS (SELECT cast([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS bigint[]) AS z),
+    walk AS (SELECT cast(0 AS bigint) AS i, z AS loads, z AS a, z AS b, cast(-1 AS bigint) AS fold FROM zero
+      UNION ALL SELECT i, list_transform(loads, lambda x, k: CASE WHEN k = fold + 1 THEN x + n ELSE x END), list_transform(a, lambda x, k: CASE WHEN k = fold + 1 THEN x + na ELSE x END),
+        list_transform(b, lambda x, k: CASE WHEN k = fold + 1 THEN x + nb ELSE x END), fold
+      FROM (SELECT g.i, loads, a, b, n, na, nb, cast(list_sort(list_transform(range(10), lambda f: [round(({_SPREAD}) / 2, 12), loads[f + 1], f]))[1][3] AS bigint) AS fold
+        FROM walk JOIN g ON g.i = walk.i + 1 CROSS JOIN totals) s)"""
 
 
-@query("v4_stratified_group_kfold")
+@query("v4_stratified_group_kfold", f"{STRATIFIED_WALK} SELECT block_id, cast(fold AS int) AS fold FROM walk JOIN g USING (i)")
 def v4(spark, sf):
     rows = grouped(spark, sf).select("bin_id", "block_id", F.coalesce("stratum", F.lit(0)).alias("stratum"))
-    folds = splits.stratified_group_kfold(rows, "block_id", "stratum", 10)
-    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("stratum").alias("n_positive"))
+    return splits.stratified_group_kfold(rows, "block_id", "stratum", 10).select("block_id", "fold").distinct()
 
 
 LABEL_WIDE = ", ".join(f"CASE WHEN {s} > {THRESHOLDS[s]['warning']}e0 THEN 1 ELSE 0 END AS l_{s}" for s in SPECIES)

@@ -101,3 +101,35 @@ def test_hot_and_cold_quantiles_are_equal_to_the_last_bit(spark):
     hot = ranking.quantiles(df, ["k"], "v", wanted, hot_rows=50).orderBy("k").collect()
     cold = ranking.quantiles(df, ["k"], "v", wanted).orderBy("k").collect()
     assert hot == cold
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_walk_over_runs_equals_one_over_groups(seed):
+    rng = random.Random(seed)
+    k = rng.choice([2, 3, 10])
+    vectors = [{c: rng.randrange(1, 6) for c in "abc" if rng.random() < 0.7} or {"a": 1} for _ in range(12)]
+    runs = [(v, rng.choice([1, 2, 7, 40, 333])) for v in vectors]
+    totals = {c: sum(v.get(c, 0) * m for v, m in runs) or 1 for c in "abc"}
+    for kind in (splits._lightest, splits._evenest):
+        choose, add = kind(k, totals)
+        plain = []
+        for counts, m in runs:
+            plain.append([])
+            for _ in range(m):
+                f = choose(counts)
+                plain[-1].append(f)
+                add(counts, [int(j == f) for j in range(k)])
+        dealt = [first + [cycle[j % k] for j in range(m - len(first))] for (_, m), (first, cycle) in zip(runs, splits.walk_runs(runs, k, kind(k, totals)))]
+        assert dealt == plain
+
+
+def test_many_equal_groups_take_few_steps():
+    steps = []
+    choose, add = splits._lightest(5, {})
+
+    def counted(counts):
+        steps.append(1)
+        return choose(counts)
+
+    found = list(splits.walk_runs([({0: 7}, 3), ({0: 1}, 10**9)], 5, (counted, add)))
+    assert len(steps) < 60 and len(found[1][1]) == 5
