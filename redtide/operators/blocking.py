@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +14,7 @@ from pyspark.sql.window import Window
 from redtide import constants as K
 from redtide.functions.hashing import portable_hash
 from redtide.operators.joins import cell_of, distance_pairs
+from redtide.operators.ranking import running_totals
 from redtide.operators.splits import hash_ordinal, portable_sample
 from redtide.session import written
 
@@ -138,23 +138,87 @@ def block_stats(blocks: DataFrame) -> DataFrame:
 _SPREAD = {"min": F.min, "median": lambda c: F.percentile(c, 0.5), "max": F.max}
 
 
-def cluster_blocks(df: DataFrame, target: int = 30, seed: int = 42, max_iter: int = 300, tolerance: float = 1e-4) -> DataFrame:
-    """k-means blocks on (x, y), k = max(1, round(n / target)), until centres move less than `tolerance`.
+#: Rows of a stretch of the curve that one task clusters, bits of a coordinate on the curve, rounds of moves.
+STRETCH_ROWS, CURVE_BITS, MOST_ROUNDS = 1024, 20, 50
 
-    Equal positions are clustered once with their count as weight, so a mooring with a third
-    of all rows is one point; k is at most the number of distinct positions.
+
+def curve_place(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
+    """Place on the Z-order curve over the box: the bits of both coordinates in turn."""
+    x0, x1, y0, y1 = box
+    parts = 1 << CURVE_BITS
+    cell = lambda v, lo, hi: F.least(F.greatest(F.floor((v - lo) / (hi - lo) * parts), F.lit(0)), F.lit(parts - 1)).cast("bigint")
+    spread = lambda i: reduce(lambda a, b: a + b, [F.shiftleft(F.shiftright(i, k).bitwiseAND(1), 2 * k) for k in range(CURVE_BITS)])
+    return F.shiftleft(spread(cell(x, x0, x1)), 1) + spread(cell(y, y0, y1))
+
+
+def bounded_clusters(xy: np.ndarray, weight: np.ndarray, target: int, low: int, high: int) -> np.ndarray:
+    """Cluster of each position (given in curve order), about `target` rows each.
+
+    Runs of even weight along the curve come first. Then positions move to a nearer centre, largest gain first,
+    as long as the sizes of both clusters stay within `low` and `high`, until none moves.
     """
-    places = df.groupBy("x_m", "y_m").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    sizes = places.agg(F.sum("_w"), F.count(F.lit(1))).first()
-    k = min(max(1, round(sizes[0] / target)), sizes[1])
-    vectors = VectorAssembler(inputCols=["x_m", "y_m"], outputCol="_xy").transform(places)
-    if k > 1:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tolerance, featuresCol="_xy", weightCol="_w", predictionCol="_c").fit(vectors)
-        placed = model.transform(vectors)
-    else:
-        placed = vectors.withColumn("_c", F.lit(0))
-    named = placed.select("x_m", "y_m", F.concat(F.lit("c"), F.col("_c").cast("string")).alias("block_id"))
-    return df.join(named, ["x_m", "y_m"])
+    k = max(1, round(float(weight.sum()) / target))
+    ahead = np.cumsum(weight) - weight / 2
+    own = np.minimum((ahead * k / weight.sum()).astype(int), k - 1)
+    sizes = np.bincount(own, weight, k)
+    for _ in range(MOST_ROUNDS):
+        centres = np.column_stack([np.bincount(own, weight * c, k) for c in xy.T]) / np.maximum(sizes, 1)[:, None]
+        gap = np.hypot(xy[:, None, 0] - centres[:, 0], xy[:, None, 1] - centres[:, 1])
+        gap[:, sizes == 0] = np.inf
+        best = gap.argmin(1)
+        gain = gap[np.arange(len(xy)), own] - gap[np.arange(len(xy)), best]
+        moved = False
+        for i in np.argsort(-gain, kind="stable"):
+            if gain[i] <= 1e-9:
+                break
+            if sizes[own[i]] - weight[i] >= low and sizes[best[i]] + weight[i] <= high:
+                sizes[own[i]] -= weight[i]
+                sizes[best[i]] += weight[i]
+                own[i], moved = best[i], True
+        if not moved:
+            break
+    return own
+
+
+def cluster_blocks(df: DataFrame, target: int = 30, low: float = 0.7, high: float = 1.3) -> DataFrame:
+    """Compact blocks of about `target` rows, from `low` to `high` times as many.
+
+    Positions are put on a space-filling curve, whose stretches of some thousand rows are clustered task by task
+    (`bounded_clusters`), so the cost grows with the rows and no centre meets all positions. All rows of a position
+    are in one block: a position with more than the largest size is a block by itself, and with positions of
+    many rows each, sizes can miss the range by the rows of one position. The range also can't hold below
+    `low * target` rows in all.
+    """
+    least, most = math.ceil(low * target), math.floor(high * target)
+    known = df.where(F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
+    places = known.groupBy("x_m", "y_m").agg(F.count(F.lit(1)).alias("_w"))
+    places = written(places)
+    alone = F.concat(F.lit("p"), F.col("x_m").cast("string"), F.lit(":"), F.col("y_m").cast("string"))
+    few = places.where(F.col("_w") <= most)
+    total, x0, x1, y0, y1 = few.agg(F.sum("_w"), F.min("x_m") - 1, F.max("x_m") + 1, F.min("y_m") - 1, F.max("y_m") + 1).first()
+    rows = places.agg(F.sum("_w")).first()[0] or 0
+    named = places.where(F.col("_w") > most).select("x_m", "y_m", alone.alias("block_id"))
+    if total:
+        curve = few.withColumns({"_at": curve_place(F.col("x_m"), F.col("y_m"), (x0, x1, y0, y1)), "_all": F.lit(1)})
+        before = running_totals(curve, ["_all"], "_at", {"w": F.col("_w")}).select("_at", "w_before")
+        stretches = max(1, total // STRETCH_ROWS)
+        stretch = F.least(F.floor(F.col("w_before") * stretches / total), F.lit(stretches - 1)).cast("bigint")
+        placed = curve.join(before, "_at").withColumn("_stretch", stretch)
+
+        def cluster(key, table):
+            table = table.sort_by([("_at", "ascending"), ("x_m", "ascending"), ("y_m", "ascending")])
+            xy = np.column_stack([table["x_m"].to_numpy(), table["y_m"].to_numpy()])
+            own = bounded_clusters(xy, table["_w"].to_numpy().astype(float), target, least, most)
+            ids = pa.array([f"c{key[0].as_py()}_{c}" for c in own], pa.string())
+            return pa.table({"x_m": table["x_m"], "y_m": table["y_m"], "block_id": ids})
+
+        slim = placed.select("_stretch", "x_m", "y_m", "_w", "_at")
+        named = named.unionByName(slim.groupBy("_stretch").applyInArrow(cluster, "x_m double, y_m double, block_id string"))
+    # broadcast side: positions with over a thousandth of all rows, fewer than a thousand of them
+    busy = places.where((F.col("_w") > most) & (F.col("_w") * 1000 > rows)).select("x_m", "y_m")
+    at_busy = known.join(F.broadcast(busy), ["x_m", "y_m"], "left_semi").withColumn("block_id", alone)
+    rest = known.join(F.broadcast(busy), ["x_m", "y_m"], "left_anti").join(named, ["x_m", "y_m"])
+    return rest.unionByName(at_busy.select(*rest.columns))
 
 
 def merge_sparse_blocks(

@@ -115,6 +115,18 @@ def v10(spark, sf):
     return blocking.point_extent(blocking.cluster_blocks(df))
 
 
+@query(
+    "v10_cluster_sizes",
+    f"{PTS}, places AS (SELECT x_m, y_m, count(*) AS n FROM points GROUP BY ALL) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_positions, true AS one_block_each, true AS all_in_range FROM places",
+)
+def v10_sizes(spark, sf):
+    """Every row has a block, every position one, and every block 21 to 39 rows but for single positions with more."""
+    blocks = blocking.cluster_blocks(points(spark, sf)).groupBy("x_m", "y_m").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block_id").alias("k"), F.min("block_id").alias("block_id"))
+    per_block = blocks.groupBy("block_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("positions"), F.max("k").alias("k"))
+    fits = F.col("n").between(21, 39) | ((F.col("positions") == 1) & (F.col("n") > 39))
+    return per_block.agg(F.sum("n").alias("n_rows"), F.sum("positions").alias("n_positions"), (F.max("k") == 1).alias("one_block_each"), F.every(fits).alias("all_in_range"))
+
+
 FINE_ID = GRID_ID.replace("10000", "2000")
 MERGED = f"""blocked AS (SELECT *, {FINE_ID} AS block_id FROM points),
     b AS (SELECT block_id, count(*) AS n, avg(x_m) AS cx, avg(y_m) AS cy FROM blocked GROUP BY 1),

@@ -153,10 +153,32 @@ def test_moran_with_repeated_positions(spark, radius):
 
 
 def test_cluster_blocks_weigh_repeated_positions(spark):
-    rows = [(0.0, 0.0)] * 90 + [(1e5, 1e5)] * 5 + [(1e5, 1e5 + 10)] * 5
-    df = spark.createDataFrame(rows, "x_m double, y_m double")
-    out = blocking.cluster_blocks(df, target=50).groupBy("block_id").count().collect()
-    assert sorted(r["count"] for r in out) == [10, 90]
+    rows = [(0.0, 0.0)] * 90 + [(1e5, 1e5)] * 15 + [(1e5, 1e5 + 10)] * 15 + [(2e5, 0.0)] * 30
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(999, None, 1.0)], "id int, x_m double, y_m double")
+    got = blocking.cluster_blocks(df).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.min("x_m").alias("x"), F.max("x_m").alias("y")).collect()
+    assert sorted((r.n, r.x, r.y) for r in got) == [(30, 1e5, 1e5), (30, 2e5, 2e5), (90, 0.0, 0.0)]
+    assert blocking.cluster_blocks(df.limit(0)).collect() == []
+
+
+def test_cluster_blocks_are_bounded_and_compact(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.uniform(0, 1e5, (40, 2))
+    xy = np.vstack([centres[rng.integers(0, 40, 2500)] + rng.normal(0, 300, (2500, 2)), rng.uniform(0, 1e5, (900, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id int, x_m double, y_m double")
+    found = {r.id: r.block_id for r in blocking.cluster_blocks(df).collect()}
+    members = {}
+    for i, block in found.items():
+        members.setdefault(block, []).append(i)
+    assert len(found) == 3400 and all(21 <= len(m) <= 39 for m in members.values())
+    some = xy[np.argsort(xy[:, 0])][:1000]
+
+    def spread(rounds):
+        monkeypatch.setattr(blocking, "MOST_ROUNDS", rounds)
+        own = blocking.bounded_clusters(some, np.ones(1000), 30, 21, 39)
+        return sum(((some[own == c] - some[own == c].mean(0)) ** 2).sum() for c in range(own.max() + 1))
+
+    assert spread(50) < 0.8 * spread(0)
+
 
 
 def test_forest_learns_and_repeats(spark):
