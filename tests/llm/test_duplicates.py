@@ -1,9 +1,13 @@
 """Near duplicates, lines, repeated substrings and fingerprints against brute force."""
 
 import hashlib
+import itertools
+import math
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -142,42 +146,50 @@ def test_repeated_bytes_against_brute_force(docs, awkward, nothing, length, grou
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
-def edit_distance(a, b, most):
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        now = [i + 1]
-        for j, y in enumerate(b):
-            now.append(min(before[j] + (x != y), before[j + 1] + 1, now[-1] + 1))
-        before = now
-    return before[-1]
+def similar_pairs(pairs):
+    """The pairs of lines with an edit similarity of at least 0.8, by another engine's edit distance."""
+    con = duckdb.connect()
+    con.register("pairs", pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}))
+    return con.execute(
+        """SELECT a, b FROM pairs WHERE abs(length(a) - length(b)) <= 0.2 * greatest(length(a), length(b)) + 1e-9
+        AND levenshtein(a, b) <= floor(0.2 * greatest(length(a), length(b)) + 1e-9)"""
+    ).fetchall()
+
+
+def plain_words(line):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
+
+
+def brute_blocks(words):
+    """(level, block, SimHash) of a line's filled blocks."""
+    features = {w for w in words if len(w.encode()) >= lines.LONG_WORD} or set(words)
+    level = lambda n: 0 if n < 4 else 1 if n < 8 else 2 if n < 14 else 3 + math.floor(math.log2(n / 14))
+    found = set()
+    for at in {level(len(features)), level(math.ceil(len(features) / 0.8))}:
+        blocks, kept = 1 << min(at, 5), 1 << max(at - 5, 0)
+        filled = defaultdict(list)
+        for w in features:
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            if (h >> 32) % kept == 0:
+                filled[(h >> 16) % blocks].append(w.encode())
+        found |= {(at, k, brute_simhash(ws)) for k, ws in filled.items()}
+    return found
 
 
 def brute_lines(rows):
     """Per row: (id, n_lines, n_dropped, kept text)."""
-    places, prints = defaultdict(list), {}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    order = {}
+    places, members = defaultdict(list), defaultdict(list)
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
-            words = [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
-            if len(words) >= lines.LEAST_WORDS:
-                key = " ".join(words)
-                places[key].append((doc, i))
-                long = [w for w in words if len(w.encode()) >= lines.LONG_WORD]
-                prints[key] = brute_simhash(w.encode() for w in long or words)
-                order[key] = signed(xxhash.xxh64_intdigest(key.encode(), 42))
-    by_print = defaultdict(list)
-    for key, fp in prints.items():
-        by_print[fp].append(key)
-    centre = {fp: min(keys, key=order.get) for fp, keys in by_print.items()}
-    some = [(k, centre[fp]) for fp, keys in by_print.items() for k in keys if k != centre[fp]]
-    fps = sorted(centre)
-    some += [(centre[a], centre[b]) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= lines.MOST_BITS]
-    pieces = lambda a, b: [(a[k : k + lines.PIECE], b[k : k + lines.PIECE]) for k in range(0, max(len(a), len(b)), lines.PIECE)]
-    near = [(a, b) for a, b in some if sum(edit_distance(x, y, lines.PIECE) for x, y in pieces(a, b)) <= int(max(len(a), len(b)) * 0.2 + 1e-9)]
-    group = brute_components(list(prints), near)
+            if words := plain_words(line):
+                places[" ".join(words)].append((doc, i))
+    for key in places:
+        for block in brute_blocks(key.split()):
+            members[block].append(key)
+    assert max(map(len, members.values())) <= lines.MOST_GROUP
+    some = {pair for group in members.values() for pair in itertools.combinations(sorted(group), 2)}
+    near = similar_pairs(sorted(some))
+    group = brute_components(list(places), near)
     first = {}
     for key, at in places.items():
         first[group[key]] = min([first.get(group[key], (1 << 62, 0)), *at])
@@ -190,14 +202,42 @@ def brute_lines(rows):
 
 
 def test_lines_against_brute_force(spark, docs):
-    base = rows_of(docs.where("length(text) < 6000"))
-    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    base = rows_of(docs)
+    words = "one two three four five six seven eight nine ten eleven twelve thousand million billion".split()
     made = [(10_000 + k, " ".join(words * 8 + [f"tail{k}"] * (k % 2)) + "\nshort line") for k in range(6)]
-    rows = base + made
+    made += [(20_000, " ".join(f"word{k}" for k in range(900))), (20_001, " ".join(f"word{k + (k % 31 == 0)}" for k in range(900)))]
+    rows = [*base, *made]
     want, n_near = brute_lines(rows)
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got) == Counter(want)
-    assert n_near > 0
+    assert n_near > 20
+
+
+def test_lines_find_nine_of_ten_true_pairs(spark):
+    """Against all pairs of different lines of at least five words that share two neighbouring words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = lines.line_table(docs)
+    found = {tuple(r.node): tuple(r.root) for r in components(lines.fuzzy_links(table), "a", "b").collect()}
+    classes = {r.line: (r.h, r.g) for r in table.select("line", "h", "g").distinct().collect()}
+    shared = defaultdict(list)
+    for line in classes:
+        words = line.split()
+        if len(words) >= 5:
+            for pair in set(zip(words, words[1:])):
+                shared[pair].append(line)
+    some = {p for group in shared.values() for p in itertools.combinations(sorted(group), 2) if sum((Counter(p[0]) - Counter(p[1])).values()) <= 0.2 * max(map(len, p))}
+    near = similar_pairs(sorted(some))
+    root = lambda line: found.get(classes[line], classes[line])
+    assert len(near) > 200 and sum(root(a) == root(b) for a, b in near) >= 0.9 * len(near)
+
+
+def test_lines_of_a_crowded_block_meet_in_their_further_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_GROUP", 4)
+    common = "always common words inside"
+    rows = [(k, f"{common} " + " ".join(f"{chr(97 + k)}nother{j}" for j in range(8))) for k in range(12)]
+    rows += [(100 + k, text + " extra") for k, text in rows]
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: int(k >= 100) for k, _ in rows}
 
 
 def test_lines_of_awkward_rows(awkward, nothing):
