@@ -320,8 +320,9 @@ def _answer(docs: DataFrame, asked: list[Row], id_col: str, text_col: str, top:
     for c in counts:
         pairs = sorted((vocabulary[t], k) for t, k in c.items() if weights[vocabulary[t]])
         queries.append((np.array([t for t, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int64)))
-    # any k documents bound the k-th best from below: those with the smallest hashes are looked at first
-    look = index.orderBy(F.xxhash64("_id", "n", "cols"), "n").limit(FIRST_LOOK).coalesce(1)
+    # any k documents bound the k-th best from below: about FIRST_LOOK with the smallest hashes are looked at first
+    share = F.lit(min(1.0, FIRST_LOOK / max(1, n_docs)))
+    look = index.where(F.xxhash64("_id", "n", "cols") <= (share * 2.0**64 - 2.0**63)).limit(2 * FIRST_LOOK).coalesce(1)
     first = _searched(look, impacts, queries, top, [1] * len(queries))
     seen = first.groupBy("query").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least")).collect()
     floors = {r["query"]: r.least for r in seen if r.c == top}

@@ -4,7 +4,7 @@ The field labels each line content (1) or boilerplate (0); Viterbi decoding give
 sequence and the share of words in content lines decides whether the document stays.
 
 Training takes documents with a known quality: at most MOST_DOCUMENTS of them, the ones with the least
-hash of their id, so the sample doesn't depend on partitions. Lines of good documents count as
+hash of their id, so the sample doesn't depend on partitions. Their texts are whole. Lines of good documents count as
 content and lines of bad ones as boilerplate. Everything else looks at all rows.
 
 Null and empty texts have no words, fail the base rules and are not kept. Equal rows are judged
@@ -13,6 +13,7 @@ alike. Without any labelled documents, or with one class only, every line is con
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redtide.llm.classifier import adam, chain_batches, forward_backward
 from redtide.llm.shared import SPACES, map_rows, words_of
 
 MOST_DOCUMENTS = 3000
-MOST_LINES = 64  # of one training document; decoding takes all lines
-STEPS, RATE, DECAY = 250, 0.1, 1e-3
+STEPS, DECAY = 250, 1e-3
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 10
@@ -89,45 +90,37 @@ class Field:
 
 
 def fit(texts: list[str], good: list[bool]) -> Field:
-    """Maximum likelihood by gradient steps with forward-backward sums over all chains at once."""
+    """`fit_chains` on whole texts."""
+    chains = [line_features(t.split("\n")) for t in texts]
+    x = np.vstack([np.zeros((0, len(FEATURES))), *chains])
+    return fit_chains(x, np.array([len(c) for c in chains], int), np.asarray(good, dtype=bool))
+
+
+def fit_chains(x: np.ndarray, lengths: np.ndarray, good: np.ndarray) -> Field:
+    """Maximum likelihood by gradient steps with forward-backward sums; chains of about one length are padded together.
+
+    `x` has the features of all lines, chain after chain. Both classes, and all chains of a class, weigh the same.
+    """
     width = len(FEATURES)
-    if len(set(good)) < 2:
+    if not len(good) or good.all() or not good.any():
         return Field(np.zeros(width), np.zeros((2, 2)))
-    chains = [line_features(t.split("\n")[:MOST_LINES]) for t in texts]
-    n, length = len(chains), max(map(len, chains))
-    x, there = np.zeros((n, length, width)), np.zeros((n, length), bool)
-    for i, c in enumerate(chains):
-        x[i, : len(c)], there[i, : len(c)] = c, True
-    y = np.asarray(good, dtype=np.int8)
-    class_weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))[:, None] * there
-    class_weight /= there.sum(1, keepdims=True)
-    w, moves = np.zeros(width), np.zeros((2, 2))
-    m1, m2 = np.zeros(width + 4), np.zeros(width + 4)
-    for step in range(1, STEPS + 1):
-        gain = x @ w
-        score = np.stack([np.zeros_like(gain), gain], axis=2)
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
-        for k in range(1, length):
-            step_in = np.logaddexp(ahead[:, k - 1, 0, None] + moves[0], ahead[:, k - 1, 1, None] + moves[1]) + score[:, k]
-            ahead[:, k] = np.where(there[:, k, None], step_in, ahead[:, k - 1])
-        for k in range(length - 2, -1, -1):
-            after = behind[:, k + 1] + score[:, k + 1]
-            step_out = np.logaddexp(moves[:, 0] + after[:, 0, None], moves[:, 1] + after[:, 1, None])
-            behind[:, k] = np.where(there[:, k + 1, None], step_out, 0)
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        on = np.exp(np.clip(ahead[:, :, 1] + behind[:, :, 1] - total[:, None], -700, 0))
-        slope = ((y[:, None] - on) * class_weight)[:, :, None] * x
-        pairs = ahead[:, :-1, :, None] + moves + (behind[:, 1:] + score[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        pairs = np.exp(np.clip(pairs, -700, 0)) * (there[:, 1:] * class_weight[:, 1:])[:, :, None, None]
-        seen = np.zeros((2, 2))
-        for label in (0, 1):
-            seen[label, label] = (class_weight[:, 1:] * (y == label)[:, None]).sum()
-        slopes = np.concatenate([slope.sum((0, 1)) - DECAY * w, (seen - pairs.sum((0, 1)) - DECAY * moves).ravel()])
-        m1, m2 = 0.9 * m1 + 0.1 * slopes, 0.99 * m2 + 0.01 * slopes**2
-        change = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w, moves = w + change[:width], moves + change[width:].reshape(2, 2)
-    return Field(w, moves)
+    weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) / lengths
+    line_weight, line_good = np.repeat(weight, lengths), np.repeat(good, lengths)
+    batches = list(chain_batches(lengths))
+    seen = np.diag([(weight * (good == flag) * (lengths - 1)).sum() for flag in (False, True)])
+
+    def slopes(at):
+        w, moves = at[:width], at[width:].reshape(2, 2)
+        gain, on, pairs = x @ w, np.zeros(len(x)), np.zeros((2, 2))
+        for some, places in batches:
+            there = places >= 0
+            p, q = forward_backward(np.where(there, gain[places], 0), there, moves)
+            on[places[there]] = p[there]
+            pairs += (q * weight[some][:, None, None, None]).sum((0, 1))
+        return np.concatenate([x.T @ ((line_good - on) * line_weight), (seen - pairs).ravel()]) - DECAY * at
+
+    found = adam(np.zeros(width + 4), slopes, STEPS)
+    return Field(found[:width], found[width:].reshape(2, 2))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_DOCUMENTS) -> DataFrame:
@@ -144,11 +137,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_DOCUMENTS) -> Field:
-    lines = F.slice(F.split("t", "\n"), 1, MOST_LINES)
-    rows = training_rows(docs, labels, id_col, text_col, most)
-    rows = rows.select("labelled_id", F.array_join(lines, "\n").alias("t"), "good").collect()
-    rows.sort(key=lambda r: (r.labelled_id, r.good))
-    return fit([r.t for r in rows], [r.good for r in rows])
+    """Fit on the training rows; tasks turn their whole texts into features."""
+
+    def run(batches):
+        for texts, good in batches:
+            made = [line_features(t.split("\n")) for t in texts]
+            yield [hashlib.sha256(t.encode()).digest() for t in texts], good, [m.astype(np.float32).tobytes() for m in made]
+
+    rows = map_rows(training_rows(docs, labels, id_col, text_col, most).select("t", "good"), run, "digest binary, good boolean, x binary").collect()
+    rows.sort(key=lambda r: (bytes(r.digest), r.good))
+    chains = [np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(float) for r in rows]
+    x = np.vstack([np.zeros((0, len(FEATURES))), *chains])
+    return fit_chains(x, np.array([len(c) for c in chains], int), np.array([r.good for r in rows], bool))
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
