@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 A text is cut into words, each a space mark and what follows up to the next one; no piece of the
-vocabulary crosses that border (checked when the vocabulary is read). Each distinct word is encoded once for all
-documents: its substrings of up to the longest piece's length are exploded and joined to the piece
+vocabulary crosses that border (checked when the vocabulary is read). Each distinct word is encoded once for
+many documents: its substrings of up to the longest piece's length are exploded and joined to the piece
 table, the edges are grouped by word, and a higher-order aggregate folds them into the best path.
 
+Documents lie in compressed block files in the shared folder; no text is shuffled. A block sends its distinct
+words, joined to one string for each bucket of words, and gets back numbers and ids. The files are final once
+their list is written, so lost tasks read the same blocks again.
+
 For a unigram vocabulary the fold is Viterbi's: the path with the largest sum of scores. The public vocabulary is a BPE
 one, for which that sum gives other pieces than its library. There the fold takes the edges in
 order of score and joins two neighbours where an edge covers exactly these two, which is the path the library
@@ -18,21 +22,32 @@ stands in a text itself can't be told from a space and decodes to one.
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm.shared import map_rows, partitions_for
-from redtide.session import written
+from redtide.llm.shared import map_rows, open_for_read, open_for_write, partitions_for
+from redtide.session import fresh_path, written
 
 MARK = "▁"
 LONGEST_WORD = 60
 BLOCK_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 20  # of text for each bucket of words
+BUCKETS_A_TASK = 8
+MOST_TASKS = 20_000  # beyond it tasks take more and sort on disk
+REGION_BLOCKS = 4096  # a word's list of blocks stays in a region of about so many
+SENT_TOGETHER = 1 << 20
 NORMAL, BYTE = 1, 6
 
 
@@ -71,23 +86,23 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, next(k for k, p in enumerate(model.pieces) if p.type == BYTE), model.trainer_spec.model_type == 1)
 
 
-def words(text: Column) -> Column:
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0)))
-
-
-def edges(distinct_words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(word, edges): the pieces in each word as structs (rank, first, end, id, unknown), best score first.
-    A character without a piece has an edge with its text in `unknown`."""
-    at = distinct_words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
+def edges(distinct_words: DataFrame, vocab: Vocabulary, keys: tuple[str, ...] = (), carried: str | None = None) -> DataFrame:
+    """(keys, word, edges, carried): the pieces in each word as structs (rank, first, end, id, unknown), best score first.
+    A character without a piece has an edge with its text in `unknown`. Words are distinct within `keys`; the
+    column `carried` goes along on the edge that every word has."""
+    named = [*keys, "word"]
+    kept = [carried] if carried else []
+    at = distinct_words.select(*named, *kept, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
+    at = at.select(*named, "first", *[F.when(F.col("first") == 0, F.col(c)).alias(c) for c in kept])
     lengths = F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.char_length("word") - F.col("first")))
-    parts = at.select("word", "first", F.explode(lengths).alias("n")).withColumn("part", F.substring("word", F.col("first") + 1, F.col("n")))
+    parts = at.select(*named, "first", *kept, F.explode(lengths).alias("n")).withColumn("part", F.substring("word", F.col("first") + 1, F.col("n")))
     found = parts.join(F.broadcast(vocab.table(distinct_words.sparkSession)), F.col("part") == F.col("piece"), "left")
     found = found.where(F.col("id").isNotNull() | (F.col("n") == 1))
     edge = F.struct(
         (-F.col("score")).alias("rank"), "first", (F.col("first") + F.col("n")).alias("end"), "id", F.when(F.col("id").isNull(), F.col("part")).alias("unknown")
     )
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    rest = [F.max(F.when(F.col("n") == 1, F.col(c))).alias(c) for c in kept]
+    return found.groupBy(*named).agg(F.sort_array(F.collect_list(edge)).alias("edges"), *rest)
 
 
 def _bit(k: Column) -> Column:
@@ -101,7 +116,7 @@ def _bounds(e: Column) -> tuple[Column, Column]:
 
 
 def merge_path(found: DataFrame) -> DataFrame:
-    """(word, path): join neighbours in order of score; the state has a bit for each border left."""
+    """The columns of `found` and `path`: join neighbours in order of score; the state has a bit for each border left."""
 
     def step(borders: Column, e: Column) -> Column:
         ends, inner = _bounds(e)
@@ -116,11 +131,11 @@ def merge_path(found: DataFrame) -> DataFrame:
         return (F.col("borders").bitwiseAND(ends) == ends) & (F.col("borders").bitwiseAND(inner) == 0)
 
     ordered = F.sort_array(F.transform(F.filter("edges", stays), lambda e: F.struct(e["first"], e["id"], e["unknown"])))
-    return folded.select("word", ordered.alias("path"))
+    return folded.withColumn("path", ordered).drop("borders", "edges")
 
 
 def viterbi_path(found: DataFrame, unknown_score: float = -1e6) -> DataFrame:
-    """(word, path): the path with the largest sum of scores. The state has, for each border, the best sum up to it
+    """The columns of `found` and `path`, the path with the largest sum of scores. The state has, for each border, the best sum up to it
     and the edges on that way; on a tie the edge that comes first (the one with the better score) stays."""
     by_end = F.sort_array(F.transform("edges", lambda e: F.struct(e["end"], e["rank"], e["first"], e["id"], e["unknown"])))
     piece = "struct<first:int,id:int,unknown:string>"
@@ -136,7 +151,7 @@ def viterbi_path(found: DataFrame, unknown_score: float = -1e6) -> DataFrame:
         return F.transform(best, lambda old, k: F.when((k == e["end"]) & better, F.struct(total.alias("sum"), way.alias("way"))).otherwise(old))
 
     folded = F.aggregate(by_end, start, step)
-    return found.select("word", F.element_at(folded, -1)["way"].alias("path"))
+    return found.withColumn("path", F.element_at(folded, -1)["way"]).drop("edges")
 
 
 def path_ids(path: Column, first_byte: int) -> Column:
@@ -151,62 +166,182 @@ def path_ids(path: Column, first_byte: int) -> Column:
     return F.flatten(F.transform(path, ids))
 
 
-def encode_words(distinct_words: DataFrame, model: str) -> DataFrame:
-    """(word, ids) of distinct words."""
+def encode_words(distinct_words: DataFrame, model: str, keys: tuple[str, ...] = (), carried: str | None = None) -> DataFrame:
+    """(keys, word, carried, ids) of words that are distinct within `keys`, by the lattice. Words have at most
+    LONGEST_WORD characters and one space mark."""
     vocab = vocabulary(model)
-    odd = (F.char_length("word") > LONGEST_WORD) | F.col("word").startswith(MARK * 2)
-    usual = distinct_words.where(~odd)
-    found = edges(usual, vocab)
+    found = edges(distinct_words, vocab, keys, carried)
     path = viterbi_path(found) if vocab.unigram else merge_path(found)
+    return path.withColumn("ids", path_ids(F.col("path"), vocab.first_byte)).drop("path")
+
+
+WORD = re.compile(f"{MARK}+[^{MARK}]*")
+
+
+def _words(text: str) -> list[str]:
+    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
 
-    def by_library(batches):
-        for (some,) in batches:
-            yield some, processor(model).encode([w.removeprefix(MARK) for w in some])
+def _usual(word: str) -> bool:
+    return len(word) <= LONGEST_WORD and not word.startswith(MARK * 2)
 
-    rest = map_rows(distinct_words.where(odd).select("word"), by_library, "word string, ids array<int>")
-    return path.select("word", path_ids(F.col("path"), vocab.first_byte).alias("ids")).unionByName(rest)
 
+def _numbered(texts: list[str], buckets: int) -> tuple[list[str], np.ndarray]:
+    """The distinct usual words of a block in order of their buckets, and those buckets. A word's number
+    is its place in this order."""
+    distinct = [w for w in dict.fromkeys(w for t in texts for w in _words(t)) if _usual(w)]
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
+    order = np.argsort(own, kind="stable")
+    return [distinct[k] for k in order.tolist()], own[order]
+
+
+def _read_block(path: str) -> pa.Table:
+    with open_for_read(path) as f, pa.ipc.open_stream(f) as stream:
+        return stream.read_all()
+
+
+def write_blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, path, size) of block files with the columns (id, text) of `rows`, a file for about `block_bytes` of text."""
+
+    def save(parts: list[pa.RecordBatch], size: int):
+        name = uuid.uuid4()
+        path = f"{folder}/{name.hex}.arrow"
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        with open_for_write(path) as f, pa.ipc.new_stream(f, parts[0].schema, options=options) as out:
+            for p in parts:
+                out.write_batch(p)
+        return pa.RecordBatch.from_pydict({"block": [name.hex], "path": [path], "size": pa.array([size], pa.int64())})
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                upto = min(batch.num_rows, int(np.searchsorted(ends, before + block_bytes - size)) + 1)
+                parts.append(batch.slice(at, upto - at))
+                size, at = size + int(ends[upto - 1]) - before, upto
+                if size >= block_bytes:
+                    yield save(parts, size)
+                    parts, size = [], 0
+        if parts:
+            yield save(parts, size)
+
+    return written(rows.mapInArrow(run, "block string, path string, size bigint"))
+
+
+def block_words(blocks: DataFrame, buckets: int, regions: int) -> DataFrame:
+    """(bucket, region, block, first, tails): a block's distinct words of one bucket without their marks, joined by
+    marks; `first` is the number of the first one."""
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches):
+        for names, paths in batches:
+            for name, path in zip(names, paths):
+                words, own = _numbered(_read_block(path)["text"].to_pylist(), buckets)
+                if not words:
+                    continue
+                cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
+                tails = ["".join(words[a:b])[1:] for a, b in zip(cuts, cuts[1:])]
+                n, region = len(tails), xxhash.xxh3_64_intdigest(name) % regions
+                yield own[cuts[:-1]].tolist(), [region] * n, [name] * n, cuts[:-1], tails
+
+    return map_rows(blocks.select("block", "path"), run, "bucket bigint, region bigint, block string, first int, tails string")
+
+
+def _packed(answers: DataFrame) -> DataFrame:
+    """(block, data) from (block, k, ids): numbers, lengths and byte planes of ids, compressed, for as many answers as fit in memory."""
+
+    def send(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("k", "ascending")]).combine_chunks()
+        names = table["block"].chunk(0).dictionary_encode()
+        of, k = names.indices.to_numpy(), table["k"].chunk(0).to_numpy()
+        lists = table["ids"].chunk(0)
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]).tolist()
+        pack, data = zstandard.ZstdCompressor(level=3), []
+        for a, b in zip(cuts, cuts[1:]):
+            own = ids[ends[a] : ends[b]].astype("<u4")
+            head = np.array([b - a, len(own)], "<u4").tobytes()
+            numbers = np.diff(k[a:b], prepend=0).astype("<u4")
+            data.append(pack.compress(head + numbers.tobytes() + np.diff(ends[a : b + 1]).astype("u1").tobytes() + own.view("u1").reshape(-1, 4).T.tobytes()))
+        return pa.RecordBatch.from_pydict({"block": [names.dictionary[of[a]].as_py() for a in cuts[:-1]], "data": data})
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SENT_TOGETHER:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
+
+    return answers.select("block", "k", "ids").mapInArrow(run, "block string, data binary")
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    numbers = np.cumsum(np.frombuffer(raw, "<u4", n, 8), dtype=np.int64)
+    ends = 4 * np.concatenate([[0], np.cumsum(np.frombuffer(raw, "u1", n, 8 + 4 * n), dtype=np.int64)])
+    ids = np.ascontiguousarray(np.frombuffer(raw, "u1", 4 * m, 8 + 5 * n).reshape(4, -1).T).tobytes()
+    return numbers, [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+class KnownWords(dict):
+    """Ids of words as bytes; the library encodes those that didn't go to the lattice."""
+
+    def __init__(self, model: str, *args):
+        super().__init__(*args)
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        if _usual(word):
+            raise KeyError(f"no ids for {word!r}")
+        return np.asarray(processor(self.model).encode(word.removeprefix(MARK)), "<u4").tobytes()
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, ids binary): little-endian unsigned 32-bit ids of every row.
 
-    Documents lie in blocks of bounded size. A word goes to the lattice once, with the numbers of the blocks it
-    occurs in, and comes back to each of them, where documents are put together.
+    Documents are put in block files once. The distinct words of all blocks meet in buckets, go through the lattice
+    once in each region of blocks, and only their numbers and ids come back to the blocks.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = partitions_for(size, BLOCK_BYTES)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    pairs = placed.select("block", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
-    where = pairs.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    where = written(where)
-    known = written(encode_words(where.select("word"), model))
-    back = where.join(known, "word").select(F.explode("blocks").alias("block"), "word", "ids")
-
-    def put_together(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        known = {w: np.asarray(i, "<u4").tobytes() for w, i in zip(found["word"], found["ids"])}
-        return pd.DataFrame({"id": texts["id"], "ids": [_joined(t, known) for t in texts["text"]]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = placed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(put_together, f"id {kind}, ids binary")
+    blocks = write_blocks(rows, fresh_path(spark, "blocks"), block_bytes)
+    count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = min(MOST_TASKS, partitions_for(size, BUCKETS_A_TASK * BUCKET_BYTES))
+    listed = blocks.select("block", "path").repartition(max(1, min(MOST_TASKS, count)), "block")
+    sent = block_words(listed, tasks * BUCKETS_A_TASK, partitions_for(count, REGION_BLOCKS)).repartition(tasks, "bucket")
+    word = F.posexplode(F.split("tails", MARK)).alias("at", "tail")
+    pairs = sent.select("bucket", "region", "block", "first", word)
+    place = F.struct("block", (F.col("first") + F.col("at")).alias("k"))
+    grouped = pairs.groupBy("bucket", "region", F.concat(F.lit(MARK), "tail").alias("word")).agg(F.collect_list(place).alias("places"))
+    known = encode_words(grouped, model, ("bucket", "region"), "places")
+    answers = _packed(known.select(F.inline("places"), "ids"))
+    nothing = F.lit(None)
+    parts = answers.withColumn("path", nothing.cast("string")).unionByName(blocks.select("block", nothing.cast("binary").alias("data"), "path"))
+    buckets, kind = tasks * BUCKETS_A_TASK, docs.schema[id_col].dataType.simpleString()
+
+    def put_together(found: pa.Table) -> pa.Table:
+        block = _read_block(found["path"].drop_null()[0].as_py())
+        texts = block["text"].to_pylist()
+        words, _ = _numbered(texts, buckets)
+        known = KnownWords(model)
+        for data in found["data"].drop_null():
+            numbers, ids = _unpacked(data.as_py())
+            known.update(zip(map(words.__getitem__, numbers.tolist()), ids))
+        ids = pa.array([b"".join(map(known.__getitem__, _words(t))) for t in texts], pa.binary())
+        return pa.table({"id": block["id"], "ids": ids})
+
+    out = parts.repartition(max(1, min(MOST_TASKS, count)), "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def _joined(text: str, known: dict[str, bytes]) -> bytes:
-    if not text:
-        return b""
-    out, marked, at = [], MARK + text.replace(" ", MARK), 0
-    while at < len(marked):
-        end = at
-        while end < len(marked) and marked[end] == MARK:
-            end += 1
-        end = marked.find(MARK, end)
-        end = len(marked) if end < 0 else end
-        out.append(known[marked[at:end]])
-        at = end
-    return b"".join(out)
-
-
 def decode_ids(ids: np.ndarray, pieces: list[str], first_byte: int) -> str:
     """The text of ids: byte pieces are put together to characters, marks become spaces, the first one goes."""
     out = b"".join(bytes([i - first_byte]) if first_byte <= i < first_byte + 256 else pieces[i].encode() for i in ids.tolist())

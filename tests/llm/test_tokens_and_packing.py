@@ -132,6 +132,33 @@ def test_lattice_gives_the_ids_of_the_library(spark, docs, texts, awkward, nothi
     assert sentencepieces.encode(nothing, PIECES).count() == 0
 
 
+def test_many_blocks_and_regions_give_the_same_ids(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "REGION_BLOCKS", 2)
+    sp = sentencepieces.processor(PIECES)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in sentencepieces.encode(docs, PIECES, block_bytes=20_000).collect()}
+    assert got == {d: sp.encode(t) for d, t in texts.items()}
+
+
+def test_unigram_vocabulary_on_a_whole_table(spark, docs, texts, tmp_path):
+    """The public pieces read as a unigram vocabulary: Viterbi's sum of scores is the library's on every document."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    assert sentencepieces.vocabulary(path).unigram
+    sp, score = sentencepieces.processor(path), [p.score if p.type == 1 else 0.0 for p in model.pieces]
+    rows = sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()
+    assert {r.doc_id: r.text for r in rows} == texts
+    for r in sentencepieces.encode(docs, path).collect():
+        ours = sum(score[k] for k in np.frombuffer(r.ids, "<u4").tolist())
+        assert ours == pytest.approx(sum(score[k] for k in sp.encode(texts[r.doc_id])))
+
+
 def test_viterbi_finds_the_best_sum(spark):
     vocab = sentencepieces.Vocabulary((("a", 1, -2.0), ("b", 2, -2.5), ("ab", 3, -3.0), ("abc", 4, -7.0), ("ba", 5, -2.2), ("c", 6, -1.0)), 100, True)
     scores = {p: (s, k) for p, k, s in vocab.pieces}
