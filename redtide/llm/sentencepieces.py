@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-A text is cut into words, each a space mark and what follows up to the next one; no piece of the
-vocabulary crosses that border (checked when the vocabulary is read). Each distinct word is encoded once for
-many documents: its substrings of up to the longest piece's length are exploded and joined to the piece
+A text, its spaces replaced by marks, is cut into words at every border whose two characters stand side by
+side in no piece of the vocabulary, so no piece crosses it. Each distinct word is encoded once for many documents: its substrings of up to the longest piece's length are exploded and joined to the piece
 table, the edges are grouped by word, and a higher-order aggregate folds them into the best path.
 
 Documents lie in compressed block files in the shared folder; no text is shuffled. A block sends its distinct
@@ -12,8 +11,8 @@ their list is written, so lost tasks read the same blocks again.
 For a unigram vocabulary the fold is Viterbi's: the path with the largest sum of scores. The public vocabulary is a BPE
 one, for which that sum gives other pieces than its library. There the fold takes the edges in
 order of score and joins two neighbours where an edge covers exactly these two, which is the path the library
-takes. Its state is one number with a bit for each border. Words too long for that number, and words with
-several space marks (whose pieces all have one score), are encoded by the library.
+takes. Its state is one number with a bit for each border. Words too long for that number, words with
+several space marks (whose pieces all have one score) and the line break are encoded by the library.
 
 Characters without a piece become byte pieces. Null and empty texts have no ids. Equal rows are
 encoded each for itself. An empty table gives no rows. Other columns are neither read nor kept. A space mark that
@@ -22,7 +21,6 @@ stands in a text itself can't be told from a space and decodes to one.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -43,8 +41,10 @@ from redtide.session import fresh_path, written
 MARK = "▁"
 LONGEST_WORD = 60
 BLOCK_BYTES = 1 << 24
-BUCKET_BYTES = 1 << 20  # of text for each bucket of words
-BUCKETS_A_TASK = 8
+LINE = "\n"  # stands in no longer piece (checked), so it is a word of its own and may lie between others
+BUCKET_BYTES = 1 << 19  # of text for each bucket of words
+BUCKETS_A_TASK = 4
+PAIR_CELLS = 1 << 24
 MOST_TASKS = 20_000  # beyond it tasks take more and sort on disk
 REGION_BLOCKS = 4096  # a word's list of blocks stays in a region of about so many
 SENT_TOGETHER = 1 << 20
@@ -53,6 +53,8 @@ NORMAL, BYTE = 1, 6
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """The pieces of a model that are text."""
+
     pieces: tuple[tuple[str, int, float], ...]  # text, id, score
     first_byte: int
     unigram: bool
@@ -81,11 +83,38 @@ def vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     pieces = tuple((p.piece, k, p.score) for k, p in enumerate(model.pieces) if p.type == NORMAL)
-    if model.normalizer_spec.name != "identity" or any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
+    if model.normalizer_spec.name != "identity" or any(MARK in p.lstrip(MARK) or (LINE in p and p != LINE) for p, _, _ in pieces):
         raise ValueError("a vocabulary without normalisation and with pieces inside words is needed")
     return Vocabulary(pieces, next(k for k, p in enumerate(model.pieces) if p.type == BYTE), model.trainer_spec.model_type == 1)
 
 
+class Borders:
+    """Cuts a text into words. Pairs of neighbours are looked up by a cell they may share with others; then a
+    border isn't cut, which changes no ids."""
+
+    def __init__(self, pieces):
+        self.may_join = np.zeros(PAIR_CELLS, bool)
+        for p, _, _ in pieces:
+            self.may_join[self._cells(p)] = True
+
+    @staticmethod
+    def _cells(text: str) -> np.ndarray:
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        return (code[:-1] * np.uint32(4099) + code[1:]) & np.uint32(PAIR_CELLS - 1)
+
+    def words(self, text: str) -> list[str]:
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK)
+        cuts = (np.flatnonzero(~self.may_join[self._cells(marked)]) + 1).tolist()
+        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)])]
+
+
+@lru_cache(maxsize=4)
+def borders(path: str) -> Borders:
+    return Borders(vocabulary(path).pieces)
+
+
 def edges(distinct_words: DataFrame, vocab: Vocabulary, keys: tuple[str, ...] = (), carried: str | None = None) -> DataFrame:
     """(keys, word, edges, carried): the pieces in each word as structs (rank, first, end, id, unknown), best score first.
     A character without a piece has an edge with its text in `unknown`. Words are distinct within `keys`; the
@@ -123,8 +152,9 @@ def merge_path(found: DataFrame) -> DataFrame:
         joins = (borders.bitwiseAND(ends) == ends) & (F.bit_count(borders.bitwiseAND(inner)) == 1)
         return F.when(joins, borders.bitwiseAND(F.bitwise_not(inner))).otherwise(borders)
 
+    longer = F.filter("edges", lambda e: e["end"] - e["first"] > 1)
     start = _bit(F.char_length("word") + 1) - 1
-    folded = found.withColumn("borders", F.aggregate("edges", start, step))
+    folded = found.withColumn("borders", F.aggregate(longer, start, step))
 
     def stays(e: Column) -> Column:
         ends, inner = _bounds(e)
@@ -175,21 +205,15 @@ def encode_words(distinct_words: DataFrame, model: str, keys: tuple[str, ...] =
     return path.withColumn("ids", path_ids(F.col("path"), vocab.first_byte)).drop("path")
 
 
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
-
-
-def _words(text: str) -> list[str]:
-    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
 def _usual(word: str) -> bool:
-    return len(word) <= LONGEST_WORD and not word.startswith(MARK * 2)
+    return len(word) <= LONGEST_WORD and not word.startswith(MARK * 2) and word != LINE
 
 
-def _numbered(texts: list[str], buckets: int) -> tuple[list[str], np.ndarray]:
+def _numbered(texts: list[str], model: str, buckets: int) -> tuple[list[str], np.ndarray]:
     """The distinct usual words of a block in order of their buckets, and those buckets. A word's number
     is its place in this order."""
-    distinct = [w for w in dict.fromkeys(w for t in texts for w in _words(t)) if _usual(w)]
+    cut = borders(model).words
+    distinct = [w for w in dict.fromkeys(w for t in texts for w in cut(t)) if _usual(w)]
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
     order = np.argsort(own, kind="stable")
     return [distinct[k] for k in order.tolist()], own[order]
@@ -231,22 +255,22 @@ def write_blocks(rows: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -
     return written(rows.mapInArrow(run, "block string, path string, size bigint"))
 
 
-def block_words(blocks: DataFrame, buckets: int, regions: int) -> DataFrame:
-    """(bucket, region, block, first, tails): a block's distinct words of one bucket without their marks, joined by
-    marks; `first` is the number of the first one."""
+def block_words(blocks: DataFrame, model: str, buckets: int, regions: int) -> DataFrame:
+    """(bucket, block, first, words): a block's distinct words of one bucket, with line breaks between them; `first` is
+    the number of the first one. Each region of blocks has buckets of its own."""
 
     def run(batches):
         for names, paths in batches:
             for name, path in zip(names, paths):
-                words, own = _numbered(_read_block(path)["text"].to_pylist(), buckets)
+                words, own = _numbered(_read_block(path)["text"].to_pylist(), model, buckets)
                 if not words:
                     continue
                 cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
-                tails = ["".join(words[a:b])[1:] for a, b in zip(cuts, cuts[1:])]
-                n, region = len(tails), xxhash.xxh3_64_intdigest(name) % regions
-                yield own[cuts[:-1]].tolist(), [region] * n, [name] * n, cuts[:-1], tails
+                joined = [LINE.join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+                region = xxhash.xxh3_64_intdigest(name) % regions
+                yield (own[cuts[:-1]] + region * buckets).tolist(), [name] * len(joined), cuts[:-1], joined
 
-    return map_rows(blocks.select("block", "path"), run, "bucket bigint, region bigint, block string, first int, tails string")
+    return map_rows(blocks.select("block", "path"), run, "bucket bigint, block string, first int, words string")
 
 
 def _packed(answers: DataFrame) -> DataFrame:
@@ -301,7 +325,10 @@ class KnownWords(dict):
     def __missing__(self, word: str) -> bytes:
         if _usual(word):
             raise KeyError(f"no ids for {word!r}")
-        return np.asarray(processor(self.model).encode(word.removeprefix(MARK)), "<u4").tobytes()
+        encode = processor(self.model).encode
+        ids = encode(word[1:]) if word.startswith(MARK) else encode(LINE + word)[len(encode(LINE)) :]
+        self[word] = out = np.asarray(ids, "<u4").tobytes()
+        return out
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -315,27 +342,27 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     blocks = write_blocks(rows, fresh_path(spark, "blocks"), block_bytes)
     count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = min(MOST_TASKS, partitions_for(size, BUCKETS_A_TASK * BUCKET_BYTES))
+    buckets = tasks * BUCKETS_A_TASK
     listed = blocks.select("block", "path").repartition(max(1, min(MOST_TASKS, count)), "block")
-    sent = block_words(listed, tasks * BUCKETS_A_TASK, partitions_for(count, REGION_BLOCKS)).repartition(tasks, "bucket")
-    word = F.posexplode(F.split("tails", MARK)).alias("at", "tail")
-    pairs = sent.select("bucket", "region", "block", "first", word)
+    sent = block_words(listed, model, buckets, partitions_for(count, REGION_BLOCKS)).repartition(tasks, "bucket")
+    pairs = sent.select("bucket", "block", "first", F.posexplode(F.split("words", LINE)).alias("at", "word"))
     place = F.struct("block", (F.col("first") + F.col("at")).alias("k"))
-    grouped = pairs.groupBy("bucket", "region", F.concat(F.lit(MARK), "tail").alias("word")).agg(F.collect_list(place).alias("places"))
-    known = encode_words(grouped, model, ("bucket", "region"), "places")
+    grouped = pairs.groupBy("bucket", "word").agg(F.collect_list(place).alias("places"))
+    known = encode_words(grouped, model, ("bucket",), "places")
     answers = _packed(known.select(F.inline("places"), "ids"))
     nothing = F.lit(None)
     parts = answers.withColumn("path", nothing.cast("string")).unionByName(blocks.select("block", nothing.cast("binary").alias("data"), "path"))
-    buckets, kind = tasks * BUCKETS_A_TASK, docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def put_together(found: pa.Table) -> pa.Table:
         block = _read_block(found["path"].drop_null()[0].as_py())
         texts = block["text"].to_pylist()
-        words, _ = _numbered(texts, buckets)
-        known = KnownWords(model)
+        words, _ = _numbered(texts, model, buckets)
+        cut, known = borders(model).words, KnownWords(model)
         for data in found["data"].drop_null():
             numbers, ids = _unpacked(data.as_py())
             known.update(zip(map(words.__getitem__, numbers.tolist()), ids))
-        ids = pa.array([b"".join(map(known.__getitem__, _words(t))) for t in texts], pa.binary())
+        ids = pa.array([b"".join(map(known.__getitem__, cut(t))) for t in texts], pa.binary())
         return pa.table({"id": block["id"], "ids": ids})
 
     out = parts.repartition(max(1, min(MOST_TASKS, count)), "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")

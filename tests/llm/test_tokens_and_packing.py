@@ -139,6 +139,15 @@ def test_many_blocks_and_regions_give_the_same_ids(spark, docs, texts, monkeypat
     assert got == {d: sp.encode(t) for d, t in texts.items()}
 
 
+def test_words_that_the_library_encodes(spark):
+    """Long words with and without a mark before them, runs of marks and line breaks."""
+    long = "andheration" * 30
+    some = [long, f"a\n{long}\n\n{long}  b", "\n", "   ", " \n  x\n", f"é\x00{long}", "▁▁a ▁", "\r\n\t\n", "日本語テキスト" * 40]
+    sp = sentencepieces.processor(PIECES)
+    rows = sentencepieces.encode(spark.createDataFrame(list(enumerate(some)), "doc_id int, text string"), PIECES).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == dict(enumerate(map(sp.encode, some)))
+
+
 def test_unigram_vocabulary_on_a_whole_table(spark, docs, texts, tmp_path):
     """The public pieces read as a unigram vocabulary: the sum of scores of every document is the best one."""
     from sentencepiece import sentencepiece_model_pb2
@@ -151,13 +160,13 @@ def test_unigram_vocabulary_on_a_whole_table(spark, docs, texts, tmp_path):
     with open(path, "wb") as f:
         f.write(model.SerializeToString())
     assert sentencepieces.vocabulary(path).unigram
-    sp, score = sentencepieces.processor(path), [p.score if p.type == 1 else 0.0 for p in model.pieces]
+    score = [p.score if p.type == 1 else 0.0 for p in model.pieces]
     known = {p.piece: p.score for p in model.pieces if p.type == 1}
     longest = max(map(len, known))
 
     def best(word):
         if not sentencepieces._usual(word):
-            return sum(score[k] for k in sp.encode(word.removeprefix(sentencepieces.MARK)))
+            return sum(score[k] for k in np.frombuffer(sentencepieces.KnownWords(path)[word], "<u4").tolist())
         sums = [(0, 0.0)]  # unknown characters, the fewer the better, and the sum of scores
         for end in range(1, len(word) + 1):
             ways = []
@@ -174,7 +183,7 @@ def test_unigram_vocabulary_on_a_whole_table(spark, docs, texts, tmp_path):
     assert {r.doc_id: r.text for r in sentencepieces.decode(encoded, path).collect()} == texts
     for r in encoded.collect():
         ours = sum(score[k] for k in np.frombuffer(r.ids, "<u4").tolist())
-        assert ours == pytest.approx(sum(map(best, sentencepieces._words(texts[r.doc_id]))), rel=1e-12)
+        assert ours == pytest.approx(sum(map(best, sentencepieces.borders(path).words(texts[r.doc_id]))), rel=1e-12)
 
 
 def test_viterbi_finds_the_best_sum(spark):
