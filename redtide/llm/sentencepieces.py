@@ -40,14 +40,14 @@ from redtide.session import fresh_path, written
 
 MARK = "▁"
 LONGEST_WORD = 60
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 LINE = "\n"  # stands in no longer piece (checked), so it is a word of its own and may lie between others
 BUCKET_BYTES = 1 << 19  # of text for each bucket of words
 BUCKETS_A_TASK = 4
 PAIR_CELLS = 1 << 24
 MOST_TASKS = 20_000  # beyond it tasks take more and sort on disk
 REGION_BLOCKS = 4096  # a word's list of blocks stays in a region of about so many
-SENT_TOGETHER = 1 << 20
+SENT_TOGETHER = 1 << 19
 NORMAL, BYTE = 1, 6
 
 
@@ -209,11 +209,24 @@ def _usual(word: str) -> bool:
     return len(word) <= LONGEST_WORD and not word.startswith(MARK * 2) and word != LINE
 
 
-def _numbered(texts: list[str], model: str, buckets: int) -> tuple[list[str], np.ndarray]:
-    """The distinct usual words of a block in order of their buckets, and those buckets. A word's number
-    is its place in this order."""
-    cut = borders(model).words
-    distinct = [w for w in dict.fromkeys(w for t in texts for w in cut(t)) if _usual(w)]
+def _parts(text: str) -> list[str]:
+    return text.replace(" ", MARK).split(MARK)
+
+
+def _cut_parts(texts: list[str], model: str) -> tuple[list[str], list[str]]:
+    """The distinct parts between the spaces of a block, and their words one after the other (a part's first word
+    has the mark). All are cut as one text."""
+    parts = {}
+    for text in texts:
+        parts.update(dict.fromkeys(_parts(text)))
+    parts.pop("", None)
+    return list(parts), borders(model).words(MARK.join(parts))
+
+
+def _numbered(words: list[str], buckets: int) -> tuple[list[str], np.ndarray]:
+    """The distinct usual words of a block and the single mark, in order of their buckets, and those buckets. A word's
+    number is its place in this order."""
+    distinct = [w for w in dict.fromkeys([MARK, *words]) if _usual(w)]
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
     order = np.argsort(own, kind="stable")
     return [distinct[k] for k in order.tolist()], own[order]
@@ -262,9 +275,7 @@ def block_words(blocks: DataFrame, model: str, buckets: int, regions: int) -> Da
     def run(batches):
         for names, paths in batches:
             for name, path in zip(names, paths):
-                words, own = _numbered(_read_block(path)["text"].to_pylist(), model, buckets)
-                if not words:
-                    continue
+                words, own = _numbered(_cut_parts(_read_block(path)["text"].to_pylist(), model)[1], buckets)
                 cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
                 joined = [LINE.join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
                 region = xxhash.xxh3_64_intdigest(name) % regions
@@ -357,22 +368,31 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def put_together(found: pa.Table) -> pa.Table:
         block = _read_block(found["path"].drop_null()[0].as_py())
         texts = block["text"].to_pylist()
-        words, _ = _numbered(texts, model, buckets)
-        cut, known = borders(model).words, KnownWords(model)
+        parts, in_order = _cut_parts(texts, model)
+        words, _ = _numbered(in_order, buckets)
+        known = KnownWords(model)
         for data in found["data"].drop_null():
             numbers, ids = _unpacked(data.as_py())
             known.update(zip(map(words.__getitem__, numbers.tolist()), ids))
-        ids = pa.array([b"".join(map(known.__getitem__, cut(t))) for t in texts], pa.binary())
+        starts = [k for k, w in enumerate(in_order) if w.startswith(MARK)]
+        whole = {p: b"".join(map(known.__getitem__, in_order[a:b])) for p, a, b in zip(parts, starts, [*starts[1:], len(in_order)])}
+
+        def joined(text: str) -> bytes:
+            own = _parts(text)
+            if "" in own:  # runs of marks stay together
+                return b"".join(map(known.__getitem__, borders(model).words(text)))
+            return b"".join(map(whole.__getitem__, own))
+
+        ids = pa.array(map(joined, texts), pa.binary())
         return pa.table({"id": block["id"], "ids": ids})
 
     out = parts.repartition(max(1, min(MOST_TASKS, count)), "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def decode_ids(ids: np.ndarray, pieces: list[str], first_byte: int) -> str:
+def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
     """The text of ids: byte pieces are put together to characters, marks become spaces, the first one goes."""
-    out = b"".join(bytes([i - first_byte]) if first_byte <= i < first_byte + 256 else pieces[i].encode() for i in ids.tolist())
-    return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -380,11 +400,13 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         vocab = vocabulary(model)
-        pieces = [""] * (max(k for _, k, _ in vocab.pieces) + 1)
+        pieces = [b""] * (max(max(k for _, k, _ in vocab.pieces), vocab.first_byte + 255) + 1)
         for p, k, _ in vocab.pieces:
-            pieces[k] = p
+            pieces[k] = p.encode()
+        for k in range(256):
+            pieces[vocab.first_byte + k] = bytes([k])
         for keys, data in batches:
-            yield keys, [len(d) // 4 for d in data], [zlib.crc32(d) for d in data], [decode_ids(np.frombuffer(d, "<u4"), pieces, vocab.first_byte) for d in data]
+            yield keys, [len(d) // 4 for d in data], [zlib.crc32(d) for d in data], [decode_ids(np.frombuffer(d, "<u4"), pieces) for d in data]
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return map_rows(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, text string")
