@@ -40,7 +40,7 @@ from redtide.session import fresh_path, written
 
 MARK = "▁"
 LONGEST_WORD = 60
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 LINE = "\n"  # stands in no longer piece (checked), so it is a word of its own and may lie between others
 BUCKET_BYTES = 1 << 19  # of text for each bucket of words
 BUCKETS_A_TASK = 4
@@ -59,9 +59,13 @@ class Vocabulary:
     first_byte: int
     unigram: bool
 
-    @property
-    def longest(self) -> int:
-        return max(len(p) for p, _, _ in self.pieces)
+    def reach(self, spark: SparkSession) -> DataFrame:
+        """(prefix, reach): the length of the longest piece for each beginning of three characters; bounded by the vocabulary."""
+        reach = {}
+        for p, _, _ in self.pieces:
+            if len(p) > 2:
+                reach[p[:3]] = max(len(p), reach.get(p[:3], 0))
+        return spark.createDataFrame(pd.DataFrame(list(reach.items()), columns=["prefix", "reach"]), "prefix string, reach int")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row for each piece; bounded by the vocabulary."""
@@ -116,14 +120,15 @@ def borders(path: str) -> Borders:
 
 
 def edges(distinct_words: DataFrame, vocab: Vocabulary, keys: tuple[str, ...] = (), carried: str | None = None) -> DataFrame:
-    """(keys, word, edges, carried): the pieces in each word as structs (rank, first, end, id, unknown), best score first.
+    """(keys, word, edges, carried): the pieces in each word as structs (rank, first, end, id, unknown), in no order.
     A character without a piece has an edge with its text in `unknown`. Words are distinct within `keys`; the
     column `carried` goes along on the edge that every word has."""
     named = [*keys, "word"]
     kept = [carried] if carried else []
     at = distinct_words.select(*named, *kept, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("first"))
     at = at.select(*named, "first", *[F.when(F.col("first") == 0, F.col(c)).alias(c) for c in kept])
-    lengths = F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.char_length("word") - F.col("first")))
+    at = at.join(F.broadcast(vocab.reach(distinct_words.sparkSession)), F.substring("word", F.col("first") + 1, F.lit(3)) == F.col("prefix"), "left")
+    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("word") - F.col("first")))
     parts = at.select(*named, "first", *kept, F.explode(lengths).alias("n")).withColumn("part", F.substring("word", F.col("first") + 1, F.col("n")))
     found = parts.join(F.broadcast(vocab.table(distinct_words.sparkSession)), F.col("part") == F.col("piece"), "left")
     found = found.where(F.col("id").isNotNull() | (F.col("n") == 1))
@@ -131,7 +136,7 @@ def edges(distinct_words: DataFrame, vocab: Vocabulary, keys: tuple[str, ...] =
         (-F.col("score")).alias("rank"), "first", (F.col("first") + F.col("n")).alias("end"), "id", F.when(F.col("id").isNull(), F.col("part")).alias("unknown")
     )
     rest = [F.max(F.when(F.col("n") == 1, F.col(c))).alias(c) for c in kept]
-    return found.groupBy(*named).agg(F.sort_array(F.collect_list(edge)).alias("edges"), *rest)
+    return found.groupBy(*named).agg(F.collect_list(edge).alias("edges"), *rest)
 
 
 def _bit(k: Column) -> Column:
@@ -152,7 +157,7 @@ def merge_path(found: DataFrame) -> DataFrame:
         joins = (borders.bitwiseAND(ends) == ends) & (F.bit_count(borders.bitwiseAND(inner)) == 1)
         return F.when(joins, borders.bitwiseAND(F.bitwise_not(inner))).otherwise(borders)
 
-    longer = F.filter("edges", lambda e: e["end"] - e["first"] > 1)
+    longer = F.sort_array(F.filter("edges", lambda e: e["end"] - e["first"] > 1))
     start = _bit(F.char_length("word") + 1) - 1
     folded = found.withColumn("borders", F.aggregate(longer, start, step))
 
@@ -317,29 +322,43 @@ def _packed(answers: DataFrame) -> DataFrame:
     return answers.select("block", "k", "ids").mapInArrow(run, "block string, data binary")
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of words, how many ids each has, and the ids."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m = np.frombuffer(raw, "<u4", 2).tolist()
     numbers = np.cumsum(np.frombuffer(raw, "<u4", n, 8), dtype=np.int64)
-    ends = 4 * np.concatenate([[0], np.cumsum(np.frombuffer(raw, "u1", n, 8 + 4 * n), dtype=np.int64)])
-    ids = np.ascontiguousarray(np.frombuffer(raw, "u1", 4 * m, 8 + 5 * n).reshape(4, -1).T).tobytes()
-    return numbers, [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    lengths = np.frombuffer(raw, "u1", n, 8 + 4 * n)
+    return numbers, lengths, np.frombuffer(raw, "u1", 4 * m, 8 + 5 * n).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-class KnownWords(dict):
-    """Ids of words as bytes; the library encodes those that didn't go to the lattice."""
+class Lists:
+    """Lists of numbers by place: `lengths` of them, one after the other in `flat`."""
 
-    def __init__(self, model: str, *args):
-        super().__init__(*args)
-        self.model = model
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
 
-    def __missing__(self, word: str) -> bytes:
-        if _usual(word):
-            raise KeyError(f"no ids for {word!r}")
-        encode = processor(self.model).encode
-        ids = encode(word[1:]) if word.startswith(MARK) else encode(LINE + word)[len(encode(LINE)) :]
-        self[word] = out = np.asarray(ids, "<u4").tobytes()
-        return out
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        n = self.lengths[at]
+        return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _by_number(found: list[bytes], odd: list[list[int]], usual: int) -> Lists:
+    """Ids of each word of a block: the answers for the usual ones, then those of the others."""
+    numbers, lengths, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*map(_unpacked, found))) or [[], [], []]))
+    numbers = np.concatenate([numbers, usual + np.arange(len(odd))]).astype(np.int64)
+    if len(numbers) != usual + len(odd):
+        raise ValueError(f"{usual + len(odd) - len(numbers)} words of a block have no ids")
+    lengths = np.concatenate([lengths, [len(x) for x in odd]]).astype(np.int64)
+    ids = np.concatenate([ids, *odd]).astype("<u4")
+    order = np.empty(len(numbers), np.int64)
+    order[numbers] = np.arange(len(numbers))
+    return Lists(Lists(ids, lengths).joined(order), lengths[order])
+
+
+def library_ids(word: str, model: str) -> list[int]:
+    encode = processor(model).encode
+    return encode(word[1:]) if word.startswith(MARK) else encode(LINE + word)[len(encode(LINE)) :]
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -369,21 +388,25 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         block = _read_block(found["path"].drop_null()[0].as_py())
         texts = block["text"].to_pylist()
         parts, in_order = _cut_parts(texts, model)
+        cut = {k: borders(model).words(t) for k, t in enumerate(texts) if MARK * 2 in MARK + t.replace(" ", MARK) or t.endswith((" ", MARK))}
         words, _ = _numbered(in_order, buckets)
-        known = KnownWords(model)
-        for data in found["data"].drop_null():
-            numbers, ids = _unpacked(data.as_py())
-            known.update(zip(map(words.__getitem__, numbers.tolist()), ids))
-        starts = [k for k, w in enumerate(in_order) if w.startswith(MARK)]
-        whole = {p: b"".join(map(known.__getitem__, in_order[a:b])) for p, a, b in zip(parts, starts, [*starts[1:], len(in_order)])}
-
-        def joined(text: str) -> bytes:
-            own = _parts(text)
-            if "" in own:  # runs of marks stay together
-                return b"".join(map(known.__getitem__, borders(model).words(text)))
-            return b"".join(map(whole.__getitem__, own))
-
-        ids = pa.array(map(joined, texts), pa.binary())
+        odd = [w for w in dict.fromkeys([*in_order, *(w for own in cut.values() for w in own)]) if not _usual(w)]
+        number = {w: k for k, w in enumerate([*words, *odd])}
+        ids_of = _by_number([d.as_py() for d in found["data"].drop_null()], [library_ids(w, model) for w in odd], len(words))
+        starts = np.array([k for k, w in enumerate(in_order) if w.startswith(MARK)] + [len(in_order)], np.int64)
+        words_of = Lists(np.fromiter(map(number.__getitem__, in_order), np.int64, len(in_order)), np.diff(starts))
+        place = {p: k for k, p in enumerate(parts)}
+
+        def joined(k: int, text: str) -> bytes:
+            if not text:
+                return b""
+            if k in cut:  # runs of marks stay together
+                own = np.fromiter(map(number.__getitem__, cut[k]), np.int64)
+            else:
+                own = words_of.joined(np.fromiter(map(place.__getitem__, _parts(text)), np.int64))
+            return ids_of.joined(own).tobytes()
+
+        ids = pa.array([joined(k, t) for k, t in enumerate(texts)], pa.binary())
         return pa.table({"id": block["id"], "ids": ids})
 
     out = parts.repartition(max(1, min(MOST_TASKS, count)), "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")

@@ -166,7 +166,7 @@ def test_unigram_vocabulary_on_a_whole_table(spark, docs, texts, tmp_path):
 
     def best(word):
         if not sentencepieces._usual(word):
-            return sum(score[k] for k in np.frombuffer(sentencepieces.KnownWords(path)[word], "<u4").tolist())
+            return sum(score[k] for k in sentencepieces.library_ids(word, path))
         sums = [(0, 0.0)]  # unknown characters, the fewer the better, and the sum of scores
         for end in range(1, len(word) + 1):
             ways = []
