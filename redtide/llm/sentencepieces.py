@@ -46,6 +46,8 @@ BUCKET_BYTES = 1 << 19  # of text for each bucket of words
 BUCKETS_A_TASK = 4
 PAIR_CELLS = 1 << 24
 MOST_TASKS = 20_000  # beyond it tasks take more and sort on disk
+BLOCKS_A_TASK = 8
+DECODED_TOGETHER = 256
 REGION_BLOCKS = 4096  # a word's list of blocks stays in a region of about so many
 SENT_TOGETHER = 1 << 19
 NORMAL, BYTE = 1, 6
@@ -373,7 +375,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     count, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = min(MOST_TASKS, partitions_for(size, BUCKETS_A_TASK * BUCKET_BYTES))
     buckets = tasks * BUCKETS_A_TASK
-    listed = blocks.select("block", "path").repartition(max(1, min(MOST_TASKS, count)), "block")
+    block_tasks = min(MOST_TASKS, partitions_for(count, BLOCKS_A_TASK))
+    listed = blocks.select("block", "path").repartition(block_tasks, "block")
     sent = block_words(listed, model, buckets, partitions_for(count, REGION_BLOCKS)).repartition(tasks, "bucket")
     pairs = sent.select("bucket", "block", "first", F.posexplode(F.split("words", LINE)).alias("at", "word"))
     place = F.struct("block", (F.col("first") + F.col("at")).alias("k"))
@@ -409,7 +412,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         ids = pa.array([joined(k, t) for k, t in enumerate(texts)], pa.binary())
         return pa.table({"id": block["id"], "ids": ids})
 
-    out = parts.repartition(max(1, min(MOST_TASKS, count)), "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")
+    out = parts.repartition(block_tasks, "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -421,6 +424,8 @@ def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_crc32, text) of the rows of `encode`."""
 
+    names = [id_col, "n_tokens", "ids_crc32", "text"]
+
     def run(batches):
         vocab = vocabulary(model)
         pieces = [b""] * (max(max(k for _, k, _ in vocab.pieces), vocab.first_byte + 255) + 1)
@@ -428,8 +433,13 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
             pieces[k] = p.encode()
         for k in range(256):
             pieces[vocab.first_byte + k] = bytes([k])
-        for keys, data in batches:
-            yield keys, [len(d) // 4 for d in data], [zlib.crc32(d) for d in data], [decode_ids(np.frombuffer(d, "<u4"), pieces) for d in data]
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED_TOGETHER):
+                keys, some = batch.slice(at, DECODED_TOGETHER).columns
+                data = some.to_pylist()
+                sizes, sums = pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64())
+                texts = pa.array([decode_ids(np.frombuffer(d, "<u4"), pieces) for d in data], pa.string())
+                yield pa.RecordBatch.from_arrays([keys, sizes, sums, texts], names)
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return map_rows(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, text string")
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, text string")
