@@ -149,6 +149,18 @@ def mean_pr_curve(pred: DataFrame, keys: list[str], fold: str = "fold", n: int =
     )
 
 
+def pr_curve_table(pred: DataFrame, keys: list[str], fold: str = "fold", n: int = 100, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The mean curve with the mean and population deviation over folds of the average precision beside each point.
+    Folds with one class only count in neither."""
+    gained = (
+        average_precision(pred, [*keys, fold], hot_rows)
+        .groupBy(*keys)
+        .agg(F.avg("prauc").alias("ap_mean"), F.stddev_pop("prauc").alias("ap_std"))
+    )
+    return mean_pr_curve(pred, keys, fold, n, hot_rows).join(gained, keys)
+
+
+
 def regression_metrics(pred: DataFrame, keys: list[str], min_valid: int = 5) -> DataFrame:
     """R2 and bias of log10(cells + 1), RMSE and MAE in cells; groups with fewer than
     `min_valid` known targets have no row.

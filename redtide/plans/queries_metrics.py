@@ -115,6 +115,18 @@ def v20(spark, sf):
     return rounded(metrics.mean_pr_curve(view(spark, sf, "predictions"), ["species"]), ["recall", "prec_mean", "prec_std"], 9)
 
 
+@query(
+    "v20_pr_curve_table",
+    f"""{PRED}, {STEPS}, {CURVE}, gains AS (SELECT fold, species, tp / (tp + fp) AS prec, tp / n_pos - lag(tp / n_pos, 1, 0) OVER (PARTITION BY fold, species ORDER BY score DESC) AS gain FROM mixed),
+    ap AS (SELECT species, avg(prauc) AS ap_mean, stddev_pop(prauc) AS ap_std FROM (SELECT fold, species, sum(gain * prec) AS prauc FROM gains GROUP BY ALL) GROUP BY species)
+    SELECT species, cast(slot AS int) AS slot, round(slot / 99, 9) AS recall, round(avg(precision), 9) AS prec_mean, round(stddev_pop(precision), 9) AS prec_std,
+      round(max(ap_mean), 9) AS ap_mean, round(max(ap_std), 9) AS ap_std FROM curve JOIN ap USING (species) GROUP BY species, slot""",
+)
+def v20_table(spark, sf):
+    out = metrics.pr_curve_table(view(spark, sf, "predictions"), ["species"])
+    return rounded(out, ["recall", "prec_mean", "prec_std", "ap_mean", "ap_std"], 9)
+
+
 @query(
     "v21_regression_metrics",
     """WITH p AS (SELECT l_partkey % 40 AS fold, concat('sp', l_suppkey % 5) AS species, CASE WHEN l_tax > 0.01 THEN log10(l_quantity * 100 + 1) END AS y, log10(l_quantity * 90 + l_linenumber * 40 + 1) AS q FROM lineitem),

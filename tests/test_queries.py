@@ -23,7 +23,7 @@ spec.loader.exec_module(check)
 SOME = """a1_flatten_counts a10_index_files a13_pending_work b2_polygon_filter b4_station_override b20_utm_projection
 d3_composite d6_nearest_cell d14_merge_sparse_blocks e1_daily_p95 e5_grid_matchup e5_swath_matchup e8_patch_matchup
 e9_scene_cloud_fraction e14_impute_median e25_box_stats v1_shuffle_split v3_group_kfold v5_strat_label
-v8_quadtree_adaptive v9_quadtree_random v11_moran_sweep v19_average_precision v20_mean_pr_curve v24_mann_whitney
+v8_quadtree_adaptive v9_quadtree_random v11_moran_sweep v19_average_precision v20_mean_pr_curve v20_pr_curve_table v24_mann_whitney
 v25_mann_whitney_pairs x_spectral_indices a8_csv_sink a10_unrecognised_names b6_location_id b17_location_exclusion
 d1_metadata_join e11_composite_summary e16_macro_stats e21_lag_counts e24_gate_failures e26_target_stats v1_usable_folds""".split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("REDTIDE_ALL_QUERIES") else SOME
