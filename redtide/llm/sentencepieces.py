@@ -49,7 +49,7 @@ MOST_TASKS = 20_000  # beyond it tasks take more and sort on disk
 BLOCKS_A_TASK = 8
 DECODED_TOGETHER = 256
 REGION_BLOCKS = 4096  # a word's list of blocks stays in a region of about so many
-SENT_TOGETHER = 1 << 19
+SENT_TOGETHER = 1 << 18
 NORMAL, BYTE = 1, 6
 
 
@@ -410,7 +410,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             return ids_of.joined(own).tobytes()
 
         ids = pa.array([joined(k, t) for k, t in enumerate(texts)], pa.binary())
-        return pa.table({"id": block["id"], "ids": ids})
+        out = pa.table({"id": block["id"], "ids": ids})
+        del block, texts, parts, in_order, words, cut, number, ids_of, words_of, place
+        pa.default_memory_pool().release_unused()  # workers live on; a block's memory shouldn't
+        return out
 
     out = parts.repartition(block_tasks, "block").groupBy("block").applyInArrow(put_together, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
@@ -440,6 +443,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
                 sizes, sums = pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64())
                 texts = pa.array([decode_ids(np.frombuffer(d, "<u4"), pieces) for d in data], pa.string())
                 yield pa.RecordBatch.from_arrays([keys, sizes, sums, texts], names)
+            pa.default_memory_pool().release_unused()
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_crc32 bigint, text string")
