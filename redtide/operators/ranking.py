@@ -162,12 +162,14 @@ def midrank_totals(df: DataFrame, keys: list[str], value: str, weights: dict[str
 
 
 def smallest_by_hash(
-    df: DataFrame, keys: list[str], rank_hash: str, tie: str, wanted: DataFrame, buckets: int = 2**16
+    df: DataFrame, keys: list[str], rank_hash: str, tie: str, wanted: DataFrame, buckets: int = 2**12
 ) -> DataFrame:
     """Per group, the last (hash, tie) among its `_take` smallest; `wanted` has keys and `_take`.
 
     Hashes are uniform, so equal-width buckets are equally full: whole buckets are counted
-    first and only the bucket that holds the boundary is put in order.
+    first and only the bucket that holds the boundary is put in order. `wanted` is small, a few rows such as
+    one a fold; it and the boundaries are named as the sides to broadcast, since the planner takes rows exploded
+    into groups to be as few as they were before.
     """
     width = (2**31) // buckets
     bucketed = df.withColumn("_b", F.floor(F.col(rank_hash) / width).cast("int"))
@@ -176,13 +178,14 @@ def smallest_by_hash(
         bucketed.groupBy(*keys, "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(ordered))
-        .join(wanted, keys)
+        .join(F.broadcast(wanted), keys)  # one row per group
         .where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_c") < F.col("_take")))
         .select(*keys, "_b", (F.col("_take") - F.col("_upto") + F.col("_c")).alias("_inner"))
     )
     inner = Window.partitionBy(*keys, "_b").orderBy(rank_hash, tie)
+    # broadcast side: one bucket per group
     return (
-        bucketed.join(boundary, [*keys, "_b"])
+        bucketed.join(F.broadcast(boundary), [*keys, "_b"])
         .withColumn("_rn", F.row_number().over(inner))
         .where(F.col("_rn") == F.col("_inner"))
         .select(*keys, F.col(rank_hash).alias("_cut_hash"), F.col(tie).alias("_cut_tie"))

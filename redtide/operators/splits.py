@@ -73,11 +73,12 @@ def usable_folds(split: DataFrame, labels: list[str]) -> DataFrame:
     return counted.select("fold", "n_train", "n_test", usable.alias("usable"))
 
 
-def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**16) -> DataFrame:
+def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**16, few_groups: bool = False) -> DataFrame:
     """`ordinal`: position (from 1) in (`_h`, id) order within the keys.
 
     Hashes are uniform, so equal-width buckets are equally full. Buckets are counted first and
-    rows are numbered inside their bucket, so no task orders a whole group.
+    rows are numbered inside their bucket, so no task orders a whole group. With `few_groups` (tens, such as
+    folds) the offsets, a row for each group and bucket, are broadcast; otherwise they meet the rows in a merge join.
     """
     width = (2**31) // buckets
     hashed = df.withColumn("_b", F.floor(F.col("_h") / width).cast("int"))
@@ -89,6 +90,8 @@ def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**
         .select(*keys, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_ahead"))
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
+    # never the rows: exploded ones look as few to the planner as they were before
+    offsets = F.broadcast(offsets) if few_groups else offsets.hint("merge")
     return (
         hashed.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*keys, "_b"])
@@ -97,11 +100,12 @@ def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**
     )
 
 
-def split_ordinal(df: DataFrame, id_col: str, n_splits: int, buckets: int = 2**16) -> DataFrame:
-    """Random position of every row in every fold. The number of buckets is for balance only."""
+def split_ordinal(df: DataFrame, id_col: str, n_splits: int, buckets: int = 2**12) -> DataFrame:
+    """Random position of every row in every fold. The number of buckets is for balance only; counts of folds
+    and buckets combine before the shuffle and are broadcast."""
     folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
     exploded = df.withColumn("fold", folds).withColumn("_h", portable_hash(id_col, F.col("fold")))
-    return hash_ordinal(exploded, ["fold"], id_col, buckets)
+    return hash_ordinal(exploded, ["fold"], id_col, buckets, few_groups=True)
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 10, seed: int = 0) -> DataFrame:

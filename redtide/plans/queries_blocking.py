@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from redtide import constants as K
 from redtide.operators import blocking, joins, splits
-from redtide.plans.fixtures import SPECIES, read, view, with_views
+from redtide.plans.fixtures import SPECIES, read, spread, view, with_views
 from redtide.plans.queries_clean import THRESHOLDS
 from redtide.plans.queries_matchup import DAILY, OBS, daily
 from redtide.plans.registry import query, rounded
@@ -199,7 +199,7 @@ FOLDS_SQL = f"""ranked AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION
     f"WITH {FOLDS_SQL} SELECT o_orderkey, cast(fold AS int) AS fold, rn <= (SELECT ceil(count(*) * 0.2e0) FROM orders) AS is_test FROM ranked",
 )
 def v1(spark, sf):
-    return splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 50)
+    return splits.shuffle_split(spread(read(spark, sf, "orders").select("o_orderkey")), "o_orderkey", 50)
 
 
 @query(
@@ -209,7 +209,7 @@ def v1(spark, sf):
     count(*) FILTER (WHERE is_test) > 0 AND count(DISTINCT a) FILTER (WHERE NOT is_test) = 2 AND count(DISTINCT b) FILTER (WHERE NOT is_test) = 2 AS usable FROM m GROUP BY 1""",
 )
 def v1_usable(spark, sf):
-    split = splits.shuffle_split(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 50)
+    split = splits.shuffle_split(spread(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")), "o_orderkey", 50)
     labelled = split.withColumns(
         {"a": (F.col("o_orderstatus") == "P").cast("int"), "b": (F.col("o_orderkey") < F.col("fold")).cast("int")}
     )
@@ -229,7 +229,7 @@ def v2(spark, sf):
     f"WITH {FOLDS_SQL} SELECT o_orderkey, cast(fold AS int) AS fold, rn AS ordinal FROM ranked",
 )
 def w8(spark, sf):
-    return splits.split_ordinal(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 50)
+    return splits.split_ordinal(spread(read(spark, sf, "orders").select("o_orderkey")), "o_orderkey", 50)
 
 
 def grouped(spark, sf):
