@@ -418,6 +418,9 @@ def moran_i(places: DataFrame, radii_m: list[float]) -> DataFrame:
 
 #: Rows whose values fit in a broadcast of 64 MB, and rows of one position that one task draws for.
 DRAWN_ROWS, SEATS = 8 << 20, 4096
+#: Rows of one position that its tiles draw for themselves; for more, the sums of all draws are made once, in other tasks.
+LIGHT_ROWS = 256
+DRAWN_AT_ONCE = 1 << 15
 ROUNDS = 16
 
 
@@ -500,30 +503,37 @@ def _drawn_in_tiles(numbered: DataFrame, places: DataFrame, tiled, radius_m: flo
     values = spark.sparkContext.broadcast(numbered.select("seat", "_z").orderBy("seat").toArrow()["_z"].to_numpy())
     pieces = F.ceil(F.col("n") / SEATS).cast("bigint")
     seats = numbered.join(places, ["x_m", "y_m"]).groupBy("id", "x_m", "y_m", F.pmod("seat", pieces).alias("piece"), pieces.alias("pieces"))
-    seats = written(seats.agg(F.sort_array(F.collect_list("seat")).alias("seats")))  # at most about SEATS in a list
-
-    def sums(lists: list[np.ndarray], draws: np.ndarray, squares: bool = False) -> np.ndarray:
-        """Sum of the drawn values of each list, [draw, list]."""
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in lists])[:-1]])
-        drawn = values.value[drawn_seat(np.concatenate(lists)[None, :], draws[:, None], n)]
-        return np.add.reduceat(drawn * drawn if squares else drawn, starts, axis=1)
+    seats = seats.agg(F.sort_array(F.collect_list("seat")).alias("seats"), F.first("n").alias("rows"))  # at most about SEATS in a list
+    seats = written(seats.withColumn("heavy", (F.col("rows") > LIGHT_ROWS) | (F.col("pieces") > 1)))
+
+    def sums(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the drawn values of each list and of their squares, [draw, list]; drawn in arrays that stay in the cache."""
+        seats_of, starts = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(s) for s in lists])[:-1]])
+        z, zz = np.zeros((permutations, len(lists))), np.zeros((permutations, len(lists)))
+        step = max(1, DRAWN_AT_ONCE // len(seats_of))
+        for first in range(0, permutations, step):
+            draws = np.arange(first + 1, min(first + step, permutations) + 1)
+            drawn = values.value[drawn_seat(seats_of[None, :], draws[:, None], n)]
+            z[draws - 1] = np.add.reduceat(drawn, starts, axis=1)
+            zz[draws - 1] = np.add.reduceat(drawn * drawn, starts, axis=1)
+        return z, zz
 
     def pre(batches):
-        draws = np.arange(1, permutations + 1)
         for batch in batches:
             for ident, seat in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seat = seat.values.to_numpy()
-                made = [np.concatenate([sums([seat], d, q)[:, 0] for d in np.array_split(draws, max(1, len(draws) * len(seat) >> 20))]) for q in (False, True)]
+                made = [m[:, 0] for m in sums([seat.values.to_numpy()])]
                 yield pa.RecordBatch.from_arrays([pa.array([ident]), pa.array([made[0].tobytes()]), pa.array([made[1].tobytes()])], names=["id", "z", "zz"])
 
     def add(key, table):
         total = [sum(np.frombuffer(v) for v in table[c].to_pylist()) for c in ("z", "zz")]
         return pa.table({"id": pa.array([key[0].as_py()]), "z": pa.array([total[0].tobytes()]), "zz": pa.array([total[1].tobytes()])})
 
-    # positions with many rows are drawn for in pieces beforehand, so that no task draws for a third of all rows
-    heavy = seats.where("pieces > 1").select("id", "seats").mapInArrow(pre, "id string, z binary, zz binary")
+    # positions with many rows are drawn for in pieces beforehand, once and not in each tile, spread over all cores: a list
+    # is small beside the work on it, so tasks aren't left to follow the size of the table
+    dealt = seats.where("heavy").select("id", "seats").repartition(8 * spark.sparkContext.defaultParallelism)
+    heavy = dealt.mapInArrow(pre, "id string, z binary, zz binary")
     heavy = heavy.groupBy("id").applyInArrow(add, "id string, z binary, zz binary")
-    light = seats.where("pieces = 1").select("id", "seats")
+    light = seats.where("not heavy").select("id", "seats")
     known = places.join(light, "id", "left").join(heavy, "id", "left")
 
     def run(key, table):
@@ -532,29 +542,26 @@ def _drawn_in_tiles(numbered: DataFrame, places: DataFrame, tiled, radius_m: flo
         lists, ready, squares = table["seats"].to_pylist(), table["z"].to_pylist(), table["zz"].to_pylist()
         plain = [k for k, v in enumerate(lists) if v is not None]
         lists = [np.array(lists[k]) for k in plain]
-        mine = np.flatnonzero(np.isin(plain, own))
         out = np.zeros(permutations)
-        step = max(1, (1 << 20) // max(1, sum(map(len, lists)) + len(x)))
-        for first in range(0, permutations if len(own) else 0, step):
-            draws = np.arange(first + 1, min(first + step, permutations) + 1)
-            z, zz = np.zeros((len(draws), len(x))), np.zeros((len(draws), len(x)))
+        if len(own):
+            z, zz = np.zeros((permutations, len(x))), np.zeros((permutations, len(x)))
             if plain:
-                z[:, plain] = sums(lists, draws)
-                if len(mine):
-                    zz[:, np.array(plain)[mine]] = sums([lists[k] for k in mine], draws, True)
+                z[:, plain], zz[:, plain] = sums(lists)
             for k, v in enumerate(ready):
                 if v is not None:
-                    z[:, k], zz[:, k] = np.frombuffer(v)[draws - 1], np.frombuffer(squares[k])[draws - 1]
+                    z[:, k], zz[:, k] = np.frombuffer(v), np.frombuffer(squares[k])
             for low in range(0, len(own), 256):
                 some = own[low : low + 256]
                 dx, dy = x[some, None] - x, y[some, None] - y
                 near = (np.sqrt(dx * dx + dy * dy) <= radius_m).astype(float)
                 degree = near @ rows - 1
                 term = np.where(degree > 0, (z[:, some] * (z @ near.T) - zz[:, some]) / np.maximum(degree, 1), 0)
-                out[draws - 1] += term.sum(1)
+                out += term.sum(1)
         return pa.table({"perm": pa.array(range(1, permutations + 1), pa.int32()), "term": pa.array(out)})
 
-    terms = tiled(known).groupBy("_tx", "_ty").applyInArrow(run, "perm int, term double")
+    # as many tasks as cores can use: seats are few bytes, and Spark would join tiles by their bytes
+    dealt = tiled(known).repartition(8 * spark.sparkContext.defaultParallelism, "_tx", "_ty")
+    terms = dealt.groupBy("_tx", "_ty").applyInArrow(run, "perm int, term double")
     return terms.groupBy("perm").agg(F.sum("term").alias("term"))
 
 
