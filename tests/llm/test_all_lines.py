@@ -1,6 +1,10 @@
 """Lines of any length and script take part in line dedup."""
 
+import random
+
 from pyspark.sql import functions as F
+from tests.llm.conftest import brute_components
+from tests.llm.test_duplicates import edit_distance
 
 from redtide.llm import lines
 
@@ -24,3 +28,22 @@ def test_words_put_in_front_of_long_lines(spark):
     pairs = [(base, front + base, True), (base, base[::-1], False), (base[:392], "x" * 43 + base[:392], True), (base[:392], "x" * 99 + base[:392], False)]
     df = spark.createDataFrame(pairs, "a string, b string, near boolean")
     assert df.where(lines.edit_similarity(F.col("a"), F.col("b")) == F.col("near")).count() == len(pairs)
+
+
+def test_no_link_of_equal_and_near_fingerprints_is_lost(spark):
+    """Lines unlike the representative of their fingerprint are linked with each other and with near fingerprints."""
+    rng, texts = random.Random(5), set()
+    short = ["a", "of", "in", "the", "to", "be", "on", "it", "is", "as", "by", "up"]
+    for group in range(10):
+        long = [f"word{group}x{k}" for k in range(3)] * 4
+        for _ in range(3):  # lines of one fingerprint, or nearly so, in distant forms
+            form = rng.sample(long, 12) + rng.choices(short, k=20)
+            texts |= {" ".join(form[: len(form) - k]) for k in range(3)} | {" ".join([*form, form[0]])}
+    docs = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id bigint, text string")
+    table = lines.line_table(docs)
+    rows = {(r.h, r.g): r for r in table.collect()}
+    near = [(a, b) for a in rows for b in rows if a < b and ((rows[a].fp ^ rows[b].fp) & ((1 << 64) - 1)).bit_count() <= lines.MOST_BITS]
+    alike = [(a, b) for a, b in near if edit_distance(rows[a].line, rows[b].line, most := int(max(len(rows[a].line), len(rows[b].line)) * 0.2 + 1e-9)) <= most]
+    want = brute_components(list(rows), alike)
+    got = brute_components(list(rows), [(tuple(r.a), tuple(r.b)) for r in lines.fuzzy_links(table).collect()])
+    assert len(near) > len(alike) > 50 and want == got
