@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from redtide.functions.hashing import MODULUS, portable_hash
+from redtide.functions.hashing import MODULUS, portable_hash, portable_hashes
 from redtide.operators.ranking import smallest_by_hash
 from redtide.session import written
 
@@ -100,14 +103,80 @@ def hash_ordinal(df: DataFrame, keys: list[str], id_col: str, buckets: int = 2**
     )
 
 
+#: Rows of a fold that are ordered at a time, about.
+BUCKET_ROWS = 1 << 18
+#: Rows that are dealt to buckets at a time.
+DEALT_ROWS = 1 << 18
+
+
 def split_ordinal(df: DataFrame, id_col: str, n_splits: int, buckets: int = 2**12) -> DataFrame:
     """Random position of every row in every fold. The number of buckets is for balance only; counts of folds
-    and buckets combine before the shuffle and are broadcast."""
+    and buckets combine before the shuffle and are broadcast. A table of nothing but whole ids is dealt and ordered
+    in arrays (`_id_ordinals`)."""
+    if df.columns == [id_col] and isinstance(df.schema[id_col].dataType, LongType):
+        return _id_ordinals(df, id_col, n_splits)
     folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
     exploded = df.withColumn("fold", folds).withColumn("_h", portable_hash(id_col, F.col("fold")))
     return hash_ordinal(exploded, ["fold"], id_col, buckets, few_groups=True)
 
 
+def _id_ordinals(df: DataFrame, id_col: str, n_splits: int) -> DataFrame:
+    """(fold, id, ordinal): ids go to the buckets of all folds as packed arrays, and a task orders one bucket of a fold
+    at a time. Hashes are uniform, so buckets are equally full. Null ids have no position."""
+    ids = df.select(id_col).where(F.col(id_col).isNotNull())
+    buckets = max(1, -(-ids.count() // BUCKET_ROWS))
+    bucket_of = lambda h: h * buckets // MODULUS
+
+    def blocks(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            rows += len(held[-1])
+            if rows >= DEALT_ROWS:
+                yield np.concatenate(held)
+                held, rows = [], 0
+        if rows:
+            yield np.concatenate(held)
+
+    def count(batches):
+        total = np.zeros((n_splits, buckets), np.int64)
+        for block in blocks(batches):
+            for k in range(n_splits):
+                total[k] += np.bincount(bucket_of(portable_hashes(block, k)), minlength=buckets)
+        fold, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[fold, at])], ["fold", "_b", "_c"])
+
+    def deal(batches):
+        for block in blocks(batches):
+            for k in range(n_splits):
+                at = bucket_of(portable_hashes(block, k))
+                dealt = block[np.argsort(at, kind="stable")]
+                sizes = np.bincount(at, minlength=buckets)
+                full = np.flatnonzero(sizes)
+                parts = [p.tobytes() for p in np.split(dealt, np.cumsum(sizes[full])[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), k, np.int32)), pa.array(full.astype(np.int32)), pa.array(parts, pa.binary())], ["fold", "_b", "_ids"])
+
+    def order(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead, held = None, []
+        for batch in parts:
+            ahead = batch.column("_ahead")[0].as_py() if ahead is None else ahead
+            held += [np.frombuffer(p, np.int64) for p in batch.column("_ids").to_pylist()]
+        own = np.concatenate(held)
+        fold = key[0].as_py()
+        own = own[np.lexsort((own, portable_hashes(own, fold)))]
+        for first in range(0, len(own), 1 << 16):
+            part = own[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fold, np.int32)), pa.array(part), pa.array(ahead + first + 1 + np.arange(len(part)))], ["fold", id_col, "ordinal"])
+
+    earlier = Window.partitionBy("fold").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.mapInArrow(count, "fold int, _b int, _c bigint").groupBy("fold", "_b").agg(F.sum("_c").alias("_c"))
+    offsets = counts.select("fold", "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_ahead"))
+    dealt = ids.mapInArrow(deal, "fold int, _b int, _ids binary")
+    # broadcast side: one row per fold and bucket
+    placed = dealt.join(F.broadcast(offsets), ["fold", "_b"])
+    return placed.groupBy("fold", "_b").applyInArrow(order, f"fold int, `{id_col}` bigint, ordinal bigint")
+
+
 def kfold(df: DataFrame, id_col: str, k: int = 10, seed: int = 0) -> DataFrame:
     """Shuffled k folds of equal size: the position in hash order modulo k."""
     ordered = hash_ordinal(df.withColumn("_h", portable_hash(id_col, seed)).withColumn("_all", F.lit(1)), ["_all"], id_col)

@@ -36,3 +36,17 @@ def test_offsets_of_folds_are_broadcast_and_rows_are_not(spark):
     assert sorted(r.ordinal for r in found.where("fold = 2").collect()) == list(range(1, 501))
     one = splits.kfold(rows, "row_id", 10)
     assert all("HashAggregate" in side for side in broadcast_sides(one))
+
+
+def test_ids_are_ordered_in_arrays_as_rows_are(spark, monkeypatch):
+    """Many small buckets and blocks, repeated ids, and null ones, which have no position; only packed ids are shuffled."""
+    ids = [(i * 7919 % 4001,) for i in range(3000)] + [(5,), (5,), (None,)]
+    rows = written(spark.createDataFrame(ids, "row_id bigint").repartition(3))
+    want = splits.split_ordinal(rows.where("row_id is not null").withColumn("other", F.lit(1)), "row_id", 4).drop("other")
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(splits, "DEALT_ROWS", 700)
+    got = splits.split_ordinal(rows, "row_id", 4)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    text = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in text and "FlatMapGroupsInArrow" in text
