@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import brute_components
 from tests.llm.test_duplicates import edit_distance
@@ -30,8 +31,10 @@ def test_words_put_in_front_of_long_lines(spark):
     assert df.where(lines.edit_similarity(F.col("a"), F.col("b")) == F.col("near")).count() == len(pairs)
 
 
-def test_no_link_of_equal_and_near_fingerprints_is_lost(spark):
+@pytest.mark.parametrize("most", [lines.MOST_PAIRS, 0])
+def test_no_link_of_equal_and_near_fingerprints_is_lost(spark, monkeypatch, most):
     """Lines unlike the representative of their fingerprint are linked with each other and with near fingerprints."""
+    monkeypatch.setattr(lines, "MOST_PAIRS", most)
     rng, texts = random.Random(5), set()
     short = ["a", "of", "in", "the", "to", "be", "on", "it", "is", "as", "by", "up"]
     for group in range(10):
