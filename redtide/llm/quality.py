@@ -25,6 +25,7 @@ from redtide.llm.classifier import adam, chain_batches, forward_backward
 from redtide.llm.shared import SPACES, map_rows, words_of
 
 MOST_DOCUMENTS = 3000
+AT_ONCE = 512  # documents of a batch that a task holds as objects
 STEPS, DECAY = 250, 1e-3
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -198,6 +199,6 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = f"`{id_col}` {kinds[id_col]}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, kept boolean"
     if not extra:
-        return map_rows(docs.select(id_col, text_col), lambda b: (x[:9] for x in run(b)), schema)
+        return map_rows(docs.select(id_col, text_col), lambda b: (x[:9] for x in run(b)), schema, AT_ONCE)
     schema += "".join(f", `{c}` {kinds[c]}" for c in (text_col, *extra))
-    return map_rows(docs.select(id_col, text_col, *extra), run, schema)
+    return map_rows(docs.select(id_col, text_col, *extra), run, schema, AT_ONCE)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import brute_components
 from tests.llm.test_duplicates import edit_distance
 
-from redtide.llm import lines
+from redtide.llm import components, lines, quality
+from redtide.llm.shared import map_rows
 
 
 def kept(spark, rows):
@@ -50,3 +51,21 @@ def test_no_link_of_equal_and_near_fingerprints_is_lost(spark, monkeypatch, most
     want = brute_components(list(rows), alike)
     got = brute_components(list(rows), [(tuple(r.a), tuple(r.b)) for r in lines.fuzzy_links(table).collect()])
     assert len(near) > len(alike) > 50 and want == got
+
+
+def test_a_settled_forest_takes_no_round(spark, monkeypatch):
+    """Links found earlier go in as a forest; only new ones may cost rounds, each of which leaves files behind."""
+    rounds = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: rounds.append(df) or df.localCheckpoint())
+    forest = spark.createDataFrame([(k, k % 5) for k in range(5, 60)], "a bigint, b bigint")
+    found = {r.node: r.root for r in components.components(forest, "a", "b").collect()}
+    assert found == {k: k % 5 for k in range(5, 60)} and len(rounds) == 1
+    more = forest.union(spark.createDataFrame([(9, 6), (7, 7)], "a bigint, b bigint"))
+    found = {r.node: r.root for r in components.components(more, "a", "b").collect()}
+    assert found == {4: 1, **{k: k % 5 if k % 5 < 4 else 1 for k in range(5, 60)}}
+
+
+def test_tasks_hold_few_rows_of_a_batch_as_objects(spark):
+    sizes = lambda batches: ((ids, [len(ids)] * len(ids)) for (ids,) in batches)
+    got = map_rows(spark.range(0, 1000, 1, 1), sizes, "id bigint, n int", quality.AT_ONCE).collect()
+    assert sorted(r.id for r in got) == list(range(1000)) and max(r.n for r in got) <= quality.AT_ONCE < 1000
