@@ -43,7 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least (doc_id, text hash) of each group of near copies, null ids last; an id alone joins no rows."""
+    """The row of least (doc_id, text hash) of each group of near copies, null ids last; an id alone joins no rows.
+
+    Copies are proposed by SimHash with pigeonring, and by keys where their fingerprints are further apart."""
 
     def keep(d: DataFrame, extra: tuple[str, ...]) -> DataFrame:
         whole = F.to_json(F.struct("doc_id", *extra))

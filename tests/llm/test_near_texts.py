@@ -56,3 +56,20 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
     want = [rows[0], rows[1], rows[2], rows[3], rows[7], rows[9]]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_fingerprints_propose_on_their_own(spark, monkeypatch):
+    """Without any key, texts alike at most 3 bits apart are still found, and those apart or unlike are not."""
+    monkeypatch.setattr(likeness, "band_keys", lambda runs: [])
+    rng = random.Random(11)
+    rows = []
+    for group in range(8):
+        base = [f"w{group}x{k}" for k in range(800)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "other"])), (len(rows) + 2, edited(rng, base, 60))]
+    sets = {d: likeness.run_set(t, 5) for d, t in rows}
+    prints = {d: likeness.fingerprint_of(s) for d, s in sets.items()}
+    near = [(a, b) for a in sets for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    linked = [(a, b) for a, b in near if likeness.likeness(sets[a].tobytes(), sets[b].tobytes()) >= 0.8]
+    want = {d for d, root in brute_components(sets, linked).items() if d == root}
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want and 8 <= len(linked)
