@@ -131,8 +131,8 @@ def resample_nearest(
 
     n = ceil(2 * half / res) + 1 targets per side, 2 * half / n apart. Instead of searching
     from every target, each candidate pixel is offered to the few targets it can reach, and
-    the closest offer wins in an aggregate that combines before the shuffle. Ties go to the
-    lower latitude, then longitude.
+    the closest offer wins. Pixels are shuffled once for a site and scene, before they become several
+    offers each. Ties go to the lower latitude, then longitude.
     """
     side = swath_side(half_deg, res_deg)
     step = 2 * half_deg / side
@@ -147,15 +147,24 @@ def resample_nearest(
     right = pixels.withColumns({"_cy": cell_of(F.col("lat"), size), "_cx": cell_of(F.col("lon"), size)})
 
     def reached(offset, reach):
-        """Indices of the targets whose centre is within `reach` of a pixel at `offset`."""
+        """First and last of the targets whose centre is within `reach` of a pixel at `offset`."""
         low = F.greatest(F.ceil((offset - reach) / step - 0.5 - 1e-9), F.lit(0)).cast("int")
         high = F.least(F.floor((offset + reach) / step - 0.5 + 1e-9), F.lit(side - 1)).cast("int")
-        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
+        return F.struct(low.alias("low"), high.alias("high"))
 
-    offered = (
+    each = lambda span: F.explode(F.sequence(f"{span}.low", f"{span}.high"))
+    keys = [*sites.columns, *[k for k in scene_keys if k not in sites.columns]]
+    met = (
         right.join(left, [*on, "_cy", "_cx"])
-        .withColumn("row", reached(F.col("lat") - F.col("latitude") + half_deg, F.lit(reach_lat)))
-        .withColumn("col", reached(F.col("lon") - F.col("longitude") + half_deg, F.col("_rl")))
+        .withColumn("_rows", reached(F.col("lat") - F.col("latitude") + half_deg, F.lit(reach_lat)))
+        .withColumn("_cols", reached(F.col("lon") - F.col("longitude") + half_deg, F.col("_rl")))
+        .where("_rows.low <= _rows.high and _cols.low <= _cols.high")
+        .select(*keys, "lat", "lon", *values, "_rows", "_cols")
+        .repartition(*keys)
+    )
+    offered = (
+        met.withColumn("row", each("_rows"))
+        .withColumn("col", each("_cols"))
         .withColumn(
             "_dist",
             chord_m(
@@ -167,14 +176,8 @@ def resample_nearest(
         )
         .where(F.col("_dist") <= radius_m)
     )
-    kept = F.struct(*values)
-    order = F.struct("_dist", "lat", "lon", *values)
-    return (
-        offered.groupBy(*sites.columns, *[k for k in scene_keys if k not in sites.columns], "row", "col")
-        .agg(F.min_by(kept, order).alias("_near"))
-        .select("*", "_near.*")
-        .drop("_near")
-    )
+    nearest = F.min(F.struct("_dist", "lat", "lon", *values)).alias("_near")
+    return offered.groupBy(*keys, "row", "col").agg(nearest).select(*keys, "row", "col", *[f"_near.{v}" for v in values])
 
 
 def swath_side(half_deg: float = K.HALF_BOX_DEG, res_deg: float = K.SWATH_RESOLUTION_DEG) -> int:

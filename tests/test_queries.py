@@ -67,6 +67,13 @@ def test_space_and_time_joins_are_equi_joins(spark, sf):
         assert "NestedLoop" not in text and "CartesianProduct" not in text
 
 
+def test_pixels_are_shuffled_before_they_become_offers(spark, sf):
+    sites = daily(spark, sf).select("location_id", "latitude", "longitude")
+    df = joins.resample_nearest(sites, queries_ocean.swath(spark, sf), ["scene_date", "scene_no"], ["b02"], on=())
+    shuffles = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any(" row#" in line or "(row#" in line for line in shuffles)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     text = plan(entry.queries()["a5_parquet_scan"](spark, sf))
     assert "GreaterThan(value,100.0)" in text and "props" not in text
