@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redtide.llm.shared import map_rows, open_for_read, open_for_write, partitions_for
+from redtide.llm.shared import open_for_read, open_for_write, partitions_for
 from redtide.session import fresh_path, written
 
 MARK = "▁"
@@ -96,24 +97,34 @@ def vocabulary(path: str) -> Vocabulary:
 
 class Borders:
     """Cuts a text into words. Pairs of neighbours are looked up by a cell they may share with others; then a
-    border isn't cut, which changes no ids."""
+    border isn't cut, which changes no ids. Beside a line break and before a mark that follows no mark, which no piece
+    spans, it is always cut."""
 
     def __init__(self, pieces):
         self.may_join = np.zeros(PAIR_CELLS, bool)
         for p, _, _ in pieces:
-            self.may_join[self._cells(p)] = True
+            self.may_join[self._cells(self._codes(p))] = True
 
     @staticmethod
-    def _cells(text: str) -> np.ndarray:
-        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+    @staticmethod
+    def _cells(code: np.ndarray) -> np.ndarray:
         return (code[:-1] * np.uint32(4099) + code[1:]) & np.uint32(PAIR_CELLS - 1)
 
+    def cuts(self, code: np.ndarray) -> np.ndarray:
+        """Where the words of a marked text of these code points start and end."""
+        mark, line = code == ord(MARK), code == ord(LINE)
+        joined = self.may_join[self._cells(code)] & ~(mark[1:] & ~mark[:-1]) & ~(line[1:] | line[:-1])
+        return np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(code)]])
+
     def words(self, text: str) -> list[str]:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        cuts = (np.flatnonzero(~self.may_join[self._cells(marked)]) + 1).tolist()
-        return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)])]
+        cuts = self.cuts(self._codes(marked)).tolist()
+        return [marked[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=4)
@@ -216,27 +227,53 @@ def _usual(word: str) -> bool:
     return len(word) <= LONGEST_WORD and not word.startswith(MARK * 2) and word != LINE
 
 
-def _parts(text: str) -> list[str]:
-    return text.replace(" ", MARK).split(MARK)
-
-
-def _cut_parts(texts: list[str], model: str) -> tuple[list[str], list[str]]:
-    """The distinct parts between the spaces of a block, and their words one after the other (a part's first word
-    has the mark). All are cut as one text."""
-    parts = {}
-    for text in texts:
-        parts.update(dict.fromkeys(_parts(text)))
-    parts.pop("", None)
-    return list(parts), borders(model).words(MARK.join(parts))
-
-
-def _numbered(words: list[str], buckets: int) -> tuple[list[str], np.ndarray]:
-    """The distinct usual words of a block and the single mark, in order of their buckets, and those buckets. A word's
-    number is its place in this order."""
-    distinct = [w for w in dict.fromkeys([MARK, *words]) if _usual(w)]
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in distinct), np.int64, len(distinct))
+@dataclass(frozen=True)
+class BlockWords:
+    """The texts of a block as numbers. Texts are split at spaces into parts, equal ones once, and parts into words."""
+
+    places: np.ndarray  # of the parts of all texts, one after the other
+    n_parts: np.ndarray  # of each text
+    at: np.ndarray  # of the words of all parts, one after the other, among the distinct ones
+    n_words: np.ndarray  # of each part; an empty one has none
+    distinct: pa.StringArray  # the single mark is the first
+    order: np.ndarray  # places of the usual words among the distinct ones, by bucket; a word's number is its place here
+    buckets: np.ndarray  # in that order
+
+
+def _buckets_of(words: pa.StringArray, buckets: int) -> np.ndarray:
+    """A bucket for each word, from a sum over its bytes that depends on their places."""
+    ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], "u1")[ends[0] : ends[-1]].astype("<u8")
+    ends = ends - ends[0]
+    place = np.arange(len(data), dtype="<u8") - np.repeat(ends[:-1], np.diff(ends)).astype("<u8")
+    factor = (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.add.reduceat((data + np.uint64(1)) * (factor ^ (factor >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), ends[:-1])
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _block_words(texts: pa.Array, model: str, buckets: int) -> BlockWords:
+    """All distinct parts are cut as one text; a part's first word has the mark."""
+    split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
+    coded = split.flatten().dictionary_encode()
+    parts = coded.dictionary
+    filled = pc.not_equal(parts, "")
+    own = parts.filter(filled)
+    marked = MARK + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), MARK)[0].as_py() if len(own) else ""
+    code = Borders._codes(marked)
+    cuts = borders(model).cuts(code) if marked else np.zeros(1, np.int64)
+    width = 1 + (code > 0x7F) + (code > 0x7FF).astype(np.int32) + (code > 0xFFFF)
+    bytes_to = np.concatenate([[0], np.cumsum(width)]).astype("<i4")
+    words = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(bytes_to[cuts].tobytes()), pa.py_buffer(marked.encode()))
+    known = pa.concat_arrays([pa.array([MARK]), words]).dictionary_encode()
+    n_words = np.zeros(len(parts), np.int64)
+    firsts = np.flatnonzero(code[cuts[:-1]] == ord(MARK))
+    n_words[filled.to_numpy(zero_copy_only=False)] = np.diff(firsts, append=len(words))
+    long = pc.greater(pc.utf8_length(known.dictionary), LONGEST_WORD)
+    usual = np.flatnonzero(~pc.or_(long, pc.equal(known.dictionary, LINE)).to_numpy(zero_copy_only=False))
+    own = _buckets_of(known.dictionary.take(pa.array(usual)), buckets)
     order = np.argsort(own, kind="stable")
-    return [distinct[k] for k in order.tolist()], own[order]
+    return BlockWords(coded.indices.to_numpy(), np.diff(split.offsets.to_numpy()), known.indices.to_numpy()[1:], n_words, known.dictionary, usual[order], own[order])
 
 
 def _read_block(path: str) -> pa.Table:
@@ -279,16 +316,18 @@ def block_words(blocks: DataFrame, model: str, buckets: int, regions: int) -> Da
     """(bucket, block, first, words): a block's distinct words of one bucket, with line breaks between them; `first` is
     the number of the first one. Each region of blocks has buckets of its own."""
 
-    def run(batches):
-        for names, paths in batches:
-            for name, path in zip(names, paths):
-                words, own = _numbered(_cut_parts(_read_block(path)["text"].to_pylist(), model)[1], buckets)
-                cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
-                joined = [LINE.join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _block_words(_read_block(path)["text"].combine_chunks(), model, buckets)
+                own = found.buckets
+                cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found.distinct.take(pa.array(found.order)))
                 region = xxhash.xxh3_64_intdigest(name) % regions
-                yield (own[cuts[:-1]] + region * buckets).tolist(), [name] * len(joined), cuts[:-1], joined
+                columns = [own[cuts[:-1]] + region * buckets, [name] * len(lists), cuts[:-1].astype("<i4"), pc.binary_join(lists, LINE)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "block", "first", "words"])
 
-    return map_rows(blocks.select("block", "path"), run, "bucket bigint, block string, first int, words string")
+    return blocks.select("block", "path").mapInArrow(run, "bucket bigint, block string, first int, words string")
 
 
 def _packed(answers: DataFrame) -> DataFrame:
@@ -344,6 +383,11 @@ class Lists:
         n = self.lengths[at]
         return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+    def merged(self, of: Lists) -> Lists:
+        """A list for each of `of`, whose numbers are places here: their lists one after the other."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths[of.flat])])
+        return Lists(self.joined(of.flat), ends[of.starts + of.lengths] - ends[of.starts])
+
 
 def _by_number(found: list[bytes], odd: list[list[int]], usual: int) -> Lists:
     """Ids of each word of a block: the answers for the usual ones, then those of the others."""
@@ -389,29 +433,35 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def put_together(found: pa.Table) -> pa.Table:
         block = _read_block(found["path"].drop_null()[0].as_py())
-        texts = block["text"].to_pylist()
-        parts, in_order = _cut_parts(texts, model)
-        cut = {k: borders(model).words(t) for k, t in enumerate(texts) if MARK * 2 in MARK + t.replace(" ", MARK) or t.endswith((" ", MARK))}
-        words, _ = _numbered(in_order, buckets)
-        odd = [w for w in dict.fromkeys([*in_order, *(w for own in cut.values() for w in own)]) if not _usual(w)]
-        number = {w: k for k, w in enumerate([*words, *odd])}
-        ids_of = _by_number([d.as_py() for d in found["data"].drop_null()], [library_ids(w, model) for w in odd], len(words))
-        starts = np.array([k for k, w in enumerate(in_order) if w.startswith(MARK)] + [len(in_order)], np.int64)
-        words_of = Lists(np.fromiter(map(number.__getitem__, in_order), np.int64, len(in_order)), np.diff(starts))
-        place = {p: k for k, p in enumerate(parts)}
-
-        def joined(k: int, text: str) -> bytes:
-            if not text:
-                return b""
-            if k in cut:  # runs of marks stay together
-                own = np.fromiter(map(number.__getitem__, cut[k]), np.int64)
-            else:
-                own = words_of.joined(np.fromiter(map(place.__getitem__, _parts(text)), np.int64))
-            return ids_of.joined(own).tobytes()
-
-        ids = pa.array([joined(k, t) for k, t in enumerate(texts)], pa.binary())
+        texts = block["text"].combine_chunks()
+        words = _block_words(texts, model, buckets)
+        # texts in which marks follow one another or stand last: runs of marks stay together
+        runs = pc.or_(pc.match_substring_regex(texts, f"^[ {MARK}]|[ {MARK}][ {MARK}]"), pc.match_substring_regex(texts, f"[ {MARK}]\\z"))
+        cut = {k: borders(model).words(texts[k].as_py()) for k in np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist()}
+        usual = len(words.order)
+        number = np.full(len(words.distinct), -1, np.int64)
+        number[words.order] = np.arange(usual)
+        rest = np.flatnonzero(number < 0)
+        number[rest] = usual + np.arange(len(rest))
+        odd = words.distinct.take(pa.array(rest)).to_pylist()
+        if cut:
+            odd = list(dict.fromkeys([*odd, *(w for own in cut.values() for w in own if not _usual(w))]))
+            number_of = dict(zip(words.distinct.to_pylist(), number.tolist())) | {w: usual + k for k, w in enumerate(odd)}
+        of_words = _by_number([d.as_py() for d in found["data"].drop_null()], [library_ids(w, model) for w in odd], usual)
+        ids_of = of_words.merged(Lists(number[words.at], words.n_words)).merged(Lists(words.places, words.n_parts))
+
+        def joined(k: int) -> bytes:
+            if k not in cut:
+                return ids_of.joined(np.array([k])).tobytes()
+            return of_words.joined(np.fromiter(map(number_of.__getitem__, cut[k]), np.int64)).tobytes()
+
+        if cut:
+            ids = pa.array([joined(k) for k in range(len(texts))], pa.binary())
+        else:
+            ends = np.concatenate([[0], np.cumsum(4 * ids_of.lengths)]).astype("<i4")
+            ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(ids_of.flat)])
         out = pa.table({"id": block["id"], "ids": ids})
-        del block, texts, parts, in_order, words, cut, number, ids_of, words_of, place
+        del block, texts, words, cut, number, of_words, ids_of, ids
         pa.default_memory_pool().release_unused()  # workers live on; a block's memory shouldn't
         return out
 
@@ -419,9 +469,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
-    """The text of ids: byte pieces are put together to characters, marks become spaces, the first one goes."""
-    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")[1:]
+def decode_ids(data: list[bytes], pieces: pa.Array) -> list[str]:
+    """The texts of ids: byte pieces are put together to characters, marks become spaces, the first one goes."""
+    found = pieces.take(pa.array(np.frombuffer(b"".join(data), "<u4")))
+    to = np.frombuffer(found.buffers()[1], "<i4")[: len(found) + 1] if len(found) else np.zeros(1, "<i4")
+    ends = to[np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])])].tolist()
+    raw = found.buffers()[2].to_pybytes() if len(found) else b""
+    return [raw[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(ends, ends[1:])]
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -436,12 +490,13 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
             pieces[k] = p.encode()
         for k in range(256):
             pieces[vocab.first_byte + k] = bytes([k])
+        pieces = pa.array(pieces, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, DECODED_TOGETHER):
                 keys, some = batch.slice(at, DECODED_TOGETHER).columns
                 data = some.to_pylist()
                 sizes, sums = pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64())
-                texts = pa.array([decode_ids(np.frombuffer(d, "<u4"), pieces) for d in data], pa.string())
+                texts = pa.array(decode_ids(data, pieces), pa.string())
                 yield pa.RecordBatch.from_arrays([keys, sizes, sums, texts], names)
             pa.default_memory_pool().release_unused()
 

@@ -205,3 +205,18 @@ def test_viterbi_finds_the_best_sum(spark):
     path = sentencepieces.viterbi_path(sentencepieces.edges(spark.createDataFrame([(w,) for w in some], "word string"), vocab))
     for r in path.collect():
         assert [e.unknown if e.id is None else e.id for e in r.path] == best(r.word)[1]
+
+
+def test_neighbours_that_share_a_cell_with_a_piece(spark):
+    """A character before a mark or beside a line break, in a cell that two characters of a piece also fill."""
+    may_join = sentencepieces.borders(PIECES).may_join
+    chars = [chr(c) for c in [*range(0xA1, 0xD800), *range(0xE000, 0x110000)]]
+    shares = lambda a, b: may_join[((ord(a) * 4099 + ord(b)) & 0xFFFFFFFF) % sentencepieces.PAIR_CELLS]
+    before_mark = [c for c in chars if shares(c, sentencepieces.MARK)][:3]
+    before_line, behind_line = [c for c in chars if shares(c, "\n")][:3], [c for c in chars if shares("\n", c)][:3]
+    assert before_mark and before_line and behind_line
+    some = [f"a{c} b {c} the{c}  x" for c in before_mark] + [f"a{c}\nb {c}\n" for c in before_line] + [f"a\n{c}b \n{c}" for c in behind_line]
+    some.append(" ".join([f"a{c} b {c} the" for c in before_mark]))
+    sp = sentencepieces.processor(PIECES)
+    rows = sentencepieces.encode(spark.createDataFrame(list(enumerate(some)), "doc_id int, text string"), PIECES).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == dict(enumerate(map(sp.encode, some)))
