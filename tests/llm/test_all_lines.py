@@ -69,3 +69,33 @@ def test_tasks_hold_few_rows_of_a_batch_as_objects(spark):
     sizes = lambda batches: ((ids, [len(ids)] * len(ids)) for (ids,) in batches)
     got = map_rows(spark.range(0, 1000, 1, 1), sizes, "id bigint, n int", quality.AT_ONCE).collect()
     assert sorted(r.id for r in got) == list(range(1000)) and max(r.n for r in got) <= quality.AT_ONCE < 1000
+
+
+def test_counters_of_every_width_give_the_majority(spark):
+    rng = random.Random(11)
+    few = [[rng.getrandbits(64) for _ in range(n)] for n in (0, 1, 2, 7, 8, 14, 15, 16, 17, 62, 63, 64, 65, 254, 255, 256, 300)]
+    few += [[x] * n for n in (15, 63, 255) for x in (0, (1 << 64) - 1, 1 << 63)]
+    signed = [(k, [h - (1 << 64) if h >> 63 else h for h in hashes]) for k, hashes in enumerate(few)]
+    df = spark.createDataFrame(signed, "k int, hashes array<bigint>")
+    got = {r.k: r.fp % (1 << 64) for r in df.select("k", lines.simhash(F.col("hashes")).alias("fp")).collect()}
+    assert got == {k: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) for k, hashes in enumerate(few)}
+
+
+def test_distance_is_taken_where_lines_differ(spark):
+    """The same distance without the words both lines start and end with, also if they repeat or one line holds the other."""
+    rng, some = random.Random(3), [("a", "a"), ("a", "b"), ("a a a", "a a"), ("a b a", "a"), ("x ", "x"), ("a  b", "a b"), ("b a", "a"), ("", "a")]
+    for _ in range(60):
+        words = rng.choices(["a", "bb", "ccc", "dd"], k=rng.randrange(1, 12))
+        other = list(words)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choices(["a", "bb", "e"], k=rng.randrange(3))
+        some.append((" ".join(words), " ".join(other) or "a"))
+    df = spark.createDataFrame(some, "a string, b string")
+    for r in df.select("a", "b", lines.differing(F.col("a"), F.col("b")).alias("e"), lines.edit_similarity(F.col("a"), F.col("b")).alias("near")).collect():
+        distance = edit_distance(r.a, r.b, 1000)
+        assert edit_distance(r.e.x, r.e.y, 1000) == distance
+        assert r.near == (distance <= int(max(len(r.a), len(r.b)) * 0.2 + 1e-9))
+    long = " ".join(f"word{k}" for k in range(4000))
+    front = spark.createDataFrame([(long, "put in front " + long)], "a string, b string").select(lines.differing(F.col("a"), F.col("b")).alias("e")).first().e
+    assert (front.x, front.y) == ("", "put in front ")
