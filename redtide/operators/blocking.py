@@ -416,45 +416,64 @@ def moran_i(places: DataFrame, radii_m: list[float]) -> DataFrame:
     )
 
 
-#: Rows whose values fit in a broadcast of 64 MB, and rows of one position that one task draws for.
-DRAWN_ROWS, SEATS = 8 << 20, 4096
+#: Rows whose values fit in a broadcast of 384 MB, and rows of one position that one task draws for.
+DRAWN_ROWS, SEATS = 48 << 20, 4096
 #: Rows of one position that its tiles draw for themselves; for more, the sums of all draws are made once, in other tasks.
 LIGHT_ROWS = 256
 DRAWN_AT_ONCE = 1 << 15
 ROUNDS = 16
+MIX = 0x45D9F3B
+
+
+def _mixed(v, both, odd, right):
+    for _ in range(2):
+        v = both(v, 0x7FFFFFFF) * MIX
+        v = odd(v, right(v, 16))
+    return v
 
 
 def drawn_seat(ordinal, draw, n: int):
-    """A keyed permutation of 0 .. n - 1 for every draw, on Columns or on integer arrays alike.
+    """A keyed permutation of 0 .. n - 1 for every draw, on Columns or on integer arrays alike (arrays up to 2 ** 31).
 
     Each round pairs x with key - x (mod n) and a hash of the larger one decides whether the two change places, so any
-    number of rounds is one-to-one for every n; no order, table or search is needed.
+    number of rounds is one-to-one for every n; no order, table or search is needed. The hash has 32 bits, which arrays
+    take as they are.
     """
-    columns = isinstance(ordinal, Column)
-    pick = (lambda c, a, b: F.when(c, a).otherwise(b)) if columns else np.where
-    right = F.shiftright if columns else np.right_shift
-    both = (lambda a, b: a.bitwiseAND(b)) if columns else np.bitwise_and
-    odd = (lambda a, b: a.bitwiseXOR(b)) if columns else np.bitwise_xor
-
-    def mixed(v):
-        for _ in range(2):
-            v = both(v, 0x7FFFFFFF) * 0x45D9F3B
-            v = odd(v, right(v, 16))
-        return v
+    if not isinstance(ordinal, Column):
+        return _drawn_seats(ordinal, draw, n)
+    both, odd, right = (lambda a, b: a.bitwiseAND(b)), (lambda a, b: a.bitwiseXOR(b)), F.shiftright
+    keyed = lambda k: both(_mixed(draw * 64 + k, both, odd, right), 0x7FFFFFFF)
 
     def turn(x, k):
-        key = both(mixed(draw * 64 + k + 1), 0x7FFFFFFF) % n
-        partner = (key + n - x) % n
-        larger = pick(x > partner, x, partner)
-        coin = mixed(odd(odd(larger, right(larger, 31)), both(mixed(draw * 64 + k + 32), 0x7FFFFFFF)))
-        return pick(both(right(coin, 11), 1) == 1, partner, x)
-
-    if columns:
-        return F.aggregate(F.array(*[F.lit(k).cast("bigint") for k in range(ROUNDS)]), ordinal, turn)
-    x = ordinal
-    for k in range(ROUNDS):
-        x = turn(x, k)
-    return x
+        partner = (keyed(k + 1) % n + n - x) % n
+        larger = F.greatest(x, partner)
+        coin = both(odd(odd(larger, right(larger, 31)), keyed(k + 32)), 0xFFFFFFFF)
+        for _ in range(2):
+            coin = both(odd(coin, right(coin, 16)) * MIX, 0xFFFFFFFF)
+        return F.when(right(coin, 31) == 1, partner).otherwise(x)
+
+    return F.aggregate(F.array(*[F.lit(k).cast("bigint") for k in range(ROUNDS)]), ordinal, turn)
+
+
+def _drawn_seats(ordinal: np.ndarray, draw: np.ndarray, n: int) -> np.ndarray:
+    """`drawn_seat` in place on numbers of 32 bits: what falls below zero or above the top is at the far end of them."""
+    steps = np.asarray(draw) * 64 + np.arange(ROUNDS).reshape(-1, *[1] * np.ndim(draw))
+    keyed = lambda k: np.bitwise_and(_mixed(steps + k, np.bitwise_and, np.bitwise_xor, np.right_shift), 0x7FFFFFFF)
+    keys, salts = (keyed(1) % n).astype(np.uint32), keyed(32).astype(np.uint32)
+    x = np.array(np.broadcast_to(ordinal, np.broadcast_shapes(np.shape(ordinal), np.shape(draw))), np.uint32, order="C")
+    partner, coin, spare = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    half, top, mix = np.uint32(16), np.int32(31), np.uint32(MIX)
+    for key, salt in zip(keys, salts):
+        np.subtract(key, x, out=partner)
+        np.minimum(partner, np.add(partner, np.uint32(n), out=spare), out=partner)
+        np.bitwise_xor(np.maximum(x, partner, out=coin), salt, out=coin)
+        for _ in range(2):
+            np.bitwise_xor(coin, np.right_shift(coin, half, out=spare), out=coin)
+            np.multiply(coin, mix, out=coin)
+        taken = np.right_shift(coin.view(np.int32), top, out=coin.view(np.int32)).view(np.uint32)  # all bits or none
+        np.bitwise_xor(x, partner, out=partner)
+        np.bitwise_xor(x, np.bitwise_and(partner, taken, out=partner), out=x)
+    return x.astype(np.int64)
 
 
 def _numbered(df: DataFrame, id_col: str, value: str) -> DataFrame:
@@ -500,7 +519,7 @@ def _drawn_in_tiles(numbered: DataFrame, places: DataFrame, tiled, radius_m: flo
     """(perm, term): sums over the rows of z * (sum of z in reach) / neighbours, tile by tile."""
     spark = numbered.sparkSession
     # at most DRAWN_ROWS numbers
-    values = spark.sparkContext.broadcast(numbered.select("seat", "_z").orderBy("seat").toArrow()["_z"].to_numpy())
+    values = spark.sparkContext.broadcast(numbered.select("seat", "_z").orderBy("seat").select("_z").toArrow()["_z"].to_numpy())
     pieces = F.ceil(F.col("n") / SEATS).cast("bigint")
     seats = numbered.join(places, ["x_m", "y_m"]).groupBy("id", "x_m", "y_m", F.pmod("seat", pieces).alias("piece"), pieces.alias("pieces"))
     seats = seats.agg(F.sort_array(F.collect_list("seat")).alias("seats"), F.first("n").alias("rows"))  # at most about SEATS in a list
@@ -513,16 +532,21 @@ def _drawn_in_tiles(numbered: DataFrame, places: DataFrame, tiled, radius_m: flo
         step = max(1, DRAWN_AT_ONCE // len(seats_of))
         for first in range(0, permutations, step):
             draws = np.arange(first + 1, min(first + step, permutations) + 1)
-            drawn = values.value[drawn_seat(seats_of[None, :], draws[:, None], n)]
+            drawn = values.value.take(drawn_seat(seats_of[None, :], draws[:, None], n))
             z[draws - 1] = np.add.reduceat(drawn, starts, axis=1)
             zz[draws - 1] = np.add.reduceat(drawn * drawn, starts, axis=1)
         return z, zz
 
     def pre(batches):
         for batch in batches:
-            for ident, seat in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = [m[:, 0] for m in sums([seat.values.to_numpy()])]
-                yield pa.RecordBatch.from_arrays([pa.array([ident]), pa.array([made[0].tobytes()]), pa.array([made[1].tobytes()])], names=["id", "z", "zz"])
+            lists, ids = [seat.values.to_numpy() for seat in batch.column(1)], batch.column(0)
+            # lists are drawn for together, so that an array of one draw is full; fuller ones are alone
+            ends, some = np.cumsum([len(seats) for seats in lists]), 0
+            while some < len(lists):
+                first, behind = some, (ends[some - 1] if some else 0) + DRAWN_AT_ONCE
+                some = max(first + 1, int(np.searchsorted(ends, behind, side="right")))
+                made = [pa.array([row.tobytes() for row in m.T]) for m in sums(lists[first:some])]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, some - first), *made], names=["id", "z", "zz"])
 
     def add(key, table):
         total = [sum(np.frombuffer(v) for v in table[c].to_pylist()) for c in ("z", "zz")]
